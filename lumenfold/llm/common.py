@@ -7,9 +7,11 @@ import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,3 +81,19 @@ def input_bytes(df: DataFrame, column: str) -> int:
 def parts(spark: SparkSession, nbytes: int, each: int) -> int:
     """How many parts of about so many bytes, and at least the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nbytes // each))
+
+
+def filter_rows(docs: DataFrame, make) -> DataFrame:
+    """The rows whose text (null: empty) passes, unchanged, whatever columns they have.
+
+    make() is called once a task and returns a function from a text to whether its row stays.
+    """
+
+    def run(batches):
+        keep = make()
+        for b in batches:
+            mask = pa.array([keep(b.column(1)[i].as_py()) for i in range(b.num_rows)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask)], ["row"])
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_or_empty())
+    return rows.mapInArrow(run, T.StructType([T.StructField("row", docs.schema)])).select("row.*")

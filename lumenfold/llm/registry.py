@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe_replay, packing, token_files
+from . import bpe_replay, html_text, packing, quality, token_files, toxicity, warc
 
 QUERIES = {
     "op1_token_files": token_files.query,
+    "op4_quality": quality.query,
+    "op5_warc": warc.query,
     "op6_packing": packing.query,
+    "op7_html_text": html_text.query,
+    "op8_toxicity": toxicity.query,
     "op10_bpe_replay": bpe_replay.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_warc": warc.ORACLE}
