@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import text_or_empty
 from .tokens import _PIECE, PieceEncoder, byte_level_parts
 
+#: Words whose ids a worker keeps, about; the table is emptied beyond.
+MOST_WORDS = 250_000
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -34,91 +36,113 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class MergeReplay:
     """Encodes lists of byte strings ("words") under ranks, as the lowest-rank-first merge of each word would."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], most_pairs: int = 1_500_000):
+        self.ranks, self.most_pairs = ranks, most_pairs
         self.token = {r: t for t, r in ranks.items()}
-        self.byte = [ranks.get(bytes([b])) for b in range(256)]
-        if None in self.byte:
+        byte = [ranks.get(bytes([b]), -1) for b in range(256)]
+        if min(byte) < 0:
             raise ValueError("the ranks lack a single byte")
-        self.pairs: dict[int, int] = {}  # pair of ids to the rank of their merge, or -1
-        self.most_pairs = 1_000_000
-
-    def _rank(self, a: int, b: int) -> int:
-        key = a << 32 | b
-        r = self.pairs.get(key)
-        if r is None:
-            if len(self.pairs) >= self.most_pairs:
-                self.pairs.clear()
-            r = self.pairs[key] = self.ranks.get(self.token[a] + self.token[b], -1)
+        self.byte = np.array(byte, np.int64)
+        self.byte_pair = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int64)
+        self.wide = max(ranks.values()) + 1
+        self.pairs: dict[int, int] = {}  # left id * wide + right id, to the rank of their merge, or -1
+
+    def _rank(self, key: int) -> int:
+        a, b = divmod(key, self.wide)
+        r = self.pairs[key] = self.ranks.get(self.token[a] + self.token[b], -1)
         return r
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word. A word that is itself a token is that token."""
-        out: list[list[int] | None] = [None] * len(words)
-        ids: list[int] = []  # symbols of all other words in turn; -1: merged into an earlier one
-        after: list[int] = []  # the word's next symbol, -1 at its end
-        before: list[int] = []
-        owner: list[int] = []
-        starts: list[tuple[int, int]] = []
-        for w, word in enumerate(words):
-            whole = self.ranks.get(word)
-            if whole is not None:
-                out[w] = [whole]
-            elif not word:
-                out[w] = []
-            else:
-                at, n = len(ids), len(word)
-                starts.append((w, at))
-                ids += [self.byte[b] for b in word]
-                before += [-1, *range(at, at + n - 1)]
-                after += [*range(at + 1, at + n), -1]
-                owner += [w] * n
-        index: dict[int, list[int]] = {}  # rank to positions of pairs that merge into it
-        rank = self._rank
-        for p, q in enumerate(after):
-            if q >= 0 and (r := rank(ids[p], ids[q])) >= 0:
-                index.setdefault(r, []).append(p)
-        queue = list(index)
-        heapq.heapify(queue)
-
-        def add(r: int, p: int) -> None:
-            if r in index:
-                index[r].append(p)
-            else:
-                index[r] = [p]
-                heapq.heappush(queue, r)
-
+        out: list[list[int]] = [[self.ranks[w]] if w in self.ranks else [] for w in words]
+        owners = [w for w, x in enumerate(out) if not x and words[w]]
+        if not owners:
+            return out
+        # Symbols of all these words in turn, each word a chain; -1 in ids: merged into the symbol before it.
+        raw = np.frombuffer(b"".join([words[w] for w in owners]), np.uint8).astype(np.int64)
+        n = len(raw)
+        starts = np.cumsum([0, *(len(words[w]) for w in owners)])
+        first, last = np.zeros(n + 1, bool), np.zeros(n, bool)
+        first[starts] = True
+        last[starts[1:] - 1] = True
+        ids = self.byte[raw].tolist()
+        after = np.where(last, -1, np.arange(1, n + 1)).tolist()
+        before = np.where(first[:-1], -1, np.arange(-1, n - 1)).tolist()
+        # The inverted index: the rank that a pair merges into, to the positions of such pairs.
+        merges = np.where(last[:-1], -1, self.byte_pair[raw[:-1] * 256 + raw[1:]])
+        at = np.flatnonzero(merges >= 0)
+        at = at[np.argsort(merges[at], kind="stable")]
+        ranks, cuts = np.unique(merges[at], return_index=True)
+        flat, cuts = at.tolist(), [*cuts.tolist(), len(at)]
+        index = {r: flat[cuts[k] : cuts[k + 1]] for k, r in enumerate(ranks.tolist())}
+        queue = list(index)  # in order: a heap
+        if len(self.pairs) > self.most_pairs:
+            self.pairs.clear()
+        wide, known, rank_of = self.wide, self.pairs.get, self._rank
+        push, pop = heapq.heappush, heapq.heappop
+        held: set[int] = set()  # words in which a lower rank came up: it goes first there
+        word_of = None
         while queue:
-            r = heapq.heappop(queue)
-            held: set[int] = set()  # words in which a lower rank came up: it goes first there
-            for p in sorted(index.pop(r)):
-                q = after[p]
-                a = ids[p]
-                if a < 0 or q < 0 or rank(a, ids[q]) != r:
+            r = pop(queue)
+            places = index.pop(r)
+            places.sort()
+            for p in places:
+                a, q = ids[p], after[p]
+                if a < 0 or q < 0:
                     continue  # an earlier merge took one of the two
-                if held and owner[p] in held:
-                    add(r, p)
+                key = a * wide + ids[q]
+                x = known(key)
+                if (rank_of(key) if x is None else x) != r:
+                    continue
+                if held and word_of[p] in held:
+                    if r in index:
+                        index[r].append(p)
+                    else:
+                        index[r] = [p]
+                        push(queue, r)
                     continue
                 ids[p], ids[q] = r, -1
                 nxt = after[p] = after[q]
+                prv = before[p]
                 if nxt >= 0:
                     before[nxt] = p
-                    if (x := rank(r, ids[nxt])) >= 0:
-                        add(x, p)
+                    key = r * wide + ids[nxt]
+                    x = known(key)
+                    if x is None:
+                        x = rank_of(key)
+                    if x >= 0:
+                        if x in index:
+                            index[x].append(p)
+                        else:
+                            index[x] = [p]
+                            push(queue, x)
                         if x < r:
-                            held.add(owner[p])
-                prv = before[p]
-                if prv >= 0 and (x := rank(ids[prv], r)) >= 0:
-                    add(x, prv)
-                    if x < r:
-                        held.add(owner[p])
-        for w, at in starts:
-            own = []
-            while at >= 0:
-                own.append(ids[at])
-                at = after[at]
-            out[w] = own
-        return out  # type: ignore[return-value]
+                            if word_of is None:
+                                word_of = np.repeat(np.arange(len(owners)), np.diff(starts)).tolist()
+                            held.add(word_of[p])
+                if prv >= 0:
+                    key = ids[prv] * wide + r
+                    x = known(key)
+                    if x is None:
+                        x = rank_of(key)
+                    if x >= 0:
+                        if x in index:
+                            index[x].append(prv)
+                        else:
+                            index[x] = [prv]
+                            push(queue, x)
+                        if x < r:
+                            if word_of is None:
+                                word_of = np.repeat(np.arange(len(owners)), np.diff(starts)).tolist()
+                            held.add(word_of[p])
+            held.clear()
+        left = np.array(ids)
+        kept = np.flatnonzero(left >= 0)
+        edges = np.searchsorted(kept, starts).tolist()
+        left = left[kept].tolist()
+        for k, w in enumerate(owners):
+            out[w] = left[edges[k] : edges[k + 1]]
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -126,13 +150,21 @@ def _codec(path: str) -> tuple[PieceEncoder, list[bytes], list[str]]:
     """Encoder, bytes of each id, decimal form of each id; one of each a worker."""
     ranks = read_ranks(path)
     replay = MergeReplay(ranks)
-
-    def encode(parts: list[str]) -> list[bytes]:
-        matches = [_PIECE.findall(p) for p in parts]  # of the pattern: each is encoded by itself
-        known = dict.fromkeys(m for ms in matches for m in ms)
-        for m, ids in zip(known, replay.encode([m.encode("utf-8", "replace") for m in known]), strict=True):
-            known[m] = np.asarray(ids, "<u4").tobytes()
-        return [b"".join([known[m] for m in ms]) for ms in matches]
+    known: dict[str, bytes] = {}  # matches of the pattern
+
+    def encode(parts: list[str], spaced: bool) -> list[bytes]:
+        matches = [_PIECE.findall(" " + p if spaced else p) for p in parts]  # each is encoded by itself
+        if len(known) > MOST_WORDS:
+            known.clear()
+        new = list(dict.fromkeys(m for ms in matches for m in ms if m not in known))
+        ids = replay.encode([m.encode("utf-8", "replace") for m in new])
+        flat = np.fromiter((i for x in ids for i in x), "<u4").tobytes()
+        at = 0
+        for m, x in zip(new, ids, strict=True):
+            end = at + 4 * len(x)
+            known[m] = flat[at:end]
+            at = end
+        return [known[ms[0]] if len(ms) == 1 else b"".join([known[m] for m in ms]) for ms in matches]
 
     table = [b""] * (max(ranks.values()) + 1)
     for t, r in ranks.items():
