@@ -26,7 +26,7 @@ MAGIC, VERSION, BLOCK = b"LFTOKENS", 1, 4096
 _HEAD = struct.Struct("<8sIIQQQQ")
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
 #: Ids after which a file is closed; a document is never split over files.
-FILE_IDS = 4_000_000
+FILE_IDS = 2_000_000
 
 
 def bits_for(vocabulary: int) -> int:

@@ -7,6 +7,7 @@ pieces in turn. Each worker keeps the ids of the pieces it has met in a bounded
 from __future__ import annotations
 
 import functools
+import os
 
 import numpy as np
 import public_tokenizers
@@ -44,25 +45,26 @@ def word_parts(text: str) -> tuple[list[str], list[str]]:
 class PieceEncoder:
     """Texts to the bytes of their ids (little-endian, 4 bytes each)."""
 
-    def __init__(self, cut, encode, most: int = 150_000, slice_chars: int = 2_000_000):
-        """cut: text to (parts, parts after a space); encode: list of strings to a list of bytes; most: parts kept."""
+    def __init__(self, cut, encode, most: int = 250_000, slice_chars: int = 250_000):
+        """cut: text to (parts, parts after a space); encode: (parts, whether a space precedes) to a list of bytes."""
         self.cut, self.encode, self.most, self.slice_chars = cut, encode, most, slice_chars
         self.bare: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
 
-    def _know(self, table: dict[str, bytes], lead: str, lists: list[list[str]]) -> None:
-        new = set().union(*lists) - table.keys() if lists else set()
-        if len(table) + len(new) > self.most:
+    def _know(self, table: dict[str, bytes], spaced: bool, lists: list[list[str]]) -> None:
+        if len(table) > self.most:
             table.clear()
-            new = set().union(*lists)
+        new: dict[str, None] = {}
+        for own in lists:
+            new.update(dict.fromkeys([x for x in own if x not in table]))
         if new:
-            new = sorted(new)
-            table.update(zip(new, self.encode([lead + x for x in new]), strict=True))
+            parts = list(new)
+            table.update(zip(parts, self.encode(parts, spaced), strict=True))
 
     def _slice(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut(t) for t in texts]
-        self._know(self.bare, "", [a for a, _ in cut if a])
-        self._know(self.spaced, " ", [b for _, b in cut if b])
+        self._know(self.bare, False, [a for a, _ in cut])
+        self._know(self.spaced, True, [b for _, b in cut])
         bare, spaced = self.bare, self.spaced
         return [b"".join([bare[x] for x in a] + [spaced[x] for x in b]) for a, b in cut]
 
@@ -81,6 +83,7 @@ class PieceEncoder:
 
 @functools.lru_cache(maxsize=4)
 def library(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -88,15 +91,58 @@ def library(path: str):
     return tokenizer
 
 
+#: Parts to a string that goes to the library; short strings are cheaper for it.
+_TOGETHER = 200
+
+
 @functools.lru_cache(maxsize=4)
 def library_encoder(path: str, kind: str) -> PieceEncoder:
-    """kind: "byte_level" or "word", as the file's pre-tokenizer is; one encoder a worker."""
+    """kind: "byte_level" or "word", as the file's pre-tokenizer is; one encoder a worker.
+
+    New parts go to the library many to a string, in which they are encoded as they would be alone. Where a part's ids
+    begin is plain from the ids: in a byte-level file only the first token of a part begins with the space before it; in
+    a word file a zero character, which no part then holds, stands between the parts.
+    """
     tokenizer = library(path)
 
-    def encode(pieces: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(pieces, add_special_tokens=False)]
+    def alone(parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    return PieceEncoder({"byte_level": byte_level_parts, "word": word_parts}[kind], encode)
+    def cut(strings: list[str], opens: np.ndarray, drop: int) -> list[bytes]:
+        """Ids of the strings, cut at ids that open a part; drop: whether those ids themselves go (1) or stay (0)."""
+        out: list[bytes] = []
+        for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False):
+            ids = np.array(e.ids, "<u4")
+            raw, edges = ids.tobytes(), np.flatnonzero(opens[ids])
+            starts = (4 * (edges + drop)).tolist()
+            out += [raw[i:j] for i, j in zip(starts, [*(4 * edges[1:]).tolist(), len(raw)], strict=True)]
+        return out
+
+    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+    opens = np.zeros(max(vocabulary.values()) + 1, bool)
+    if kind == "byte_level":
+        opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # how a space is written in the file
+
+        def encode(parts: list[str], spaced: bool) -> list[bytes]:
+            if not spaced:
+                return alone(parts)
+            return cut([" " + " ".join(parts[i : i + _TOGETHER]) for i in range(0, len(parts), _TOGETHER)], opens, 0)
+
+        return PieceEncoder(byte_level_parts, encode)
+
+    zero = tokenizer.encode("\0", add_special_tokens=False).ids
+    opens[zero] = True
+
+    def encode_words(parts: list[str], spaced: bool) -> list[bytes]:
+        odd = [p for p in parts if "\0" in p]
+        if odd or len(zero) != 1:
+            known = dict(zip(odd, alone(odd), strict=True))
+            plain = [p for p in parts if p not in known]
+            known.update(zip(plain, encode_words(plain, spaced) if plain and len(zero) == 1 else alone(plain), strict=True))
+            return [known[p] for p in parts]
+        return cut(["\0 " + " \0 ".join(parts[i : i + _TOGETHER]) for i in range(0, len(parts), _TOGETHER)], opens, 1)
+
+    return PieceEncoder(word_parts, encode_words)
 
 
 def vocabulary_size(path: str) -> int:
