@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe_replay, html_text, packing, quality, token_files, toxicity, warc
+from . import ann_forest, bpe_replay, html_text, packing, quality, range_join, token_files, toxicity, warc
 
 QUERIES = {
     "op1_token_files": token_files.query,
+    "op3_ann_forest": ann_forest.query,
     "op4_quality": quality.query,
     "op5_warc": warc.query,
     "op6_packing": packing.query,
     "op7_html_text": html_text.query,
     "op8_toxicity": toxicity.query,
+    "op9_range_join": range_join.query,
     "op10_bpe_replay": bpe_replay.query,
 }
 ORACLES: dict[str, str] = {"op5_warc": warc.ORACLE}
