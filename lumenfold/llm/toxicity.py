@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,7 @@ from .common import filter_rows, text_or_empty
 
 FEATURES = 1 << 18
 #: Labelled rows of each class that a model is fitted on at most, and the longest text among them in bytes.
-SAMPLE_ROWS, SAMPLE_BYTES = 6000, 100_000
+SAMPLE_ROWS, SAMPLE_BYTES = 3000, 100_000
 #: A sentence ends at these marks or a line's end, and after so many words anyway.
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _TOKEN = re.compile(r"\w+")
@@ -127,22 +128,25 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, steps: int = 60, ra
     if len(y) == 0 or share in (0.0, 1.0):
         return Model(np.zeros(FEATURES, np.float32), -12.0 if share < 0.5 else 6.0)
     words: dict[str, int] = {}
-    ids, lengths, owner = [], [], []
+    ids, lengths, owner = array("i"), array("i"), array("i")
     for d, t in enumerate(texts):
         for own in sentence_words(t):
-            ids.append(np.array([words.setdefault(w, len(words)) for w in own], np.int32))
+            ids.extend([words.setdefault(w, len(words)) for w in own])
             lengths.append(len(own))
             owner.append(d)
     if not ids:
         return Model(np.zeros(FEATURES, np.float32), -12.0)
-    flat, lengths, owner = np.concatenate(ids), np.array(lengths), np.array(owner)
-    del ids
+    flat, lengths, owner = np.array(ids), np.array(lengths), np.array(owner)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    of = [word_features(w) for w in words]
-    feature_n = np.array([len(f) for f in of])
-    features = np.fromiter((x for f in of for x in f), np.int64, int(feature_n.sum()))
+    feature_n, features = array("i"), array("i")
+    for w in words:
+        own = word_features(w)
+        feature_n.append(len(own))
+        features.extend(own)
+    of, feature_n, features = range(len(words)), np.array(feature_n), np.array(features)
+    del ids, words
     # Features of few documents would fit the labels by chance: they have no weight.
-    of_word = np.repeat(np.arange(len(of)), feature_n)
+    of_word = np.repeat(np.arange(len(of), dtype=np.int32), feature_n)
     in_docs = np.unique(np.repeat(owner, lengths).astype(np.int64) << 32 | flat)
     seen = np.flatnonzero(np.bincount(features, np.bincount(in_docs & 0xFFFFFFFF, minlength=len(of))[of_word], FEATURES) >= LEAST_DOCS)
     if not len(seen):
