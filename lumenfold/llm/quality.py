@@ -209,7 +209,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
     def make():
         encoder = Encoder()
-        return lambda text: bool(shared.value.scores([encoder.passages(text)])[0] >= threshold)
+        return lambda texts: [bool(x >= threshold) for x in shared.value.scores([encoder.passages(t) for t in texts])]
 
     return filter_rows(docs, make)
 

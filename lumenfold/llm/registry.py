@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann_forest, bpe_replay, html_text, packing, quality, range_join, token_files, toxicity, warc
+from . import ann_forest, bpe_replay, html_text, packing, quality, range_join, shingle_join, token_files, toxicity, warc
 
 QUERIES = {
     "op1_token_files": token_files.query,
+    "op2_shingle_join": shingle_join.query,
     "op3_ann_forest": ann_forest.query,
     "op4_quality": quality.query,
     "op5_warc": warc.query,

@@ -234,11 +234,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     def make():
         scorer = shared.value.scorer()
 
-        def keep(text: str) -> bool:
-            own = sentence_words(text)
-            return not own or noisy_or(scorer(own)) < threshold
-
-        return keep
+        return lambda texts: [not own or noisy_or(scorer(own)) < threshold for own in map(sentence_words, texts)]
 
     return filter_rows(docs, make)
 
