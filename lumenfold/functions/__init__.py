@@ -1 +1 @@
-"""See the modules."""
+"""Expressions that operators are built from."""

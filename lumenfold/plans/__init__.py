@@ -1,5 +1,6 @@
 """The engine's queries; importing the package registers all of them."""
 
+from . import uploads  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
