@@ -179,7 +179,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 with recursive v as (select vec_id, embedding::double[] as e from embeddings),
-u as (select vec_id, e, sqrt(list_sum(list_transform(e, x -> x * x))) as norm from v),
+u as (select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as norm from v),
 links as (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
 reach as (select vec_id as a, vec_id as b from v union select r.a, l.b from reach r join links l on r.b = l.a)
 select v.vec_id, coalesce(n.n, 0)::bigint as n_links, c.c as component_id, v.vec_id = c.c as kept

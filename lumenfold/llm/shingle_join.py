@@ -6,14 +6,16 @@ the hashed domain of shingles is cut into N1 groups of N2 = 3 parts. Whatever k
 differing part at most as long as 2 * N1 > k, and the pair agrees on 2 of its parts: so each set emits, for each group, a
 signature of its elements in each subset of 2 of the 3 parts, and a similar pair shares one.
 
-Signatures of no element would be shared by all. They are left out wherever a set's other signatures are proof enough
-(more differences than k would be needed to change them all); only sets without that proof emit them too, and a pair of
-which either set has the proof meets without them. So the join loses no link.
-
-Signatures travel as packed blobs, one for each bucket of hashes and batch of documents, and are matched by sorting a
-bucket in numpy. Sets that share one are linked to the group's least set first; then only groups that are still in several
-components are looked at again, and only across components, so a group of near copies costs its size and not its square.
-Candidates are verified by their whole shingle sets.
+Signatures of few elements are shared by many unlike sets (those of none by all). A set emits only signatures of at least
+e elements, for the largest e at which they are proof enough: the differences needed to change all of them are more than
+a linked set can have (two in a group with three such signatures, one in a group with fewer). Of a linked pair the set
+with the larger e proves that they share a signature of that many elements, which both emit; sets without any such proof
+emit all, and meet by the first argument. So the join loses no link.
+
+Signatures travel as packed blobs, one for each bucket of hashes and slice of documents, and are matched by sorting a
+bucket in numpy. Sets that share a signature form a family around the least of them. A family is compared block by block,
+each block streaming the whole family past an inverted index of its shingles, and yields only the links that join its
+parts: no list of all pairs is made, sent or kept. Links are decided on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -35,12 +37,16 @@ WORDS = 5
 N2, K2 = 3, 1
 #: Bands of set sizes: each is so much wider than the one before.
 RATIO = 1.5
+#: Groups of a band, times the least number.
+SPARE = 1.1
 #: Text whose signatures fall into one bucket, about; a task sorts a bucket at once.
 BUCKET_BYTES = 24_000_000
-#: Shingles of the sets that one task verifies against one set, about.
-VERIFY_SHINGLES = 400_000
-#: Groups with more sets than this are pruned by the signatures a pair must share beyond the first.
-LARGE = 16
+#: Shingles of the sets in a block of a family, about.
+BLOCK_SHINGLES = 1_000_000
+#: Bits of the filter that keeps texts without a family from being shuffled: its size is fixed.
+FILTER_BITS = 1 << 23
+#: Elements that signatures have at least, where a set can afford it.
+ELEMENTS = (4, 3, 2, 1)
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -105,7 +111,7 @@ def differences(largest: int) -> int:
 def groups(largest: int) -> int:
     """Groups of parts for a band: enough for its differences, with some to spare for parts without elements."""
     k = differences(largest)
-    return 1 if k == 0 else int((k + 2) // 2 * 1.04) + 1
+    return 1 if k == 0 else int((k + 2) // 2 * SPARE) + 1
 
 
 def bands_of(size: int) -> list[int]:
@@ -115,13 +121,9 @@ def bands_of(size: int) -> list[int]:
     return [own, own + 1] if 5 * size >= 4 * (int(top[own]) + 1) else [own]
 
 
-def signatures(s: np.ndarray) -> tuple[np.ndarray, int]:
-    """A set's signatures (64 bits), band and group mixed in, and how many of them any linked set shares at least.
-
-    The second number counts the signatures that stay when the set differs in as many elements as a linked one may, where
-    they cost the most: the first differing part of a group takes 2 of its signatures, a second one the third.
-    """
-    out, shared = [], 1 << 15
+def signatures(s: np.ndarray) -> np.ndarray:
+    """A set's signatures (64 bits), band and group mixed in."""
+    out = []
     for band in bands_of(len(s)):
         largest = int(bands()[band])
         k, n1 = differences(largest), groups(largest)
@@ -131,20 +133,21 @@ def signatures(s: np.ndarray) -> tuple[np.ndarray, int]:
         part = (_mix(s ^ seed) % np.uint64(N2 * n1)).astype(np.int64)
         held = np.zeros(N2 * n1, np.uint64)
         np.add.at(held, part, _mix(s + seed))
-        full = np.bincount(part, minlength=N2 * n1).reshape(n1, N2) > 0
         held = held.reshape(n1, N2)
-        filled = full.sum(axis=1)
-        several, one = int((filled >= 2).sum()), int((filled == 1).sum())
-        proof = 2 * several + one > k
+        n = np.bincount(part, minlength=N2 * n1).reshape(n1, N2)
+        n = np.stack([n[:, 0] + n[:, 1], n[:, 0] + n[:, 2], n[:, 1] + n[:, 2]], axis=1)  # elements of each signature
+        most = min(k, len(s) // 4)  # linked sets differ in a quarter of either at most
+        least = 0
+        for e in ELEMENTS:
+            strong = (n >= e).sum(axis=1)
+            if int((strong > 0).sum() + (strong == 3).sum()) > most:
+                least = e
+                break
         label = _mix(np.arange(n1, dtype=np.uint64) * _ODD[1] + seed)
         for i, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):  # subsets of N2 - K2 parts
             own = _mix(held[:, a] * _ODD[2] + held[:, b] * _ODD[3] + label + _ODD[i])
-            out.append(own[full[:, a] | full[:, b]] if proof else own)
-        most = min(k, len(s) // 4)  # linked sets differ in a quarter of either at most
-        first = min(most, several + one)
-        left = 3 * several + 2 * one - 2 * first - min(most - first, several)
-        shared = min(shared, max(1, left) if proof else 1)
-    return (np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)), shared
+            out.append(own[n[:, i] >= least])
+    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
 def sets(docs: DataFrame) -> DataFrame:
@@ -167,24 +170,23 @@ def sets(docs: DataFrame) -> DataFrame:
 def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
     """bucket, blob: signatures of a slice of documents that fall into a bucket.
 
-    A blob: number of sets and of signatures (4 bytes each); the sets' h (8 bytes) and least shared number (2 bytes); the
-    signatures' upper 40 bits; the set of each (2 bytes).
+    A blob: number of sets and of signatures (4 bytes each); the sets' h (8 bytes); the signatures' upper 40 bits; the set
+    of each (2 bytes).
     """
 
     def run(batches):
         shingler = Shingler()
         for b in batches:
             for at in range(0, b.num_rows, 4000):
-                hs, shared, sigs, owner = [], [], [], []
+                hs, sigs, owner = [], [], []
                 for texts in encoder_slices(b.column(1).slice(at, 4000)):
                     for t in texts:
                         s = shingler(t)
                         if len(s):
-                            own, least = signatures(s)
+                            own = signatures(s)
                             if len(own):
                                 owner.append(np.full(len(own), len(hs), np.uint16))
                                 hs.append(fingerprint(s)[:8])
-                                shared.append(min(least, 65_535))
                                 sigs.append(own)
                 if not sigs:
                     continue
@@ -194,74 +196,53 @@ def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
                 order = np.argsort(bucket, kind="stable")
                 bucket, sig, own = bucket[order], sig[order], own[order]
                 edges = np.flatnonzero(np.diff(bucket)) + 1
-                h, c = np.frombuffer(b"".join(hs), "<u8"), np.array(shared, "<u2")
+                h = np.frombuffer(b"".join(hs), "<u8")
                 out = []
                 for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(sig)], strict=True):
                     held, ref = np.unique(own[i:j], return_inverse=True)
                     upper = np.ascontiguousarray((sig[i:j] >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
-                    out.append(np.array([len(held), j - i], "<u4").tobytes() + h[held].tobytes() + c[held].tobytes() + upper.tobytes() + ref.astype("<u2").tobytes())
+                    out.append(np.array([len(held), j - i], "<u4").tobytes() + h[held].tobytes() + upper.tobytes() + ref.astype("<u2").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[[0, *edges.tolist()]].astype("i4")), pa.array(out, pa.binary())], ["bucket", "blob"])
 
     return docs.select("doc_id", text_or_empty()).where("doc_id is not null").mapInArrow(run, "bucket int, blob binary")
 
 
-def _opened(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _opened(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     sets_, n = np.frombuffer(blob, "<u4", 2).tolist()
     h = np.frombuffer(blob, "<u8", sets_, 8)
-    c = np.frombuffer(blob, "<u2", sets_, 8 + 8 * sets_)
     sig = np.zeros((n, 8), np.uint8)
-    sig[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, 8 + 10 * sets_).reshape(n, 5)
-    ref = np.frombuffer(blob, "<u2", n, 8 + 10 * sets_ + 5 * n)
-    return sig.view("<u8").ravel(), h[ref], c[ref]
-
+    sig[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, 8 + 8 * sets_).reshape(n, 5)
+    return sig.view("<u8").ravel(), h[np.frombuffer(blob, "<u2", n, 8 + 8 * sets_ + 5 * n)]
 
-def match(sig: np.ndarray, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sets that share a signature: (a, b) with the least set of each group, and the groups of three or more.
 
-    The groups: signature, set, size, least shared number. Of small groups with the same sets one is enough.
-    """
+def match(sig: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Rows (least set, other set) of the sets that share a signature, each once."""
     order = np.argsort(sig)
     run = sig[order]
     twin = np.zeros(len(run), bool)
     twin[1:] = run[1:] == run[:-1]
     twin[:-1] |= twin[1:]
     order = order[twin]
-    sig, h, c = sig[order], h[order], c[order]
+    sig, h = sig[order], h[order]
     order = np.lexsort((h, sig))
-    sig, h, c = sig[order], h[order], c[order]
-    new = np.ones(len(sig), bool)
-    new[1:] = (sig[1:] != sig[:-1]) | (h[1:] != h[:-1])
-    sig, h, c = sig[new], h[new], c[new]
+    sig, h = sig[order], h[order]
     first = np.ones(len(sig), bool)
     first[1:] = sig[1:] != sig[:-1]
     starts = np.flatnonzero(first)
-    size = np.diff(np.append(starts, len(sig)))
-    each, least = np.repeat(size, size), np.repeat(h[starts], size)
-    pair = (each > 1) & ~first
-    pairs = np.unique(np.stack([least[pair], h[pair]], axis=1), axis=0) if pair.any() else np.empty((0, 2), np.uint64)
-    alike = np.add.reduceat(_mix(h), starts) if len(starts) else np.empty(0, np.uint64)
-    small = np.flatnonzero((size > 2) & (size <= LARGE))
-    kept = np.zeros(len(size), bool)
-    kept[small[np.unique(alike[small], return_index=True)[1]]] = True
-    kept |= size > LARGE
-    kept = np.repeat(kept, size)
-    return pairs[:, 0], pairs[:, 1], sig[kept], h[kept], each[kept], c[kept]
-
-
-def _matched(blobs: DataFrame, buckets: int) -> DataFrame:
-    """kind, x, y, m, c. Kind 0: sets x < y to verify. Kind 1: set y is in group x of m sets."""
-
-    def run(key, group):
+    least = np.repeat(h[starts], np.diff(np.append(starts, len(sig))))
+    pair = least != h
+    return np.unique(np.stack([least[pair], h[pair]], axis=1), axis=0)
+
+
+def _matched(blobs: DataFrame) -> DataFrame:
+    """a, b: set b is in the family of set a."""
+
+    def run(group):
         opened = [_opened(v) for v in group.column("blob").to_pylist()]
-        a, b, g, h, m, c = match(*(np.concatenate(x) for x in zip(*opened, strict=True)))
-        del opened
-        gid = (g * np.uint64(buckets) + np.uint64(key[0].as_py())).view(np.int64)
-        kind = np.repeat(np.array([0, 1], np.int32), [len(a), len(h)])
-        zero = np.zeros(len(a), np.int64)
-        cols = [np.concatenate([np.asarray(a).view(np.int64), gid]), np.concatenate([np.asarray(b).view(np.int64), h.view(np.int64)]), np.concatenate([zero, m]), np.concatenate([zero, c.astype(np.int64)])]
-        return pa.Table.from_arrays([pa.array(kind), *(pa.array(x, pa.int64()) for x in cols)], ["kind", "x", "y", "m", "c"])
+        pairs = match(*(np.concatenate(x) for x in zip(*opened, strict=True)))
+        return pa.Table.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i]).view(np.int64)) for i in (0, 1)], ["a", "b"])
 
-    return blobs.groupBy("bucket").applyInArrow(run, "kind int, x long, y long, m long, c long")
+    return blobs.groupBy("bucket").applyInArrow(run, "a long, b long")
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -270,34 +251,119 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= 80 * (len(a) + len(b) - both)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, folder: str, name: str) -> DataFrame:
-    """The pairs (a, b) that link. A set a with many partners is verified by several tasks, each with a share of them."""
-    spark = pairs.sparkSession
-    pairs = written(pairs, folder, f"{name}-pairs")
-    load = pairs.join(sizes.select(F.col("h").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("n"))
-    shares = written(load.select("a", F.ceil(F.col("n") / VERIFY_SHINGLES).cast("int").alias("k")), folder, f"{name}-shares")
-    members = pairs.join(shares, "a").select("a", F.expr("int(pmod(xxhash64(b), k))").alias("chunk"), F.lit(1).alias("role"), F.col("b").alias("h"))
-    centres = shares.select("a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("chunk"), F.lit(0).alias("role"), F.col("a").alias("h"))
-    rows = members.unionByName(centres).join(texts, "h")
+class Block:
+    """Sets of a block under an inverted index; tells which of them a set links with, and joins those."""
+
+    def __init__(self, hs: list[int], sets_: list[np.ndarray]):
+        self.hs, self.size = np.array(hs, np.int64), np.array([len(s) for s in sets_])
+        element, owner = np.concatenate(sets_), np.repeat(np.arange(len(sets_)), self.size)
+        order = np.argsort(element, kind="stable")
+        self.owner = owner[order]
+        self.element, self.starts = np.unique(element[order], return_index=True)
+        self.counts = np.diff(np.append(self.starts, len(order)))
+        self.parent = list(range(len(hs)))
+
+    def root(self, k: int) -> int:
+        while self.parent[k] != k:
+            self.parent[k] = self.parent[self.parent[k]]
+            k = self.parent[k]
+        return k
+
+    def links(self, h: int, s: np.ndarray) -> np.ndarray:
+        """Positions of the other sets of the block that link with a set."""
+        at = np.minimum(np.searchsorted(self.element, s), len(self.element) - 1)
+        at = at[self.element[at] == s]
+        n = self.counts[at]
+        if not len(at):
+            return at
+        places = np.repeat(self.starts[at] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        both = np.bincount(self.owner[places], minlength=len(self.hs))
+        return np.flatnonzero((100 * both >= 80 * (self.size + len(s) - both)) & (self.hs != h))
+
+    def add(self, h: int, s: np.ndarray, own: int | None = None) -> int | None:
+        """Joins the block's sets that a set links with (and that set, if it is in the block: own); one of them, or None."""
+        found = self.links(h, s)
+        if not len(found):
+            return None
+        roots = {self.root(k) for k in found.tolist()} | ({self.root(own)} if own is not None else set())
+        low = min(roots)
+        for r in roots:
+            self.parent[r] = low
+        return int(self.hs[found[0]])
+
+    def joined(self) -> list[tuple[int, int]]:
+        return [(int(self.hs[k]), int(self.hs[r])) for k in range(len(self.hs)) if (r := self.root(k)) != k]
+
+
+def _filtered(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text) that may have one of the ids: a filter of FILTER_BITS bits, whatever the number of ids."""
+    bits = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("b")).groupBy(F.shiftright("b", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 31 as int)))").alias("v"))
+    words = np.zeros(FILTER_BITS // 32, np.int64)
+    for r in bits.collect():  # FILTER_BITS / 32 rows at most
+        words[r["w"]] = r["v"]
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches):
+        for b in batches:
+            at = b.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["doc_id", "text"]).filter(pa.array((shared.value[at >> 5] >> (at & 31) & 1).astype(bool)))
+
+    return docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("at")).mapInArrow(run, "doc_id long, text string")
+
+
+def _family_links(family: DataFrame, texts: DataFrame, sizes: DataFrame, folder: str) -> DataFrame:
+    """Links (a, b) that join the linked sets of each family: rows (a, b), set b being in the family of a; a is in it too.
+
+    A family with many shingles has several blocks; every set of it is in one, and is streamed past all.
+    """
+    spark = family.sparkSession
+    load = family.join(sizes.select(F.col("h").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("n"))
+    blocks = written(load.select("a", F.ceil(F.col("n") / BLOCK_SHINGLES).cast("int").alias("k")), folder, "blocks")
+    every = family.join(blocks, "a").select("a", "k", F.col("b").alias("h")).unionByName(blocks.select("a", "k", F.col("a").alias("h")))
+    home = F.expr("int(pmod(xxhash64(h), k))")
+    inside = every.select("a", "h", home.alias("chunk"), F.lit(0).alias("role"))
+    past = every.where("k > 1").select("a", "h", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("chunk"), home.alias("home"), F.lit(1).alias("role")).where("chunk <> home").drop("home")
+    rows = inside.unionByName(past).join(texts, "h")
 
     def run(batches):
-        shingler, key, centre = Shingler(), None, None
+        shingler, key, held, block = Shingler(), None, ([], []), None
+        out: list[tuple[int, int]] = []
+
+        def build():
+            made = Block(*held)
+            for k, (h, s) in enumerate(zip(*held, strict=True)):
+                made.add(h, s, k)
+            return made
+
+        def close():
+            nonlocal held, block
+            if held[0]:
+                out.extend((block or build()).joined())
+            held, block = ([], []), None
+
         for b in batches:
             a, chunk, role, h = (b.column(i).to_pylist() for i in range(4))
-            out: list[list[int]] = [[], []]
             for i in range(b.num_rows):
+                if key != (a[i], chunk[i]):
+                    close()
+                    key = (a[i], chunk[i])
                 s = shingler(b.column(4)[i].as_py())
                 if int.from_bytes(fingerprint(s)[:8], "little", signed=True) != h[i]:
                     continue  # another row with the representative's doc_id
                 if role[i] == 0:
-                    key, centre = (a[i], chunk[i]), s
-                elif key == (a[i], chunk[i]) and linked(centre, s):
-                    out[0].append(a[i])
-                    out[1].append(h[i])
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b"])
+                    held[0].append(h[i])
+                    held[1].append(s)
+                elif held[0]:
+                    block = block or build()
+                    if (to := block.add(h[i], s)) is not None:
+                        out.append((h[i], to))
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in (0, 1)], ["a", "b"])
+            out.clear()
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in (0, 1)], ["a", "b"])
 
-    dealt = rows.select("a", "chunk", "role", "h", "text").repartition(parts(spark, 0, 1), "a", "chunk").sortWithinPartitions("a", "chunk", "role")
-    return written(dealt.mapInArrow(run, "a long, b long").distinct(), folder, f"{name}-links")
+    dealt = rows.select("a", "chunk", "role", "h", "text").repartition(parts(spark, 0, 1), "a", "chunk").sortWithinPartitions("a", "chunk", "role", "h")
+    return written(dealt.mapInArrow(run, "a long, b long").distinct(), folder, "links")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -313,31 +379,12 @@ def join(docs: DataFrame) -> DataFrame:
     rows = written(sets(own), folder, "sets")
     classes = written(rows.where("n_shingles > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("cid"), F.max("n_shingles").alias("n"), F.min("h").alias("h")), folder, "classes")
     buckets = parts(spark, input_bytes(own, "text"), BUCKET_BYTES)
-    found = written(_matched(_bucketed(own, buckets), buckets), folder, "matched")
-    pairs = found.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    pairs = written(pairs, folder, "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    family = written(_matched(_bucketed(own, buckets)).distinct(), folder, "family")
+    ends = family.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     needed = written(classes.join(ends, "h").select("h", "n", F.col("cid").alias("doc_id")), folder, "needed")
-    texts = written(own.join(needed.select("h", "doc_id"), "doc_id").select("h", "text"), folder, "texts")
-    sizes = needed.select("h", "n").groupBy("h").agg(F.max("n").alias("n"))
-    first = _verified(pairs, texts, sizes, folder, "first")
-    roots = components(first, folder, "first-components")
-
-    # Groups of three or more that are in several components still: their sets are compared across these.
-    def rooted(of: DataFrame, r: DataFrame) -> DataFrame:
-        return of.join(r.withColumnRenamed("v", "y"), "y", "left").withColumn("root", F.coalesce("root", "y"))
-
-    members = written(rooted(found.where("kind = 1").select("x", "y", "m", "c"), roots), folder, "members")
-    split = members.groupBy("x").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("x")
-    members = members.join(written(split, folder, "split"), "x", "left_semi")
-    # A linked pair shares at least c signatures: of a set's large groups the c - 1 largest can't be all that it shares.
-    small, large = members.where(F.col("m") <= LARGE), members.where(F.col("m") > LARGE)
-    large = large.selectExpr("*", "row_number() over (partition by y order by m desc, x) as r").where("r >= c").drop("r")
-    members = written(small.unionByName(large).select("x", "y", "root"), folder, "split-members")
-    one, two = members.select("x", F.col("y").alias("a"), F.col("root").alias("ra")), members.select("x", F.col("y").alias("b"), F.col("root").alias("rb"))
-    across = one.join(two, "x").where("a < b and ra <> rb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    second = _verified(across, texts, sizes, folder, "second")
-    roots = written(components(first.unionByName(second), folder, "second-components"), folder, "roots")
+    texts = written(_filtered(own, needed).join(needed.select("h", "doc_id"), "doc_id").select("h", "text"), folder, "texts")
+    links = _family_links(family, texts, needed.select("h", "n").groupBy("h").agg(F.max("n").alias("n")), folder)
+    roots = written(components(links, folder), folder, "roots")
 
     nodes = classes.join(roots, F.col("h") == F.col("v"), "left").select("fp", "cid", F.coalesce("root", "h").alias("root"))
     nodes = written(nodes, folder, "nodes")
