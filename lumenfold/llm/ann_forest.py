@@ -28,6 +28,9 @@ TREES = 4
 SAMPLE, LEAF, BLOCK = 65_536, 2048, 4096
 #: Queries by which the number of candidates is measured, and the share of their neighbours that must be found.
 MEASURED, RECALL = 200, 0.96
+#: Rows of the sample that every query is scored against at once. They are candidates, and the k-th best of them is a bar:
+#: leaves return only what reaches it.
+ANCHORS = 8192
 SEED = 11
 
 
@@ -85,12 +88,16 @@ class Forest:
         return out
 
 
-def _top(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, qx: np.ndarray, k: int):
-    """(query, id, score) of each query's k best rows but its own, by score, then by id; the scores are sums in one order."""
+def _top(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, qx: np.ndarray, k: int, bars: np.ndarray | None = None):
+    """(query, id, score) of each query's k best rows but its own, by score, then by id; the scores are sums in one order.
+
+    bars: scores that a query's rows must reach.
+    """
     rough = qx @ x.T
     rough[queries[:, None] == ids[None, :]] = -np.inf
     n = min(k, rough.shape[1])
     bar = np.partition(rough, rough.shape[1] - n, axis=1)[:, rough.shape[1] - n]
+    bar = bar if bars is None else np.maximum(bar, bars)
     slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(bar), bar, 0)))
     q, c = np.nonzero((rough >= (bar - slack)[:, None]) & np.isfinite(rough))
     score = (qx[q] * x[c]).sum(axis=1)
@@ -104,7 +111,8 @@ def _top(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, qx: np.ndarray, k:
 def _leaf_search(k: int):
     def make(ids, n, x):
         def feed(qid, qn, qx):
-            out = [_top(ids, x, qid[i : i + 512], qx[i : i + 512], k) for i in range(0, len(qid), 512)]
+            bars = qn.view(np.float64)  # in the place of a weight
+            out = [_top(ids, x, qid[i : i + 512], qx[i : i + 512], k, bars[i : i + 512]) for i in range(0, len(qid), 512)]
             return [np.concatenate(c) for c in zip(*out, strict=True)]
 
         return feed, lambda: []
@@ -184,8 +192,11 @@ def search(rows: DataFrame, is_query, k: int = K, trees: int = TREES, recall: fl
     asks = is_query(F.col("id"))
     total = vectors.count()
     depth = max(0, min((SAMPLE // 32).bit_length() - 1, int(np.log2(max(1, total / LEAF)))))
-    forest = Forest(_collected(vectors, SAMPLE, dim, F.xxhash64("id"), "id")[1], trees, depth)
+    sample_ids, sample = _collected(vectors, SAMPLE, dim, F.xxhash64("id"), "id")
+    forest = Forest(sample, trees, depth)
     shared = spark.sparkContext.broadcast(forest)  # trees * leaves planes: bounded by SAMPLE
+    few, at = np.unique(sample_ids[:ANCHORS], return_index=True)  # a vec_id once: k + 1 of them hold k other rows
+    anchors = spark.sparkContext.broadcast((few, sample[at]))
 
     def index(batches):
         for b in batches:
@@ -221,7 +232,8 @@ def search(rows: DataFrame, is_query, k: int = K, trees: int = TREES, recall: fl
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                margins = shared.value.margins(unpacked(part.column(1), dim))
+                x = unpacked(part.column(1), dim)
+                margins = shared.value.margins(x)
                 cell, chunk, row = [], [], []
                 for q, m in enumerate(margins):
                     for t, leaf in shared.value.visit(m, counts, enough):
@@ -230,13 +242,27 @@ def search(rows: DataFrame, is_query, k: int = K, trees: int = TREES, recall: fl
                             chunk.append(c)
                             row.append(q)
                 i = part.column(0).to_numpy()
+                bars = np.full(len(i), -np.inf)
+                asked, _, score = _top(*anchors.value, np.arange(len(i)), x, k + 1)  # by position: its own row may be one of these
+                last = np.flatnonzero(np.append(np.diff(asked) != 0, len(asked) > 0))
+                full = np.diff(np.append(-1, last)) == k + 1
+                bars[asked[last[full]]] = score[last[full]]
                 for a in range(0, len(row), 4096):
                     r = np.array(row[a : a + 4096])
-                    yield sweep_batch(cell[a : a + 4096], chunk[a : a + 4096], np.ones(len(r), "i4"), i[r], np.ones(len(r), "i8"), part.column(1).take(pa.array(r)))
+                    yield sweep_batch(cell[a : a + 4096], chunk[a : a + 4096], np.ones(len(r), "i4"), i[r], bars[r].view(np.int64), part.column(1).take(pa.array(r)))
+
+    def near_anchors(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                found = _top(*anchors.value, part.column(0).to_numpy(), unpacked(part.column(1), dim), k)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "id", "score"])
 
+    schema = "query_id long, id long, score double"
     dealt = indexed.mapInArrow(candidates, SWEEP).unionByName(vectors.where(asks).mapInArrow(walks, SWEEP))
     width = min(20_000, max(parts(spark, 0, 1), int(blocks.sum())))
-    return _best(sweep(dealt, width, dim, _leaf_search(k), "query_id long, id long, score double"), k)
+    found = sweep(dealt, width, dim, _leaf_search(k), schema)
+    return _best(found.unionByName(vectors.where(asks).mapInArrow(near_anchors, schema)), k)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
