@@ -1,6 +1,6 @@
 """The engine's queries; importing the package registers all of them."""
 
-from . import ingest, retrieval, uploads  # noqa: F401
+from . import dialogue, ingest, retrieval, streams, uploads  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

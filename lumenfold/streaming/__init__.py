@@ -1 +1 @@
-"""See the modules."""
+"""Structured Streaming forms of the stateful operators."""
