@@ -16,4 +16,4 @@ QUERIES = {
     "op9_range_join": range_join.query,
     "op10_bpe_replay": bpe_replay.query,
 }
-ORACLES: dict[str, str] = {"op5_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op2_shingle_join": shingle_join.ORACLE, "op5_warc": warc.ORACLE, "op9_range_join": range_join.ORACLE}

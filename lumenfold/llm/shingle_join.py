@@ -417,3 +417,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("fp")
+
+
+ORACLE = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) > 0 then list_distinct(list_transform(range(1, greatest(len(w) - 5, 0) + 2), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) else [] end as s from w),
+k as (select doc_id, len(s) as n, md5(array_to_string(list_sort(s), chr(10))) as k, s from s),
+c as (select doc_id, n, case when n > 0 then min(doc_id) over (partition by k) else doc_id end as c, s from k),
+x as (select c, n, unnest(s) as x from c where doc_id = c),
+p as (select a.c as a, b.c as b, count(*) as shared, any_value(a.n) as na, any_value(b.n) as nb from x a join x b on a.x = b.x and a.c <> b.c group by 1, 2),
+l as (select a, b from p where 100 * shared >= 80 * (na + nb - shared)),
+reach as (select c as a, c as b from c union select r.a, l.b from reach r join l on r.b = l.a)
+select c.doc_id, c.n::bigint as n_shingles, r.b as component_id from c join (select a, min(b) as b from reach group by a) r on r.a = c.c
+"""
