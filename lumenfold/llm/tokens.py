@@ -42,30 +42,72 @@ def word_parts(text: str) -> tuple[list[str], list[str]]:
     return text.split(), []
 
 
+def byte_level_split(part: str, spaced: bool) -> list[tuple[bool, str]] | None:
+    """A part as several that are encoded alike alone, or None: at a lone line break, and before a last full stop or comma."""
+    a, _, b = part.partition("\n")
+    if b and a and not a[-1].isspace() and not b[0].isspace():
+        return [(spaced, a), (False, "\n"), (False, b)]
+    if part[-1] in ".," and len(part) > 1 and part[-2].isascii() and part[-2].isalnum():
+        return [(spaced, part[:-1]), (False, part[-1])]
+    return None
+
+
+def word_split(part: str, spaced: bool) -> list[tuple[bool, str]] | None:
+    """The same for words; the tokenizer takes ASCII capitals for small letters."""
+    if part[-1] in ".," and len(part) > 1 and part[-2].isascii() and part[-2].isalnum():
+        return [(spaced, part[:-1]), (spaced, part[-1])]
+    if part.isascii() and (small := part.lower()) != part:
+        return [(spaced, small)]
+    return None
+
+
 class PieceEncoder:
     """Texts to the bytes of their ids (little-endian, 4 bytes each)."""
 
-    def __init__(self, cut, encode, most: int = 250_000, slice_chars: int = 250_000):
-        """cut: text to (parts, parts after a space); encode: (parts, whether a space precedes) to a list of bytes."""
-        self.cut, self.encode, self.most, self.slice_chars = cut, encode, most, slice_chars
+    def __init__(self, cut, split, encode, most: int = 400_000, slice_chars: int = 250_000):
+        """cut: text to (parts, parts after a space); split: a new part to several, or None; encode: (parts, whether a
+        space precedes) to a list of bytes; most: parts kept."""
+        self.cut, self.split, self.encode, self.most, self.slice_chars = cut, split, encode, most, slice_chars
         self.bare: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
 
-    def _know(self, table: dict[str, bytes], spaced: bool, lists: list[list[str]]) -> None:
-        if len(table) > self.most:
-            table.clear()
+    def _know(self, spaced: bool, lists: list[list[str]]) -> None:
+        tables, split = (self.bare, self.spaced), self.split
+        table = tables[spaced]
         new: dict[str, None] = {}
         for own in lists:
             new.update(dict.fromkeys([x for x in own if x not in table]))
-        if new:
-            parts = list(new)
-            table.update(zip(parts, self.encode(parts, spaced), strict=True))
+        if not new:
+            return
+        single: tuple[dict[str, None], dict[str, None]] = ({}, {})
+        several, todo = [], [(spaced, x) for x in new]
+        met = set(todo)
+        for sp, x in todo:  # grows
+            subs = split(x, sp)
+            if subs is None:
+                single[sp][x] = None
+                continue
+            several.append((tables[sp], x, subs))
+            for sub in subs:
+                if sub[1] not in tables[sub[0]] and sub not in met:
+                    met.add(sub)
+                    todo.append(sub)
+        for sp in (False, True):
+            if single[sp]:
+                parts = list(single[sp])
+                tables[sp].update(zip(parts, self.encode(parts, sp), strict=True))
+        several.sort(key=lambda y: (len(y[1]), not y[1].islower()))  # subs are shorter, or the same in small letters
+        for t, x, subs in several:
+            t[x] = b"".join([tables[sp][y] for sp, y in subs])
 
     def _slice(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut(t) for t in texts]
-        self._know(self.bare, False, [a for a, _ in cut])
-        self._know(self.spaced, True, [b for _, b in cut])
         bare, spaced = self.bare, self.spaced
+        if len(bare) + len(spaced) > self.most:
+            bare.clear()
+            spaced.clear()
+        self._know(False, [a for a, _ in cut])
+        self._know(True, [b for _, b in cut])
         return [b"".join([bare[x] for x in a] + [spaced[x] for x in b]) for a, b in cut]
 
     def many(self, texts) -> list[bytes]:
@@ -128,7 +170,7 @@ def library_encoder(path: str, kind: str) -> PieceEncoder:
                 return alone(parts)
             return cut([" " + " ".join(parts[i : i + _TOGETHER]) for i in range(0, len(parts), _TOGETHER)], opens, 0)
 
-        return PieceEncoder(byte_level_parts, encode)
+        return PieceEncoder(byte_level_parts, byte_level_split, encode)
 
     zero = tokenizer.encode("\0", add_special_tokens=False).ids
     opens[zero] = True
@@ -142,7 +184,7 @@ def library_encoder(path: str, kind: str) -> PieceEncoder:
             return [known[p] for p in parts]
         return cut(["\0 " + " \0 ".join(parts[i : i + _TOGETHER]) for i in range(0, len(parts), _TOGETHER)], opens, 1)
 
-    return PieceEncoder(word_parts, encode_words)
+    return PieceEncoder(word_parts, word_split, encode_words)
 
 
 def vocabulary_size(path: str) -> int:
