@@ -64,7 +64,7 @@ def word_split(part: str, spaced: bool) -> list[tuple[bool, str]] | None:
 class PieceEncoder:
     """Texts to the bytes of their ids (little-endian, 4 bytes each)."""
 
-    def __init__(self, cut, split, encode, most: int = 400_000, slice_chars: int = 250_000):
+    def __init__(self, cut, split, encode, most: int = 800_000, slice_chars: int = 500_000):
         """cut: text to (parts, parts after a space); split: a new part to several, or None; encode: (parts, whether a
         space precedes) to a list of bytes; most: parts kept."""
         self.cut, self.split, self.encode, self.most, self.slice_chars = cut, split, encode, most, slice_chars
