@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenfold.llm import packing, quality, shingle_join, toxicity
-from lumenfold.llm.common import shared_dir, written
+from lumenfold.llm.common import remove, shared_dir, written
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), folder, name)
+        if before:
+            remove(spark, folder, before)
+        before = name
     return docs

@@ -33,11 +33,11 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def remove(uri: str) -> None:
-    """Delete a folder that is no longer read."""
-    fs, path = filesystem(uri)
-    if fs.get_file_info(path).type != pafs.FileType.NotFound:
-        fs.delete_dir(path)
+def remove(spark: SparkSession, folder: str, *names: str) -> None:
+    """Delete tables of a shared folder that are no longer read (the whole folder without names)."""
+    for uri in [f"{folder}/{n}" for n in names] or [folder]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def write_file(uri: str, chunks, attempt: object) -> int:

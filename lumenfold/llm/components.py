@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import remove, written
 
 
 def _apart(column: str):
@@ -43,4 +43,5 @@ def components(edges: DataFrame, folder: str, name: str = "components", rounds:
             return e.select(F.col("u").alias("v"), F.col("v").alias("root"))
         seen = now
         e = written(_small(written(_large(e), folder, f"{name}-{k}-large")), folder, f"{name}-{k}")
+        remove(edges.sparkSession, folder, f"{name}-{k - 1}", f"{name}-{k}-large")
     raise RuntimeError("components didn't settle")

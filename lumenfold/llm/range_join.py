@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, shared_dir, written
+from .common import parts, remove, shared_dir, written
 from .components import components
 from .vectors import SWEEP, dimension, fingerprint, matrix, packed, sweep, sweep_batch, unit, unpacked, usable
 
@@ -168,6 +168,7 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, cell: int = CELL) -
     roots = components(joined.where("a != b").select("a", "b"), folder)
     nodes = classes.select("key", "id").join(links, F.col("id") == F.col("a"), "left").join(roots, F.col("id") == F.col("v"), "left").select("key", "links", F.coalesce("root", "id").alias("root"))
     nodes = written(nodes, folder, "nodes")
+    remove(spark, folder, "classes", "homes", "links")
     linked = keyed.select("vec_id", "key").join(nodes, "key").select("vec_id", F.col("links").alias("n_links"), F.col("root").alias("component_id"))
     alone = own.where(~fit).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).select("*", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))

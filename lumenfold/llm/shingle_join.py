@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe_replay import encoder_slices
-from .common import input_bytes, parts, shared_dir, text_or_empty, written
+from .common import input_bytes, parts, remove, shared_dir, text_or_empty, written
 from .components import components
 
 WORDS = 5
@@ -390,6 +390,7 @@ def join(docs: DataFrame) -> DataFrame:
     nodes = written(nodes, folder, "nodes")
     least = written(nodes.groupBy("root").agg(F.min("cid").alias("component_id")), folder, "least")
     nodes = written(nodes.join(least, "root").select("fp", "component_id"), folder, "rooted")
+    remove(spark, folder, "classes", "family", "needed", "texts", "blocks", "links", "roots", "nodes", "least")
     inside = rows.where("n_shingles > 0 and doc_id is not null").join(nodes, "fp").select("doc_id", "n_shingles", "component_id", "fp")
     alone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "fp")
     return inside.unionByName(alone)
