@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import shared_dir, written
+
 #: Tags whose content is no text of the page, and is skipped up to their end tag.
 RAW = frozenset("script style textarea title noscript template iframe object svg math canvas audio video xmp noframes noembed".split())
 #: Tags that aren't part of the article.
@@ -222,7 +224,7 @@ def extract(pages: DataFrame) -> DataFrame:
     pages by a join on the host: Spark broadcasts them only below its size limit, and splits a host that has most pages.
     """
     own = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("host", host(F.col("url")))
-    best = winning_paths(votes(own))
+    best = written(winning_paths(votes(own)), shared_dir(pages.sparkSession), "winners")  # its size is known: if small, pages stay where they are
 
     def run(batches):
         for b in batches:
