@@ -202,6 +202,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     own = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     keyed = own.withColumn("d", F.when(F.octet_length("html") >= REVISIT_BYTES, F.sha1(F.col("html").cast("binary"))))
     kept = keyed.where("d is not null and page_id is not null").groupBy("d").agg(F.max("page_id").alias("first"), F.min("page_id").alias("least")).where("first > least").select("d", "first")
+    kept = written(kept, folder + "-index", "repeated")  # its size is known: if small, pages stay where they are
     rows = keyed.join(kept, "d", "left").select("page_id", "url", "html", F.when(F.col("first") > F.col("page_id"), F.col("first")).alias("refers_to"))
 
     def run(batches):
