@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import text_or_empty
-from .tokens import _PIECE, PieceEncoder, byte_level_parts, byte_level_split
+from .tokens import _PIECE, PieceEncoder, byte_level_parts
 
 #: Words whose ids a worker keeps, about; the table is emptied beyond.
 MOST_WORDS = 250_000
@@ -169,7 +169,7 @@ def _codec(path: str) -> tuple[PieceEncoder, list[bytes], list[str]]:
     table = [b""] * (max(ranks.values()) + 1)
     for t, r in ranks.items():
         table[r] = t
-    return PieceEncoder(byte_level_parts, byte_level_split, encode), table, [str(i) for i in range(len(table))]
+    return PieceEncoder(byte_level_parts, encode, small=False, breaks=True), table, [str(i) for i in range(len(table))]
 
 
 def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import os
+import string
 
 import numpy as np
 import public_tokenizers
@@ -42,70 +43,79 @@ def word_parts(text: str) -> tuple[list[str], list[str]]:
     return text.split(), []
 
 
-def byte_level_split(part: str, spaced: bool) -> list[tuple[bool, str]] | None:
-    """A part as several that are encoded alike alone, or None: at a lone line break, and before a last full stop or comma."""
+def at_line_break(part: str) -> tuple[str, str] | None:
+    """What stands before and after a part's lone line break, all three of which are encoded alike alone; or None."""
     a, _, b = part.partition("\n")
-    if b and a and not a[-1].isspace() and not b[0].isspace():
-        return [(spaced, a), (False, "\n"), (False, b)]
-    if part[-1] in ".," and len(part) > 1 and part[-2].isascii() and part[-2].isalnum():
-        return [(spaced, part[:-1]), (False, part[-1])]
-    return None
-
-
-def word_split(part: str, spaced: bool) -> list[tuple[bool, str]] | None:
-    """The same for words; the tokenizer takes ASCII capitals for small letters."""
-    if part[-1] in ".," and len(part) > 1 and part[-2].isascii() and part[-2].isalnum():
-        return [(spaced, part[:-1]), (spaced, part[-1])]
-    if part.isascii() and (small := part.lower()) != part:
-        return [(spaced, small)]
-    return None
+    return (a, b) if a and b and not a[-1].isspace() and not b[0].isspace() else None
 
 
 class PieceEncoder:
-    """Texts to the bytes of their ids (little-endian, 4 bytes each)."""
+    """Texts to the bytes of their ids (little-endian, 4 bytes each).
+
+    A new part is put together from parts known already where that gives the same ids: a word and the marks after it,
+    what stands around a line break, and (for tokenizers that take ASCII capitals for small letters) the small word.
+    """
 
-    def __init__(self, cut, split, encode, most: int = 800_000, slice_chars: int = 500_000):
-        """cut: text to (parts, parts after a space); split: a new part to several, or None; encode: (parts, whether a
-        space precedes) to a list of bytes; most: parts kept."""
-        self.cut, self.split, self.encode, self.most, self.slice_chars = cut, split, encode, most, slice_chars
+    def __init__(self, cut, encode, small: bool, breaks: bool, most: int = 800_000, slice_chars: int = 500_000):
+        """cut: text to (parts, parts after a space); encode: (parts, whether a space precedes) to a list of bytes;
+        small, breaks: whether capitals count as small letters, and line breaks have ids; most: parts kept."""
+        self.cut, self.encode, self.small, self.breaks, self.most, self.slice_chars = cut, encode, small, breaks, most, slice_chars
         self.bare: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+
+    def _learn(self, spaced: bool, new: list[str]) -> None:
+        """Puts parts without line breaks to themselves in the table."""
+        table, marks, small = (self.spaced if spaced else self.bare), self.marks, self.small
+        single: dict[str, None] = {}
+        made: list[tuple[str, str, str]] = []
+        tails: dict[str, None] = {}
+        for part in new:
+            word = part.rstrip(string.punctuation)
+            tail = part[len(word) :]
+            if tail and not (word and word[-1].isalnum()):
+                word, tail = part, ""
+            if small and word.isascii():
+                word = word.lower()
+            if word not in table:
+                single[word] = None
+            if tail and tail not in marks:
+                tails[tail] = None
+            made.append((part, word, tail))
+        if tails:
+            marks.update(zip(tails, self.encode(list(tails), False), strict=True))
+        if single:
+            table.update(zip(single, self.encode(list(single), spaced), strict=True))
+        for part, word, tail in made:
+            if tail:
+                table[part] = table[word] + marks[tail]
+            elif part is not word:
+                table[part] = table[word]
 
     def _know(self, spaced: bool, lists: list[list[str]]) -> None:
-        tables, split = (self.bare, self.spaced), self.split
-        table = tables[spaced]
-        new: dict[str, None] = {}
+        table = self.spaced if spaced else self.bare
+        found: dict[str, None] = {}
         for own in lists:
-            new.update(dict.fromkeys([x for x in own if x not in table]))
-        if not new:
+            found.update(dict.fromkeys([x for x in own if x not in table]))
+        if not found:
             return
-        single: tuple[dict[str, None], dict[str, None]] = ({}, {})
-        several, todo = [], [(spaced, x) for x in new]
-        met = set(todo)
-        for sp, x in todo:  # grows
-            subs = split(x, sp)
-            if subs is None:
-                single[sp][x] = None
-                continue
-            several.append((tables[sp], x, subs))
-            for sub in subs:
-                if sub[1] not in tables[sub[0]] and sub not in met:
-                    met.add(sub)
-                    todo.append(sub)
-        for sp in (False, True):
-            if single[sp]:
-                parts = list(single[sp])
-                tables[sp].update(zip(parts, self.encode(parts, sp), strict=True))
-        several.sort(key=lambda y: (len(y[1]), not y[1].islower()))  # subs are shorter, or the same in small letters
-        for t, x, subs in several:
-            t[x] = b"".join([tables[sp][y] for sp, y in subs])
+        new = list(found)
+        broken = [(x, ab) for x in new if "\n" in x and (ab := at_line_break(x))] if self.breaks else []
+        if broken:
+            gone = {x for x, _ in broken}
+            heads = dict.fromkeys(a for _, (a, _) in broken if a not in table)
+            new = list(dict.fromkeys([x for x in new if x not in gone]) | heads)
+            self._learn(False, [x for x in dict.fromkeys(["\n", *(b for _, (_, b) in broken)]) if x not in self.bare])
+        self._learn(spaced, new)
+        for x, (a, b) in broken:
+            table[x] = table[a] + self.bare["\n"] + self.bare[b]
 
     def _slice(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut(t) for t in texts]
         bare, spaced = self.bare, self.spaced
-        if len(bare) + len(spaced) > self.most:
-            bare.clear()
-            spaced.clear()
+        if len(bare) + len(spaced) + len(self.marks) > self.most:
+            for table in (bare, spaced, self.marks):
+                table.clear()
         self._know(False, [a for a, _ in cut])
         self._know(True, [b for _, b in cut])
         return [b"".join([bare[x] for x in a] + [spaced[x] for x in b]) for a, b in cut]
@@ -170,7 +180,7 @@ def library_encoder(path: str, kind: str) -> PieceEncoder:
                 return alone(parts)
             return cut([" " + " ".join(parts[i : i + _TOGETHER]) for i in range(0, len(parts), _TOGETHER)], opens, 0)
 
-        return PieceEncoder(byte_level_parts, byte_level_split, encode)
+        return PieceEncoder(byte_level_parts, encode, small=False, breaks=True)
 
     zero = tokenizer.encode("\0", add_special_tokens=False).ids
     opens[zero] = True
@@ -184,7 +194,7 @@ def library_encoder(path: str, kind: str) -> PieceEncoder:
             return [known[p] for p in parts]
         return cut(["\0 " + " \0 ".join(parts[i : i + _TOGETHER]) for i in range(0, len(parts), _TOGETHER)], opens, 1)
 
-    return PieceEncoder(word_parts, word_split, encode_words)
+    return PieceEncoder(word_parts, encode_words, small=True, breaks=False)
 
 
 def vocabulary_size(path: str) -> int:

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from lumenfold.llm import bpe_replay, packing, token_files
 
 SF = "/root/testdata/sf0.001"
-ODD = ["", " ", "  ", "a", " a", "a  b", "a \n b", "x\n\n  y ", "it's  we'll 'S", "\x1c a\x1db", "é ́x", " a  b", "123 4567", "<|endoftext|> a<|endoftext|>", "日本語 テキスト", "👩‍👩‍👧 ok", "İstanbul ΣΑΣ ς", "a" * 3000, "!?" * 700, "\t\ttab", "\r\n", "ab\u0000c", "One.\nTwo, three.\n\nFour .\n Five,\n. six.,\n9.\nX", "A.\x1fB.\n", "\n.", ",", "ABC, Abc. aBC.. É. é, ΑΣ.", None]
+ODD = ["", " ", "  ", "a", " a", "a  b", "a \n b", "x\n\n  y ", "it's  we'll 'S", "\x1c a\x1db", "é ́x", " a  b", "123 4567", "<|endoftext|> a<|endoftext|>", "日本語 テキスト", "👩‍👩‍👧 ok", "İstanbul ΣΑΣ ς", "a" * 3000, "!?" * 700, "\t\ttab", "\r\n", "ab\u0000c", "One.\nTwo, three.\n\nFour .\n Five,\n. six.,\n9.\nX", "A.\x1fB.\n", "\n.", ",", "a*** b!!, é##' 's' it's.' ü.) x\u0301, 7%% \u4e00. \u2460! \u00b2? (w) [z]", "ABC, Abc. aBC.. É. é, ΑΣ.", None]
 
 
 def rows(spark, texts):
@@ -22,7 +22,7 @@ def rows(spark, texts):
 
 def random_texts(n=300):
     r = random.Random(5)
-    alphabet = "ab  cA.,B\n\tdéß'.,!12  　Ωя漢字🙂\x1f"
+    alphabet = "ab  cA.,B!*\n\tdéß'.,!12  　Ωя漢字🙂\x1f"
     return ["".join(r.choice(alphabet) for _ in range(r.randint(0, 60))) for _ in range(n)]
 
 
