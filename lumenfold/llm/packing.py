@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_replay import encoder_slices
-from .common import input_bytes, parts, text_or_empty
+from .common import input_bytes, text_or_empty
 from .tokens import library_encoder
 
 VOCABULARY, END_ID, LENGTH = "word_bpe_49k.json", 1, 2048

@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: a document's label is the noisy-or of its sentences'.
 
-A sentence's score is s = sigmoid(bias + sum of its words' weights); a word's weight is the sum of the weights of its
+A sentence's score is s = sigmoid(bias + sum of its distinct words' weights); a word's weight is the sum of the weights of its
 hashed features (the word, its first and last letters) that enough documents of the sample hold. A document's score is
 1 - product(1 - s), and only documents are labelled: the gradient reaches the sentences that explain the label. The
 trained sentence scores then locate the offending sentences.
@@ -31,6 +31,8 @@ THRESHOLD = 0.3
 #: Documents of the sample that must hold a feature.
 LEAST_DOCS = 5
 START, BIAS = 4.0, -8.0
+#: The same for parts of words: other words share them.
+PART_START = 3.0
 FOLDS, HELD_OUT = 4, 2
 
 
@@ -70,24 +72,24 @@ def word_features(word: str) -> list[int]:
 
 
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words in lower case) of each sentence that has words; long ones are cut."""
+    """(start, end, distinct words in lower case) of each sentence that has words; long ones are cut."""
     out = []
     for m in _SENTENCE.finditer(text):
         spans = [w.span() for w in _TOKEN.finditer(text, m.start(), m.end())]
         for i in range(0, len(spans), SENTENCE_WORDS):
             part = spans[i : i + SENTENCE_WORDS]
-            out.append((part[0][0], part[-1][1], [text[a:b].lower() for a, b in part]))
+            out.append((part[0][0], part[-1][1], list(dict.fromkeys(text[a:b].lower() for a, b in part))))
     return out
 
 
 def sentence_words(text: str) -> list[list[str]]:
-    """The words of the same sentences, without their places."""
+    """The distinct words of the same sentences, without their places: a word said often counts once in a sentence."""
     out = []
     for s in _SENTENCE.findall(text.lower() if text.isascii() else text):
         words = _TOKEN.findall(s)
         if not text.isascii():
             words = [w.lower() for w in words]
-        out += [words] if 0 < len(words) <= SENTENCE_WORDS else [words[i : i + SENTENCE_WORDS] for i in range(0, len(words), SENTENCE_WORDS)]
+        out += [list(dict.fromkeys(words[i : i + SENTENCE_WORDS])) for i in range(0, len(words), SENTENCE_WORDS)]
     return out
 
 
@@ -144,7 +146,7 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, steps: int = 60, ra
         feature_n.append(len(own))
         features.extend(own)
     of, feature_n, features = range(len(words)), np.array(feature_n), np.array(features)
-    del ids, words
+    del ids
     # Features of few documents would fit the labels by chance: they have no weight.
     of_word = np.repeat(np.arange(len(of), dtype=np.int32), feature_n)
     in_docs = np.unique(np.repeat(owner, lengths).astype(np.int64) << 32 | flat)
@@ -160,7 +162,8 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, steps: int = 60, ra
     both = [np.bincount(local, c[of_word], len(seen)) for c in (marked, np.bincount(in_docs & 0xFFFFFFFF, minlength=len(of)) - marked)]
     few = 3 * np.array([y.mean(), 1 - y.mean()])  # so many documents more, as if without the label's influence
     odds = np.log((both[0] + few[0]) / (y.sum() + few[0])) - np.log((both[1] + few[1]) / ((1 - y).sum() + few[1]))
-    v, bias = START * np.maximum(0, odds - 1), BIAS
+    whole = np.isin(seen, [zlib.crc32(f"w {w[:40]}".encode("utf-8", "replace")) % FEATURES for w in words])
+    v, bias = np.where(whole, START, PART_START) * np.maximum(0, odds - 1), BIAS
     m1, m2, b1, b2 = np.zeros_like(v), np.zeros_like(v), 0.0, 0.0
     for t in range(1, steps + 1):
         word_weight = np.bincount(of_word, v[local], len(of))
