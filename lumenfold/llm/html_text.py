@@ -1,9 +1,11 @@
 """Main text of web pages by consensus host paths.
 
 A page is parsed into blocks of text, each below a path of containers (tag and class, digits and order left out, so that
-pages of one template share paths). Each page's containers are scored by the text directly in them, outside links, and the
-page votes for the path of the best. Votes are summed by host in Spark. Every page is then parsed again and its text taken
-from the container at its host's winning path; a page without that path (another template) gives its own best container.
+pages of one template share paths). Each page's containers are scored by the text directly in them, outside links. From the
+best one the page climbs to what holds the article (always to an enclosing article or main element, else to ancestors that
+add a heading or other text that isn't links) and votes for that path. Votes are summed by host in Spark. Every page is then
+parsed again and its text taken from all containers at its host's winning path; a page without that path (another template)
+gives its own.
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by their
 tags and by the words of their class, id and role.
 """
@@ -41,6 +43,9 @@ CONTAINERS = frozenset("body main article section div td center".split())
 BLOCKS = frozenset(
     "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote table thead tbody tfoot tr th caption figure figcaption address hr br html details summary hgroup".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Characters outside links from which on a box beside the best one is part of the article.
+PROSE = 40
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 _MARKUP = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
@@ -66,13 +71,14 @@ def _names(attributes: str) -> tuple[str, set[str]]:
 
 
 class Page:
-    """Containers of a page (path, parent, characters outside links) and its blocks of text (container, text)."""
+    """Containers of a page (tag, path, parent, characters outside and in links, headings) and its blocks of text (container, text)."""
 
     def __init__(self, html: str):
-        self.paths, self.parents, self.size, self.blocks = [""], [-1], [0], []
+        self.tags, self.paths, self.parents, self.size, self.linked, self.heads, self.blocks = [""], [""], [-1], [0], [0], [0], []
         stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container, left out
         text: list[str] = []
         links = [0, 0]  # open links, characters in them
+        heading = [False]  # whether the text is that of a heading
         at, n = 0, len(html)
 
         def flush() -> None:
@@ -83,7 +89,10 @@ class Page:
                     c = stack[-1][1]
                     self.blocks.append((c, block))
                     self.size[c] += max(0, len(block) - links[1])
+                    self.linked[c] += min(len(block), links[1])
+                    self.heads[c] += heading[0]
             links[1] = 0
+            heading[0] = False
 
         def say(part: str) -> None:
             if not stack[-1][2]:
@@ -130,6 +139,7 @@ class Page:
                 flush()
                 if stack[-1][0] == "p":  # a paragraph ends where a block begins
                     stack.pop()
+                heading[0] = tag in HEADINGS
             if tag not in CONTAINERS and tag not in LEFT_OUT:
                 marked = "=" in attributes and not attributes.endswith("/") and bool(_names(attributes)[1] & MARKS)
                 if tag not in VOID and tag != "html" and (marked or (stack[-1][2] and tag == stack[-1][0])):
@@ -146,13 +156,23 @@ class Page:
                 if tag == "body":
                     del stack[1:]
                     left, up = False, 0
+                self.tags.append(tag)
                 self.paths.append(f"{self.paths[up]}>{tag}{'.' + classes if classes else ''}")
                 self.parents.append(up)
-                self.size.append(0)
+                for counts in (self.size, self.linked, self.heads):
+                    counts.append(0)
                 stack.append((tag, len(self.paths) - 1, left))
             elif not attributes.endswith("/"):
                 stack.append((tag, stack[-1][1], True))
         flush()
+        self.total = self._with_inner(self.size)
+
+    def _with_inner(self, counts: list[int]) -> list[int]:
+        """The sum of counts over each container and all in it."""
+        out = list(counts)
+        for c in range(len(out) - 1, 0, -1):  # a container comes after its parent
+            out[self.parents[c]] += out[c]
+        return out
 
     def scores(self) -> list[float]:
         """Text in each container itself, and half of that in the containers directly in it."""
@@ -162,27 +182,67 @@ class Page:
                 out[up] += self.size[c] / 2
         return out
 
-    def best(self, path: str | None = None) -> int:
-        """The container of the highest score (at a path), or -1; the first of equals."""
+    def best(self) -> int:
+        """The container of the highest score, or -1; the first of equals."""
         scores = self.scores()
-        found = [c for c in range(len(scores)) if (path is None or self.paths[c] == path) and scores[c] > 0]
-        return max(found, key=lambda c: (scores[c], -c), default=-1)
-
-    def text(self, container: int) -> str:
-        """The blocks in a container, in page order, one space between them."""
+        return max((c for c in range(len(scores)) if scores[c] > 0), key=lambda c: (scores[c], -c), default=-1)
+
+    def element(self, container: int) -> int:
+        """The outermost article or main element around a container, or the container itself."""
+        found, c = container, container
+        while c >= 0:
+            found = c if self.tags[c] in ("article", "main") else found
+            c = self.parents[c]
+        return found
+
+    def article(self) -> int:
+        """The container that holds the article, or -1.
+
+        Outside article and main elements this is the last ancestor of the best container that adds to it: text of its own
+        (in body a heading, or as much as a box must have), or a box with a heading or prose that isn't mostly links.
+        """
+        c = self.best()
+        if c < 0 or self.tags[self.element(c)] in ("article", "main"):
+            return self.element(c) if c >= 0 else -1
+        linked, heads = self._with_inner(self.linked), self._with_inner(self.heads)
+        adds = [0] * len(self.parents)  # boxes directly in it that would add to the article
+        for k in range(1, len(adds)):
+            adds[self.parents[k]] += self._adds(self.total[k], linked[k], heads[k])
+        found = c
+        while self.parents[c] >= 0:
+            up = self.parents[c]
+            own = self.size[up] > self.linked[up] if self.tags[up] not in ("", "body") else self._adds(self.size[up], self.linked[up], self.heads[up])
+            if own or adds[up] > self._adds(self.total[c], linked[c], heads[c]):
+                found = up
+            c = up
+        return found
+
+    @staticmethod
+    def _adds(prose: int, linked: int, heads: int) -> bool:
+        return prose > linked and (heads > 0 or prose >= PROSE)
+
+    def at(self, path: str) -> list[int]:
+        """The containers at a path, or the article or main elements around them; none if there is no text outside links."""
+        found = [c for c in range(len(self.paths)) if self.paths[c] == path]
+        return [self.element(c) for c in found] if any(self.total[c] for c in found) else []
+
+    def text(self, containers: list[int]) -> str:
+        """The blocks in the containers, in page order, one space between them."""
         inside = [False] * len(self.parents)
+        for c in containers:
+            inside[c] = True
         for c, up in enumerate(self.parents):
-            inside[c] = c == container or (up >= 0 and inside[up])
+            inside[c] = inside[c] or (up >= 0 and inside[up])
         return " ".join([t for c, t in self.blocks if inside[c]])
 
 
 def main_text(page: Page, winners: list[str]) -> str:
     for path in winners:
-        c = page.best(path)
-        if c >= 0:
-            return page.text(c)
-    c = page.best()
-    return page.text(c) if c >= 0 else ""
+        found = page.at(path)
+        if found:
+            return page.text(found)
+    c = page.article()
+    return page.text(page.at(page.paths[c])) if c >= 0 else ""
 
 
 def host(url):
@@ -198,11 +258,11 @@ def votes(pages: DataFrame) -> DataFrame:
             sums: dict[tuple[str, str], list[float]] = {}
             for i in range(b.num_rows):
                 page = Page(b.column(1)[i].as_py())
-                c = page.best()
+                c = page.article()
                 if c >= 0:
                     x = sums.setdefault((b.column(0)[i].as_py(), page.paths[c]), [0, 0.0])
                     x[0] += 1
-                    x[1] += page.scores()[c]
+                    x[1] += page.total[c]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1] for v in sums.values()], pa.float64())], ["host", "path", "votes", "score"])
 
     each = pages.select("host", "html").mapInArrow(run, "host string, path string, votes long, score double")

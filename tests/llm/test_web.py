@@ -102,6 +102,20 @@ def test_page_text():
     assert text('<div><p class="x" title="a>b">in</p><p class=ad>out<p>in2</div>') == "in in2"
 
 
+def test_nested_and_multi_section_articles(spark):
+    words = lambda name, n: (name + " ") * n + name
+    lead, body, more = words("lead", 19), words("body", 399), words("more", 119)
+    nested = f"<body><nav>x</nav><article><h1>Title</h1><p>{lead}</p><div class=body><p>{body}</p></div></article><div class=promo2>few</div></body>"
+    sections = f"<body><article><section><p>{body}</p></section><section><p>{more}</p></section></article></body>"
+    boxes = f"<body><div class=top><a href=x>{words('menu', 30)}</a></div><div class=post><h1>T</h1><div class=body>{body}</div><div class=more>{more}</div></div><div>few</div></body>"
+    twice = f"<body><div class=m>{body}</div><div class=m>{more}</div><div class=z>few</div></body>"
+    want = {1: f"Title {lead} {body}", 2: f"{body} {more}", 3: f"T {body} {more}"}
+    assert [text(nested), text(sections), text(boxes)] == list(want.values())
+    assert text(twice, [">body>div.m"]) == f"{body} {more}"
+    rows = [(k, f"http://h{k}.example/{i}", h) for k, h in zip(want, (nested, sections, boxes)) for i in range(3)]
+    assert all(r.text == want[r.page_id] for r in html_text.extract(pages(spark, rows)).collect())
+
+
 def test_hosts_vote(spark):
     body = "<body><div class=m><p>%s</p></div><div class=wide><p>%s</p></div></body>"
     rows = [(i, "http://H.example:80/a", body % (f"main {i} " * 9, "promo ")) for i in range(5)]
