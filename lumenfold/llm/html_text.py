@@ -7,7 +7,8 @@ add a heading or other text that isn't links) and votes for that path. Votes are
 parsed again and its text taken from all containers at its host's winning path; a page without that path (another template)
 gives its own.
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by their
-tags and by the words of their class, id and role.
+tags and by the words of their class, id and role. Words can mislead ("page sidebar-right"), so a marked element is let in
+again where it holds what the page is about: a main element, most of the text, or all text that there is.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from .common import shared_dir, written
 RAW = frozenset("script style textarea title noscript template iframe object svg math canvas audio video xmp noframes noembed".split())
 #: Tags that aren't part of the article.
 LEFT_OUT = frozenset("nav header footer aside form button select menu dialog fieldset head option optgroup datalist".split())
-#: Of those, ones inside which an article or main element still counts.
+#: Of those, ones that some sites put around the page: an article or main element in them counts, and they are like marked ones.
 WRAPPERS = frozenset("form header fieldset".split())
 #: Words of a class, id or role that mark what isn't part of the article.
 MARKS = frozenset(
@@ -35,8 +36,16 @@ MARKS = frozenset(
     "comment comments commentlist disqus reply replies respond discussion share sharing shares social related recommended recommendations teaser teasers widget widgets "
     "search searchbox form forms pagination pager tags taglist hidden complementary contentinfo dialog search".split()
 )
-#: Words that say that a mark is about the layout only ("with-sidebar").
-LAYOUT = frozenset("with has no without".split())
+#: Of those, words of what readers write, however long that is.
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
+#: Words that say that a mark is about the layout or a state only ("with-sidebar", "comments-open").
+LAYOUT = frozenset("with has no without open closed enabled disabled".split())
+#: Class names and ids of what the page is about, whatever stands beside them.
+CONTENT = frozenset("page wrap wrapper container content main post entry hentry story site layout".split())
+#: Kinds of marks: by part of a name ("header-fixed"), by a whole name ("sidebar"), by readers' words.
+LOOSE, PLAIN, READERS = 1, 2, 3
+#: How many times the text outside marks an element must hold to be let in again, by kind of mark.
+TIMES = {LOOSE: 1, PLAIN: 3}
 #: Containers that make up paths.
 CONTAINERS = frozenset("body main article section div td center".split())
 #: Tags that end a block of text, besides containers.
@@ -55,19 +64,20 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?|</{t}\Z", re.I) for t in RAW}
 
 
-def _names(attributes: str) -> tuple[str, set[str]]:
-    """Generalised class of a tag and the words of its class, id and role."""
-    classes, words = "", set()
+def _names(attributes: str) -> tuple[str, int]:
+    """Generalised class of a tag, and the kind of mark that its class, id and role are (0 if none)."""
+    classes, kind, content = "", 0, False
     if attributes:
         for m in _NAMES.finditer(attributes):
             value = m[2] or m[3] or m[4] or ""
             for token in value.split():
-                own = _WORD.findall(_CAMEL.sub(" ", token).lower())
-                if not LAYOUT & set(own):
-                    words.update(own)
+                own = set(_WORD.findall(_CAMEL.sub(" ", token).lower()))
+                content = content or token.lower() in CONTENT
+                if own & MARKS and not LAYOUT & own:
+                    kind = max(kind, READERS if own & COMMENTS else PLAIN if own <= MARKS else LOOSE)
             if m[1].lower() == "class":
                 classes = ".".join(sorted({re.sub(r"\d+", "", t.lower()) for t in value.split()}))
-    return classes, words
+    return classes, min(kind, LOOSE) if content else kind
 
 
 class Page:
@@ -75,6 +85,7 @@ class Page:
 
     def __init__(self, html: str):
         self.tags, self.paths, self.parents, self.size, self.linked, self.heads, self.blocks = [""], [""], [-1], [0], [0], [0], []
+        self.marks, self.freed = [0], [False]  # kind of mark; whether wrappers around it don't count
         stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container, left out
         text: list[str] = []
         links = [0, 0]  # open links, characters in them
@@ -94,6 +105,16 @@ class Page:
             links[1] = 0
             heading[0] = False
 
+        def enter(tag: str, path: str, mark: int, freed: bool = False) -> None:
+            self.parents.append(stack[-1][1])
+            self.tags.append(tag)
+            self.paths.append(path)
+            self.marks.append(mark)
+            self.freed.append(freed)
+            for counts in (self.size, self.linked, self.heads):
+                counts.append(0)
+            stack.append((tag, len(self.paths) - 1, stack[-1][2]))
+
         def say(part: str) -> None:
             if not stack[-1][2]:
                 part = html_lib.unescape(part) if "&" in part else part
@@ -140,33 +161,96 @@ class Page:
                 if stack[-1][0] == "p":  # a paragraph ends where a block begins
                     stack.pop()
                 heading[0] = tag in HEADINGS
-            if tag not in CONTAINERS and tag not in LEFT_OUT:
-                marked = "=" in attributes and not attributes.endswith("/") and bool(_names(attributes)[1] & MARKS)
-                if tag not in VOID and tag != "html" and (marked or (stack[-1][2] and tag == stack[-1][0])):
-                    flush()
-                    stack.append((tag, stack[-1][1], True))
-                continue
+            up, left = stack[-1][1:]
             if tag in CONTAINERS:
-                classes, words = _names(attributes)
-                _, up, left = stack[-1]
-                if tag in ("main", "article") and left and all(t in WRAPPERS or not x for t, _, x in stack):
-                    left = False
-                if tag not in ("body", "main"):
-                    left = left or bool(words & MARKS)
                 if tag == "body":
                     del stack[1:]
-                    left, up = False, 0
-                self.tags.append(tag)
-                self.paths.append(f"{self.paths[up]}>{tag}{'.' + classes if classes else ''}")
-                self.parents.append(up)
-                for counts in (self.size, self.linked, self.heads):
-                    counts.append(0)
-                stack.append((tag, len(self.paths) - 1, left))
-            elif not attributes.endswith("/"):
-                stack.append((tag, stack[-1][1], True))
+                    up = 0
+                classes, mark = _names(attributes)
+                freed = tag in ("main", "article") and all(t in WRAPPERS or not (x or self.marks[c]) for t, c, x in stack)
+                enter(tag, f"{self.paths[up]}>{tag}{'.' + classes if classes else ''}", 0 if tag in ("body", "main") else mark, freed)
+            elif tag in LEFT_OUT:
+                if attributes.endswith("/"):
+                    pass
+                elif tag in WRAPPERS:
+                    enter(tag, f"{self.paths[up]}>{tag}", PLAIN)
+                else:
+                    stack.append((tag, up, True))
+            elif tag not in VOID and tag != "html":
+                classes, mark = _names(attributes) if "=" in attributes and not attributes.endswith("/") else ("", 0)
+                if mark and not left:
+                    flush()
+                    enter(tag, f"{self.paths[up]}>{tag}{'.' + classes if classes else ''}", mark)
+                    heading[0] = tag in HEADINGS
+                elif tag == stack[-1][0]:
+                    flush()
+                    stack.append((tag, up, left))
         flush()
+        self._leave_out()
         self.total = self._with_inner(self.size)
 
+    def _leave_out(self) -> None:
+        """Drop the text of marked elements, after letting in again those that hold what the page is about."""
+        if not any(self.marks):
+            return
+        total, n = self._with_inner(self.size), len(self.parents)
+        while True:
+            most = [0] * n  # the strongest mark on an element or around it
+            for c in range(1, n):
+                most[c] = max(self.marks[c], 0 if self.freed[c] else most[self.parents[c]])
+            plain = sum(self.size[c] for c in range(n) if not most[c])
+            outer = [c for c in range(1, n) if self.marks[c] and (self.freed[c] or not most[self.parents[c]])]
+            if not outer:
+                return
+            chosen = self._misleading(outer, most, plain, total)
+            if not chosen:
+                break
+            for c in chosen:
+                self.marks[c] = 0
+        for c in range(n):
+            if most[c]:
+                self.size[c] = self.linked[c] = self.heads[c] = 0
+        self.blocks = [(c, t) for c, t in self.blocks if not most[c]]
+
+    def _misleading(self, outer: list[int], most: list[int], plain: int, total: list[int]) -> list[int]:
+        """Of the outermost marked elements those to let in, all of one path: the ones with most text, if that is enough."""
+        n = len(self.parents)
+        inner = [0] * n  # the strongest mark in an element's way from the outermost marked one, without that one's
+        top = [-1] * n
+        for c in outer:
+            top[c] = c
+        own = any(self.tags[c] in ("main", "article") and not most[c] and total[c] for c in range(n))
+        held: dict[str, list[int]] = {}  # path: text not below whole-name marks, whether a main, an article is in it
+        for c in range(1, n):
+            if top[c] < 0 and most[c]:
+                top[c], inner[c] = top[self.parents[c]], max(inner[self.parents[c]], self.marks[c])
+            if top[c] >= 0:
+                x = held.setdefault(self.paths[top[c]], [0, 0, 0])
+                x[0] += self.size[c] if inner[c] <= LOOSE else 0
+                if total[c]:
+                    x[1] |= self.tags[c] == "main"
+                    x[2] |= self.tags[c] == "article" and inner[c] <= LOOSE and self.marks[c] <= LOOSE
+        best = None
+        for c in outer:
+            text, main, article = held[self.paths[c]]
+            mark = self.marks[c]
+            if main and not own and self.tags[c] not in WRAPPERS:
+                enough = True
+            elif mark == READERS:
+                enough = False
+            else:
+                enough = text > plain * (1 if article and not own else TIMES[mark])
+            if enough and (best is None or (main, text) > best[0]):
+                best = (main, text), self.paths[c]
+        if best is None and not plain:  # no text but in marked elements
+            whole: dict[tuple[bool, str], int] = {}
+            for c in outer:
+                key = (self.marks[c] != READERS, self.paths[c])
+                whole[key] = whole.get(key, 0) + total[c]
+            key = max((k for k in whole if whole[k]), key=lambda k: (k[0], whole[k]), default=None)
+            best = key and (None, key[1])
+        return [c for c in outer if self.paths[c] == best[1]] if best else []
+
     def _with_inner(self, counts: list[int]) -> list[int]:
         """The sum of counts over each container and all in it."""
         out = list(counts)

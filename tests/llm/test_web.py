@@ -116,6 +116,20 @@ def test_nested_and_multi_section_articles(spark):
     assert all(r.text == want[r.page_id] for r in html_text.extract(pages(spark, rows)).collect())
 
 
+def test_misleading_marks(spark):
+    prose = ("words of the article " * 60).strip()
+    side = "<div class=sidebar><p>Other things here</p></div><div id=comments><p>Nice</p></div>"
+    wrappers = ["<div class='page sidebar-right'>%s</div>", "<div id=wrap class=header-fixed>%s</div>", "<article class='post comments-open tag-search'>%s</article>", "<div class='page sidebar-right'><div class='text header-fixed'>%s</div></div>",
+                "<div class=widget><main>%s</main></div>", "<div class=social-page><article>%s</article></div>", "<form><div class=x>%s</div></form>", "<div class=banner><section>%s</section></div>", "<app-root class=header-fixed><div>%s</div></app-root>"]
+    made = [f"<body><p>Skip</p>{w % f'<h1>T</h1><p>{prose}</p>{side}'}<footer>foot</footer></body>" for w in wrappers]
+    for html in made:
+        assert f"T {prose}" in text(html) and "Other" not in text(html) and "Nice" not in text(html), html
+    assert text(f"<body><div class=discussion><p>{prose}</p></div></body>") == prose
+    assert text(f"<body><div class=m><p>{prose}</p></div><div id=comments><p>{prose * 5}</p></div><div class=sidebar-right><p>Other</p></div></body>") == prose
+    rows = [(k, f"http://h{k}.example/{i}", h) for k, h in enumerate(made) for i in range(3)]
+    assert all(prose in r.text for r in html_text.extract(pages(spark, rows)).collect())
+
+
 def test_hosts_vote(spark):
     body = "<body><div class=m><p>%s</p></div><div class=wide><p>%s</p></div></body>"
     rows = [(i, "http://H.example:80/a", body % (f"main {i} " * 9, "promo ")) for i in range(5)]
