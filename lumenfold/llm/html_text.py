@@ -4,8 +4,8 @@ A page is parsed into blocks of text, each below a path of containers (tag and c
 pages of one template share paths). Each page's containers are scored by the text directly in them, outside links. From the
 best one the page climbs to what holds the article (always to an enclosing article or main element, else to ancestors that
 add a heading or other text that isn't links) and votes for that path. Votes are summed by host in Spark. Every page is then
-parsed again and its text taken from all containers at its host's winning path; a page without that path (another template)
-gives its own.
+parsed again and its text taken from all containers at one of its host's winning paths, chosen by the votes of other pages
+and by how much of the page's text lies there; a page without such a path (another template) gives its own.
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by their
 tags and by the words of their class, id and role. Words can mislead ("page sidebar-right"), so a marked element is let in
 again where it holds what the page is about: a main element, most of the text, or all text that there is.
@@ -55,6 +55,9 @@ BLOCKS = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Characters outside links from which on a box beside the best one is part of the article.
 PROSE = 40
+#: Share of a host's votes from which on a path is a template's (a host so has 100 at most, besides its first), and share of
+#: the most text at such a path of a page below which another one is a small box.
+TEMPLATE, SMALL = 0.01, 0.2
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 _MARKUP = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
@@ -310,6 +313,11 @@ class Page:
         found = [c for c in range(len(self.paths)) if self.paths[c] == path]
         return [self.element(c) for c in found] if any(self.total[c] for c in found) else []
 
+    def within(self, container: int, outer: int) -> bool:
+        while container > outer:  # a container comes after its parent
+            container = self.parents[container]
+        return container == outer
+
     def text(self, containers: list[int]) -> str:
         """The blocks in the containers, in page order, one space between them."""
         inside = [False] * len(self.parents)
@@ -320,13 +328,25 @@ class Page:
         return " ".join([t for c, t in self.blocks if inside[c]])
 
 
-def main_text(page: Page, winners: list[str]) -> str:
-    for path in winners:
-        found = page.at(path)
-        if found:
-            return page.text(found)
+def main_text(page: Page, winners: list[tuple[str, int]]) -> str:
+    """Text of a page, given its host's winning paths and their votes; the page's own vote says nothing about a template."""
     c = page.article()
-    return page.text(page.at(page.paths[c])) if c >= 0 else ""
+    own = page.paths[c] if c >= 0 else None
+    found = []  # votes times text, path, text
+    for path, count in winners:
+        count -= path == own
+        at = page.at(path) if count else []
+        if at:
+            text = sum(page.total[k] for k in set(at))
+            found.append((count * text, path, text))
+    if found:
+        most = max(x[2] for x in found)
+        path = max((x for x in found if x[2] >= SMALL * most), key=lambda x: x[0])[1]
+        at = page.at(path)
+        if any(x[1] == own for x in found) and all(page.within(k, c) for k in at):  # other pages back the larger choice too
+            at = page.at(own)
+        return page.text(at)
+    return page.text(page.at(own)) if c >= 0 else ""
 
 
 def host(url):
@@ -353,11 +373,11 @@ def votes(pages: DataFrame) -> DataFrame:
     return each.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("score").alias("score"))
 
 
-def winning_paths(of: DataFrame, share: float = 0.2, most: int = 3) -> DataFrame:
-    """host, paths: a host's paths by votes (then by name), with at least a share of the first one's votes."""
-    ranked = of.selectExpr("*", "row_number() over (partition by host order by votes desc, path) as r").where(F.col("r") <= most)
-    top = ranked.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("r", "votes", "path"))).alias("p"))  # at most `most` a host
-    return top.select("host", F.transform(F.filter("p", lambda x: x.votes >= share * F.col("p")[0].votes), lambda x: x.path).alias("paths"))
+def winning_paths(of: DataFrame) -> DataFrame:
+    """host, paths (path, votes): a host's first path by votes (then by name) and all with the share of a template."""
+    ranked = of.selectExpr("*", "row_number() over (partition by host order by votes desc, path) as r", "sum(votes) over (partition by host) as n")
+    top = ranked.where((F.col("r") == 1) | (F.col("votes") >= TEMPLATE * F.col("n"))).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("r", "votes", "path"))).alias("p"))
+    return top.select("host", F.transform("p", lambda x: F.struct(x.path.alias("path"), x.votes.alias("votes"))).alias("paths"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -372,7 +392,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = [main_text(Page(b.column(2)[i].as_py()), b.column(3)[i].as_py() or []) for i in range(b.num_rows)]
+            texts = [main_text(Page(b.column(2)[i].as_py()), [(w["path"], w["votes"]) for w in b.column(3)[i].as_py() or []]) for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return own.join(best, "host", "left").select("page_id", "url", "html", "paths").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -111,7 +111,7 @@ def test_nested_and_multi_section_articles(spark):
     twice = f"<body><div class=m>{body}</div><div class=m>{more}</div><div class=z>few</div></body>"
     want = {1: f"Title {lead} {body}", 2: f"{body} {more}", 3: f"T {body} {more}"}
     assert [text(nested), text(sections), text(boxes)] == list(want.values())
-    assert text(twice, [">body>div.m"]) == f"{body} {more}"
+    assert text(twice, [(">body>div.m", 2)]) == f"{body} {more}"
     rows = [(k, f"http://h{k}.example/{i}", h) for k, h in zip(want, (nested, sections, boxes)) for i in range(3)]
     assert all(r.text == want[r.page_id] for r in html_text.extract(pages(spark, rows)).collect())
 
@@ -141,6 +141,16 @@ def test_hosts_vote(spark):
     assert html_text.extract(pages(spark, rows).limit(0)).count() == 0
 
 
+def test_rare_templates_of_a_host(spark):
+    def page(k, name):
+        return k, "http://h.example/", f"<body><div class=box>short box</div><div class={name}><p>{f'article {k} ' * 40}</p></div></body>"
+
+    rows = [(k, "http://h.example/", f"<body><div class=box>{f'article {k} ' * 40}</div></body>") for k in range(40)]
+    rows += [page(40 + 2 * i + j, name) for i, name in enumerate(["b", "c", "d", "e", "f"]) for j in range(2)]
+    got = html_text.extract(pages(spark, rows)).collect()
+    assert len(got) == 50 and all(r.text == (f"article {r.page_id} " * 40).strip() for r in got)
+
+
 def test_extraction_over_a_table(spark):
     import re
 
