@@ -24,6 +24,8 @@ COSINE = 0.95
 #: Home vectors of a cell, about, and the most pivots (they go to every task).
 CELL, MOST_PIVOTS = 4096, 4096
 BLOCK = 2048
+#: Distance of pivots from which on rounding leaves the plane between them exact enough (about 1e-9).
+APART = 1e-3
 #: How far below the bound single precision may put a cosine that is above it.
 _SLACK = 1e-4
 
@@ -61,9 +63,9 @@ def _spread(homes: DataFrame, pivots: np.ndarray, eps: float, count: dict[int, i
     p, dim = pivots.shape
     between = _distances(pivots, pivots)
     np.fill_diagonal(between, 1)
-    between[between == 0] = 1e-300  # equal pivots: no plane between them
+    between[between < APART] = np.inf  # no plane between them: nothing is left out by it
     blocks = np.array([max(1, -(-count.get(q, 0) // BLOCK)) for q in range(p)])
-    reach = np.array([radius.get(q, -10.0) for q in range(p)]) + eps + 1e-9
+    reach = np.array([radius.get(q, -10.0) for q in range(p)]) + eps + 1e-7  # a radius near 0 is that inexact
 
     def run(batches):
         for b in batches:

@@ -71,6 +71,17 @@ def test_range_join_over_many_blocks(spark, monkeypatch):
     assert got == sorted(brute_links(list(range(200)), vectors))
 
 
+def test_range_join_of_last_bit_copies(spark):
+    rng = np.random.default_rng(5)
+    base = np.array([1.0, 0.5, 0.25, 0.125, 1e-5, 2e-5, 3e-5, 4e-5], np.float32)
+    copies = [[*map(float, base[:4]), *map(float, base[4:] + np.spacing(base[4:]) * rng.integers(-3, 4, 4).astype(np.float32))] for _ in range(80)]
+    near = [[float(np.float32(x)) for x in base + rng.normal(0, 0.1, DIM)] for _ in range(60)]
+    vectors = copies + near
+    df = spark.createDataFrame([(i, v, 0, 0) for i, v in enumerate(vectors)], SCHEMA)
+    for cell in (4, 20):
+        assert sorted(tuple(r) for r in range_join.near_duplicates(df, cell=cell).collect()) == sorted(brute_links(list(range(len(vectors))), vectors))
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert range_join.near_duplicates(df).count() == 0
