@@ -28,8 +28,8 @@ TREES = 4
 SAMPLE, LEAF, BLOCK = 65_536, 2048, 4096
 #: Queries by which the number of candidates is measured, and the share of their neighbours that must be found.
 MEASURED, RECALL = 200, 0.96
-#: Rows of the sample that every query is scored against at once. They are candidates, and the k-th best of them is a bar:
-#: leaves return only what reaches it.
+#: Rows of the sample that give each query a bar: the k-th best of those in the leaves it visits. Leaves return only what
+#: reaches it, and only leaves return rows: what a query finds doesn't depend on these.
 ANCHORS = 8192
 SEED = 11
 
@@ -195,8 +195,8 @@ def search(rows: DataFrame, is_query, k: int = K, trees: int = TREES, recall: fl
     sample_ids, sample = _collected(vectors, SAMPLE, dim, F.xxhash64("id"), "id")
     forest = Forest(sample, trees, depth)
     shared = spark.sparkContext.broadcast(forest)  # trees * leaves planes: bounded by SAMPLE
-    few, at = np.unique(sample_ids[:ANCHORS], return_index=True)  # a vec_id once: k + 1 of them hold k other rows
-    anchors = spark.sparkContext.broadcast((few, sample[at]))
+    at = np.unique(sample_ids[:ANCHORS], return_index=True)[1]  # a vec_id once: k + 1 of them hold k other rows
+    anchors = spark.sparkContext.broadcast((sample[at], forest.assign(sample[at])))
 
     def index(batches):
         for b in batches:
@@ -235,34 +235,33 @@ def search(rows: DataFrame, is_query, k: int = K, trees: int = TREES, recall: fl
                 x = unpacked(part.column(1), dim)
                 margins = shared.value.margins(x)
                 cell, chunk, row = [], [], []
+                visited = np.zeros((len(x), trees, shared.value.leaves), bool)
                 for q, m in enumerate(margins):
                     for t, leaf in shared.value.visit(m, counts, enough):
+                        visited[q, t, leaf] = True
                         for c in range(blocks[t][leaf]):
                             cell.append(t << 40 | leaf)
                             chunk.append(c)
                             row.append(q)
                 i = part.column(0).to_numpy()
                 bars = np.full(len(i), -np.inf)
-                asked, _, score = _top(*anchors.value, np.arange(len(i)), x, k + 1)  # by position: its own row may be one of these
-                last = np.flatnonzero(np.append(np.diff(asked) != 0, len(asked) > 0))
-                full = np.diff(np.append(-1, last)) == k + 1
-                bars[asked[last[full]]] = score[last[full]]
+                of, leaves = anchors.value
+                if len(of) > k:  # k + 1 of them, as a query's own row may be one
+                    rough = x @ of.T
+                    met = np.zeros(rough.shape, bool)
+                    for t in range(trees):
+                        met |= visited[:, t][:, leaves[:, t]]
+                    rough[~met] = -np.inf
+                    bars = np.partition(rough, len(of) - k - 1, axis=1)[:, len(of) - k - 1]
                 for a in range(0, len(row), 4096):
                     r = np.array(row[a : a + 4096])
                     yield sweep_batch(cell[a : a + 4096], chunk[a : a + 4096], np.ones(len(r), "i4"), i[r], bars[r].view(np.int64), part.column(1).take(pa.array(r)))
 
-    def near_anchors(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                found = _top(*anchors.value, part.column(0).to_numpy(), unpacked(part.column(1), dim), k)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "id", "score"])
-
     schema = "query_id long, id long, score double"
     dealt = indexed.mapInArrow(candidates, SWEEP).unionByName(vectors.where(asks).mapInArrow(walks, SWEEP))
     width = min(20_000, max(parts(spark, 0, 1), int(blocks.sum())))
     found = sweep(dealt, width, dim, _leaf_search(k), schema)
-    return _best(found.unionByName(vectors.where(asks).mapInArrow(near_anchors, schema)), k)
+    return _best(found, k)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

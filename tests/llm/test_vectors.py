@@ -130,6 +130,18 @@ def test_search_recall_and_scores(spark, monkeypatch):
     assert exact
 
 
+@pytest.mark.parametrize("anchors", [300, 8192])
+def test_search_returns_rows_of_visited_leaves_alone(spark, monkeypatch, anchors):
+    monkeypatch.setattr(ann_forest, "LEAF", 64)
+    monkeypatch.setattr(ann_forest, "ANCHORS", anchors)
+    x = np.array(planted(2000, seed=2))
+    df = spark.createDataFrame([(i, [*map(float, v)], 0, 0) for i, v in enumerate(x)], SCHEMA)
+    want = truth(list(range(len(x))), x)
+    assert 0.9 <= check_search(ann_forest.search(df, lambda i: i % 20 == 0).collect(), want)
+    monkeypatch.setattr(ann_forest, "measure", lambda *a: 1)  # one leaf a query
+    assert check_search(ann_forest.search(df, lambda i: i % 20 == 0).collect(), want) < 0.9
+
+
 def test_search_of_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 0, 0), (20, [1.0, 0.0], 0, 0), (3, [2.0, 1.0], 0, 0), (3, [2.0, 1.0], 0, 0), (1, [2.0, 5.0], 0, 0)], SCHEMA)
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann_forest.search(df, lambda i: i % 20 == 0).collect())
