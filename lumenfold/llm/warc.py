@@ -2,7 +2,8 @@
 
 Each record is a gzip member of its own. The reader checks every record (member checksum, version line, content length,
 block digest, closing blank lines). After a failed check it looks for the next member or version line, reads on from
-there, and reports the bytes between as a gap.
+there, and reports the bytes between as a gap. A member that holds several records is read the same way inside; of one that
+is cut or corrupt, what it yields before its error is read.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import gzip
 import hashlib
 import io
 import re
+import tempfile
 import zlib
 from urllib.parse import quote
 
@@ -26,8 +28,8 @@ from .common import filesystem, parts, shared_dir, write_file, written
 REVISIT_BYTES = 1000
 #: Bytes after which a task opens another archive.
 ARCHIVE_BYTES = 32_000_000
-#: A record longer than this is taken for damage.
-RECORD_BYTES = 1 << 30
+#: Bytes of a member's content from which on it is held in a temporary file.
+HELD_BYTES = 1 << 26
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _URN = re.compile(r"<urn:lumenfold:page:(-?\d+|none)>$")
@@ -84,7 +86,7 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
             raise Damage("a header line without a colon")
         fields[name.strip().lower()] = value.strip()
     size = fields.get("content-length", "")
-    if not size.isdigit() or int(size) > RECORD_BYTES:
+    if not (size.isascii() and size.isdigit()) or len(size) > 18:
         raise Damage("no content length")
     start = end + 4
     block = data[start : start + int(size)]
@@ -121,23 +123,50 @@ def _find(f, what: re.Pattern | bytes, at: int, size: int) -> int:
     return size
 
 
-def _member(f, at: int, size: int) -> tuple[bytes, int]:
-    """A gzip member's content and end."""
-    d, out, pos, total = zlib.decompressobj(31), [], at, 0
+def _member(f, at: int, out) -> tuple[int | None, str]:
+    """Writes a gzip member's content, as far as it can be read; its end, or None and what is wrong."""
+    d, pos = zlib.decompressobj(31), at
     f.seek(at)
     while not d.eof:
         part = f.read(_STEP)
         if not part:
-            raise Damage("member cut short")
+            return None, "member cut short"
         pos += len(part)
+        before = d.copy()
         try:
-            out.append(d.decompress(part))
+            out.write(d.decompress(part))
         except zlib.error as e:
-            raise Damage(f"member: {e}") from None
-        total += len(out[-1])
-        if total > RECORD_BYTES:
-            raise Damage("member too long")
-    return b"".join(out), pos - len(d.unused_data)
+            try:  # again in small steps: what comes before the error
+                for i in range(len(part)):
+                    out.write(before.decompress(part[i : i + 1]))
+            except zlib.error:
+                pass
+            return None, f"member: {e}"
+    return pos - len(d.unused_data), ""
+
+
+def _inside(f, at: int, result: list):
+    """Yields fields and block of the records in a gzip member; result becomes its end (None if damaged) and what is wrong."""
+    with tempfile.SpooledTemporaryFile(HELD_BYTES) as content:
+        end, why = _member(f, at, content)
+        size = content.tell()
+        # Of a damaged member: records with a digest that another one follows, if the damage shows in a gap (headers have no
+        # digest, and what stands just before an error may be its work).
+        if end is not None or any(kind == "gap" for kind, *_ in salvage(content, size, False)):
+            last = None
+            for kind, start, x, y in salvage(content, size, False):
+                if last:
+                    content.seek(start)
+                    if _VERSION.match(content.read(16)):
+                        yield last
+                last = None
+                if kind == "gap":
+                    why = why or y
+                elif end is not None:
+                    yield x, y
+                elif x.get("warc-block-digest", "").startswith("sha1:"):
+                    last = x, y
+        result += [end, why]
 
 
 def _plain(f, at: int, size: int) -> tuple[dict[str, str], bytes, int]:
@@ -146,41 +175,48 @@ def _plain(f, at: int, size: int) -> tuple[dict[str, str], bytes, int]:
     data = f.read(_STEP)
     while b"\r\n\r\n" not in data and len(data) < 1 << 22 and (part := f.read(_STEP)):
         data += part
-    m = re.search(rb"\r\nContent-Length:\s*(\d+)\s*\r\n", data[: data.find(b"\r\n\r\n") + 2], re.I)
-    if m and int(m[1]) <= RECORD_BYTES:
+    m = re.search(rb"\r\nContent-Length:\s*(\d{1,18})\s*\r\n", data[: data.find(b"\r\n\r\n") + 2], re.I)
+    if m:
         need = data.find(b"\r\n\r\n") + 8 + int(m[1])
+        if need > size - at:
+            raise Damage("block cut short")
         while len(data) < need and (part := f.read(need - len(data))):
             data += part
     fields, block, end = parse(data)
     return fields, block, at + end
 
 
-def salvage(f, size: int):
-    """Yields ("record", offset, fields, block) and ("gap", start, end, reason) over a seekable file."""
+def salvage(f, size: int, members: bool = True):
+    """Yields ("record", offset, fields, block) and ("gap", start, end, reason) over a seekable file.
+
+    A gap of a member from which some records were recovered is the whole member, after those records.
+    """
     at, gap, why = 0, None, ""
     while at < size:
         f.seek(at)
-        start = f.read(3)
+        result: list = []
         try:
-            if start == _MEMBER:
-                data, end = _member(f, at, size)
-                found, pos = [], 0
-                while pos < len(data):
-                    fields, block, pos = parse(data, pos)
-                    found.append((fields, block))
+            if members and f.read(3) == _MEMBER:
+                found = _inside(f, at, result)
             else:
                 *one, end = _plain(f, at, size)
-                found = [tuple(one)]
+                found, result = [tuple(one)], [end, ""]
         except Damage as e:
-            if gap is None:
-                gap, why = at, str(e)
-            at = min(_find(f, _MEMBER, at + 1, size), _find(f, _VERSION, at + 1, size))
-            continue
-        if gap is not None:
-            yield "gap", gap, at, why
-            gap = None
+            found, result = [], [None, str(e)]
         for fields, block in found:
+            if gap is not None:
+                yield "gap", gap, at, why
+                gap = None
             yield "record", at, fields, block
+        end, wrong = result
+        if wrong and gap is None:
+            gap, why = at, wrong
+        elif not wrong and gap is not None:
+            yield "gap", gap, at, why
+            gap = None
+        if end is None:
+            end = _find(f, _VERSION, at + 1, size)
+            end = min(_find(f, _MEMBER, at + 1, size), end) if members else end
         at = end
     if gap is not None:
         yield "gap", gap, size, why

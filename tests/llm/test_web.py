@@ -74,6 +74,28 @@ def test_salvage_of_damaged_archives(zipped):
     assert warc.salvage_bytes(b"") == []
 
 
+def test_salvage_inside_a_member(monkeypatch):
+    def ids(found):
+        return [int(f[2]["warc-target-uri"][1:]) for f in found if f[0] == "record"]
+
+    monkeypatch.setattr(warc, "HELD_BYTES", 500, raising=False)
+    rng = random.Random(1)
+    parts = [warc.record(i, f"u{i}", bytes(rng.randrange(97, 123) for _ in range(2000))) for i in range(6)]
+    bad = parts[:2] + [parts[2].replace(b"\r\n\r\n", b"\r\n\r\n?", 1)] + parts[3:]
+    one, other = gzip.compress(b"".join(bad), mtime=0), gzip.compress(parts[0], mtime=0)
+    found = warc.salvage_bytes(one + other)
+    assert ids(found) == [0, 1, 3, 4, 5, 0] and [f[1:3] for f in found if f[0] == "gap"] == [(0, len(one))]
+    whole = gzip.compress(b"".join(parts), mtime=0)
+    found = warc.salvage_bytes(whole[: len(whole) * 3 // 4])
+    assert ids(found) == [0, 1, 2, 3] and found[-1][:3] == ("gap", 0, len(whole) * 3 // 4)
+    for at in range(len(whole) // 2, len(whole) - 8, 211):
+        data = bytearray(whole)
+        data[at] ^= 0x5A
+        found = warc.salvage_bytes(bytes(data) + other)
+        assert found[-1][:2] == ("record", len(whole)) and all(f[3] in parts[k] for k, f in zip(ids(found), found) if f[0] == "record")
+    assert [f[0] for f in warc.salvage_bytes(whole + other)] == ["record"] * 7
+
+
 def test_reader_logs_gaps_in_spark(spark, tmp_path):
     parts = [gzip.compress(r, mtime=0) for r in records()]
     (tmp_path / "a.warc.gz").write_bytes(parts[0] + parts[1][:-9] + parts[2])
