@@ -2,7 +2,7 @@
 
 A sentence's score is s = sigmoid(bias + sum of its distinct words' weights); a word's weight is the sum of the weights of its
 hashed features (the word, its first and last letters) that enough documents of the sample hold. A document's score is
-1 - product(1 - s), and only documents are labelled: the gradient reaches the sentences that explain the label. The
+1 - product(1 - s) after taking out of each s what a sentence without known words has, so that length alone adds nothing, and only documents are labelled: the gradient reaches the sentences that explain the label. The
 trained sentence scores then locate the offending sentences.
 """
 
@@ -99,9 +99,14 @@ class Model:
     bias: float
 
     def scorer(self, most: int = 300_000):
-        """A function from lists of words (sentences) to their scores; word weights are kept in a bounded table."""
+        """A function from lists of words (sentences) to their scores; word weights are kept in a bounded table.
+
+        A score is what is above that of a sentence without known words, as a share of what there is above it. Only a
+        model that calls everything toxic (its sample was) keeps that score.
+        """
         table: dict[str, float] = {}
         weights, bias = self.weights, self.bias
+        floor = 1 / (1 + np.exp(-np.clip(bias, -40, 40))) if bias < 0 else 0.0
 
         def score(lists: list[list[str]]) -> np.ndarray:
             if len(table) > most:
@@ -115,7 +120,8 @@ class Model:
                     flat.append(x)
             starts = np.cumsum([0, *(len(words) for words in lists[:-1])])
             z = bias + np.add.reduceat(np.array(flat), starts)
-            return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+            s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+            return np.maximum(0, s - floor) / (1 - floor)
 
         return score
 

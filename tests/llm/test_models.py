@@ -76,3 +76,12 @@ def test_attention_finds_the_passage():
 def test_gradient_reaches_sentences():
     s = np.array([0.2, 0.5, 0.0])
     assert abs(toxicity.noisy_or(s) - (1 - 0.8 * 0.5)) < 1e-12
+
+
+def test_length_alone_is_not_toxic():
+    weights = np.zeros(toxicity.FEATURES, np.float32)
+    weights[toxicity.word_features("bad")] = 9.0
+    scorer = toxicity.Model(weights, -8.0).scorer()
+    clean = toxicity.sentence_words("some plain words. " * 20_000)
+    assert toxicity.noisy_or(scorer(clean)) == 0 and toxicity.noisy_or(scorer([*clean, ["bad"]])) > 0.7
+    assert toxicity.noisy_or(toxicity.Model(0 * weights, 6.0).scorer()([["x"]])) > 0.9
