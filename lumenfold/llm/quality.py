@@ -32,7 +32,7 @@ HIDDEN, GATE = 32, 16
 def shape(word: str) -> str:
     """Letters by case, digits as 0, other characters as they are; runs of one kind once, longer ones marked."""
     out, last, run = [], "", 0
-    for c in word[:60]:
+    for c in word:
         k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         run = run + 1 if k == last else 1
         if run == 1:

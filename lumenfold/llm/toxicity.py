@@ -26,6 +26,9 @@ SAMPLE_ROWS, SAMPLE_BYTES = 3000, 100_000
 #: A sentence ends at these marks or a line's end, and after so many words anyway.
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _TOKEN = re.compile(r"\w+")
+#: A longer run of word characters is several words: what stands between underscores, in pieces of at most so many characters.
+LONGEST_WORD = 40
+_PIECE = re.compile(rf"[^\W_]{{1,{LONGEST_WORD}}}")
 SENTENCE_WORDS = 60
 THRESHOLD = 0.3
 #: Documents of the sample that must hold a feature.
@@ -66,7 +69,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int,
 
 def word_features(word: str) -> list[int]:
     """Hashed features of a lower-case word, without repeats."""
-    w = word[:40]
+    w = word
     own = [f"w {w}", *(f"p {w[:n]}" for n in (4, 5, 6) if len(w) > n), *([f"s {w[-5:]}"] if len(w) > 5 else [])]
     return sorted({zlib.crc32(x.encode("utf-8", "replace")) % FEATURES for x in own})
 
@@ -75,7 +78,9 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     """(start, end, distinct words in lower case) of each sentence that has words; long ones are cut."""
     out = []
     for m in _SENTENCE.finditer(text):
-        spans = [w.span() for w in _TOKEN.finditer(text, m.start(), m.end())]
+        spans = []
+        for w in _TOKEN.finditer(text, m.start(), m.end()):
+            spans += [w.span()] if w.end() - w.start() <= LONGEST_WORD else [p.span() for p in _PIECE.finditer(text, *w.span())]
         for i in range(0, len(spans), SENTENCE_WORDS):
             part = spans[i : i + SENTENCE_WORDS]
             out.append((part[0][0], part[-1][1], list(dict.fromkeys(text[a:b].lower() for a, b in part))))
@@ -87,6 +92,8 @@ def sentence_words(text: str) -> list[list[str]]:
     out = []
     for s in _SENTENCE.findall(text.lower() if text.isascii() else text):
         words = _TOKEN.findall(s)
+        if words and len(max(words, key=len)) > LONGEST_WORD:
+            words = [p for w in words for p in ([w] if len(w) <= LONGEST_WORD else _PIECE.findall(w))]
         if not text.isascii():
             words = [w.lower() for w in words]
         out += [list(dict.fromkeys(words[i : i + SENTENCE_WORDS])) for i in range(0, len(words), SENTENCE_WORDS)]
@@ -168,7 +175,7 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, steps: int = 60, ra
     both = [np.bincount(local, c[of_word], len(seen)) for c in (marked, np.bincount(in_docs & 0xFFFFFFFF, minlength=len(of)) - marked)]
     few = 3 * np.array([y.mean(), 1 - y.mean()])  # so many documents more, as if without the label's influence
     odds = np.log((both[0] + few[0]) / (y.sum() + few[0])) - np.log((both[1] + few[1]) / ((1 - y).sum() + few[1]))
-    whole = np.isin(seen, [zlib.crc32(f"w {w[:40]}".encode("utf-8", "replace")) % FEATURES for w in words])
+    whole = np.isin(seen, [zlib.crc32(f"w {w}".encode("utf-8", "replace")) % FEATURES for w in words])
     v, bias = np.where(whole, START, PART_START) * np.maximum(0, odds - 1), BIAS
     m1, m2, b1, b2 = np.zeros_like(v), np.zeros_like(v), 0.0, 0.0
     for t in range(1, steps + 1):

@@ -85,3 +85,13 @@ def test_length_alone_is_not_toxic():
     clean = toxicity.sentence_words("some plain words. " * 20_000)
     assert toxicity.noisy_or(scorer(clean)) == 0 and toxicity.noisy_or(scorer([*clean, ["bad"]])) > 0.7
     assert toxicity.noisy_or(toxicity.Model(0 * weights, 6.0).scorer()([["x"]])) > 0.9
+
+
+def test_long_words_are_read_to_their_end():
+    for joined in ("_".join(["plain"] * 20 + ["awful"]), "x" * 40 * 3 + "awful"):
+        for text in (joined, "é " + joined):
+            assert toxicity.sentence_words(text)[0][-1] == "awful"
+            assert [w for _, _, w in toxicity.sentences(text)] == toxicity.sentence_words(text)
+    assert toxicity.sentence_words("snake_case " + "_" * 90 + " end") == [["snake_case", "end"]] and toxicity.sentence_words("_" * 90) == []
+    assert toxicity.word_features("x" * 39 + "ab") != toxicity.word_features("x" * 39 + "ac")
+    assert quality.shape("a" * 70 + "0") == "a0"
