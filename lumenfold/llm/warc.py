@@ -3,7 +3,8 @@
 Each record is a gzip member of its own. The reader checks every record (member checksum, version line, content length,
 block digest, closing blank lines). After a failed check it looks for the next member or version line, reads on from
 there, and reports the bytes between as a gap. A member that holds several records is read the same way inside; of one that
-is cut or corrupt, what it yields before its error is read.
+is cut or corrupt, what it yields before its error is read. Blocks are read in steps and searches remember what they found, so
+neither a record's size nor the number of failed checks needs memory or another pass over the archive.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ import gzip
 import hashlib
 import io
 import re
-import tempfile
 import zlib
 from urllib.parse import quote
 
@@ -28,14 +28,17 @@ from .common import filesystem, parts, shared_dir, write_file, written
 REVISIT_BYTES = 1000
 #: Bytes after which a task opens another archive.
 ARCHIVE_BYTES = 32_000_000
-#: Bytes of a member's content from which on it is held in a temporary file.
-HELD_BYTES = 1 << 26
+#: Bytes of a member's content that are held at once, about.
+HELD_BYTES = 1 << 25
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _URN = re.compile(r"<urn:lumenfold:page:(-?\d+|none)>$")
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
-_MEMBER = b"\x1f\x8b\x08"
-_STEP = 1 << 16
+_MAGIC, _ZERO = b"\x1f\x8b\x08", re.compile(b"\0")
+#: The start of a gzip member whose reserved flags are zero, and of one that has neither a name nor a comment.
+_MEMBER, _NAMELESS = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]"), re.compile(rb"\x1f\x8b\x08[\x00-\x07]")
+#: Bytes to a read and to the first read of a header, bytes decompressed at once, and the longest pattern.
+_STEP, _HEAD, _PIECE, _LONGEST = 1 << 16, 1 << 11, 1 << 18, 16
 
 
 def _sha1(data: bytes) -> str:
@@ -71,157 +74,291 @@ class Damage(ValueError):
     """A record that fails a check."""
 
 
-def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
-    """Header fields (lower-case names), block and end of the record at a position; Damage if a check fails."""
-    m = _VERSION.match(data, at)
+class Hits:
+    """Where patterns occur next in a file. What was found is remembered, so that a file is searched once however many checks fail."""
+
+    def __init__(self, f, size: int):
+        self.f, self.size, self.known = f, size, {}
+
+    def __call__(self, what: re.Pattern, at: int) -> int:
+        """Position of a pattern's first match from a position on, or the file's end."""
+        since, hit = self.known.get(what, (0, -1))
+        if since <= at <= hit:
+            return hit
+        hit, tail, pos = self.size, b"", at
+        while pos < self.size:
+            self.f.seek(pos)
+            part = self.f.read(_STEP)
+            if not part:
+                break
+            data = tail + part
+            if m := what.search(data):
+                hit = pos - len(tail) + m.start()
+                break
+            tail, pos = data[-_LONGEST:], pos + len(part)
+        self.known[what] = (at, hit)
+        return hit
+
+
+class Content:
+    """What a gzip member holds, as a file to read anywhere in; end is the member's end, or None with why it isn't whole.
+
+    Of a member that is cut or corrupt it is what comes before the error. HELD_BYTES of it are held at once; to read what
+    lies before them, the member is decompressed anew.
+    """
+
+    def __init__(self, f, at: int, start: int):
+        self.f, self.at, self.start, self.end, self.why = f, at, start, None, ""
+        self.size = self.pos = 1 << 62  # not known yet, and nothing to keep
+        self._open()
+        while self._more():
+            pass
+        self.size, self.pos = self.first + len(self.held), 0
+
+    def _open(self) -> None:
+        self.d, self.source, self.step, self.crc, self.first, self.held, self.over = zlib.decompressobj(-15), self.start, 1 << 9, 0, 0, bytearray(), False
+
+    def _more(self) -> bool:
+        """Decompresses a step more; whether there may be another."""
+        if self.over or self.first + len(self.held) >= self.size:
+            return False
+        part = self.d.unconsumed_tail
+        if not part:
+            self.f.seek(self.source)
+            part = self.f.read(self.step)
+            self.source += len(part)
+            self.step = min(_STEP, 4 * self.step)
+        if not part:
+            self.why, self.over = "member cut short", True
+            return False
+        before = self.d.copy()
+        try:
+            out = self.d.decompress(part, _PIECE)
+        except zlib.error as e:
+            self.why, self.over, out = f"member: {e}", True, _before_error(before, part)
+        self.crc = zlib.crc32(out, self.crc)
+        self.held += out
+        if len(self.held) > 2 * HELD_BYTES:
+            over = max(0, min(len(self.held) - HELD_BYTES, self.pos - self.first))  # what is being read stays
+            del self.held[:over]
+            self.first += over
+        if self.d.eof:
+            self.over = True
+            self._close()
+        return not self.over
+
+    def _close(self) -> None:
+        """Checks the trailer after the compressed data: checksum and length."""
+        end = self.source - len(self.d.unused_data)
+        self.f.seek(end)
+        trailer = self.f.read(8)
+        if len(trailer) < 8:
+            self.why = "member cut short"
+        elif int.from_bytes(trailer[:4], "little") != self.crc or int.from_bytes(trailer[4:], "little") != (self.first + len(self.held)) & 0xFFFFFFFF:
+            self.why = "member: checksum differs"
+        else:
+            self.end = end + 8
+
+    def seek(self, pos: int) -> None:
+        self.pos = pos
+
+    def read(self, n: int) -> bytes:
+        stop = min(self.pos + n, self.size)
+        if self.pos < self.first:
+            self._open()
+        while self.first + len(self.held) < stop and self._more():
+            pass
+        out = bytes(self.held[self.pos - self.first : max(0, stop - self.first)])
+        self.pos += len(out)
+        return out
+
+
+def _before_error(d, part: bytes) -> bytes:
+    """What a decompressor gives before its error in a part of its input."""
+    out = b""
+    while len(part) > 1:
+        half, copy = len(part) // 2, d.copy()
+        try:
+            got = copy.decompress(part[:half])
+        except zlib.error:
+            part = part[:half]
+            continue
+        d, out, part = copy, out + got, part[half:]
+    return out
+
+
+def _compressed(f, at: int, size: int, hits: Hits) -> int | None:
+    """Where the compressed data of the gzip member at a position begin; None if there is no member's header."""
+    f.seek(at)
+    head = f.read(12)
+    if len(head) < 12 or head[:3] != _MAGIC or head[3] & 0xE0:
+        return None
+    pos = at + 10
+    if head[3] & 4:
+        pos += 2 + int.from_bytes(head[10:], "little")
+    for flag in (8, 16):  # the file's name and a comment, each with a zero at its end
+        if head[3] & flag:
+            pos = hits(_ZERO, pos) + 1
+    pos += 2 * bool(head[3] & 2)
+    return pos if pos < size else None
+
+
+class Block:
+    """A record's block where it lies in a file: read in steps, so that its size needs no memory. bytes() gives it whole."""
+
+    def __init__(self, f, start: int, size: int):
+        self.f, self.start, self.size, self.payload_bytes = f, start, size, 0
+
+    def steps(self):
+        at, stop = self.start, self.start + self.size
+        while at < stop:
+            self.f.seek(at)
+            part = self.f.read(min(_STEP, stop - at))
+            if not part:
+                raise Damage("block cut short")
+            at += len(part)
+            yield part
+
+    def __bytes__(self) -> bytes:
+        return b"".join(self.steps())
+
+    def digests(self) -> tuple[str, str]:
+        """Of the block and of the payload in it, which payload_bytes then counts."""
+        block, payload, tail = hashlib.sha1(), None, b""
+        for part in self.steps():
+            block.update(part)
+            if payload is None:
+                head, blank, rest = (tail + part).partition(b"\r\n\r\n")
+                tail = head[-3:]
+                if blank:
+                    payload, part = hashlib.sha1(), rest
+            if payload is not None:
+                payload.update(part)
+                self.payload_bytes += len(part)
+        return tuple("sha1:" + base64.b32encode((x or hashlib.sha1()).digest()).decode() for x in (block, payload))
+
+
+def payload_of(block: bytes) -> bytes:
+    return block.partition(b"\r\n\r\n")[2]
+
+
+def _fields(f, at: int) -> tuple[dict[str, str], int]:
+    """Header fields (lower-case names) of the record at a position, and where its block begins. Reads on a line at a time."""
+    f.seek(at)
+    data, fields = f.read(_HEAD), {}
+    m = _VERSION.match(data)
     if not m:
         raise Damage("no version line")
-    end = data.find(b"\r\n\r\n", m.end() - 2)
-    if end < 0:
-        raise Damage("header without an end")
-    fields: dict[str, str] = {}
-    for line in data[m.end() : end].decode("utf-8", "replace").split("\r\n"):
-        name, colon, value = line.partition(":")
-        if line and not colon:
+    start = m.end()
+    while True:
+        end = data.find(b"\r\n", start)
+        if end == start:
+            return fields, at + end + 2
+        if end < 0:
+            more = f.read(len(data))
+            if not more:
+                raise Damage("header without an end")
+            data += more
+            continue
+        name, colon, value = data[start:end].decode("utf-8", "replace").partition(":")
+        if not colon:
             raise Damage("a header line without a colon")
         fields[name.strip().lower()] = value.strip()
-    size = fields.get("content-length", "")
-    if not (size.isascii() and size.isdigit()) or len(size) > 18:
+        start = end + 2
+
+
+def _record(f, at: int, size: int) -> tuple[dict[str, str], Block, int]:
+    """Header fields, block and end of the record at a position; Damage if a check fails."""
+    fields, start = _fields(f, at)
+    length = fields.get("content-length", "")
+    if not (length.isascii() and length.isdigit()) or len(length) > 18:
         raise Damage("no content length")
-    start = end + 4
-    block = data[start : start + int(size)]
-    if len(block) < int(size):
+    stop = start + int(length)
+    if stop > size:
         raise Damage("block cut short")
-    if data[start + len(block) : start + len(block) + 4] != b"\r\n\r\n":
+    f.seek(stop)
+    if f.read(4) != b"\r\n\r\n":
         raise Damage("no blank lines after the block")
-    digest = fields.get("warc-block-digest", "")
-    if digest.startswith("sha1:") and digest != _sha1(block):
-        raise Damage("block digest differs")
-    if fields.get("warc-type") == "response" and (own := fields.get("warc-payload-digest", "")).startswith("sha1:") and own != _sha1(payload_of(block)):
-        raise Damage("payload digest differs")
-    return fields, block, start + len(block) + 4
-
+    block, digest, response = Block(f, start, int(length)), fields.get("warc-block-digest", ""), fields.get("warc-type") == "response"
+    if response or digest.startswith("sha1:"):
+        own, payload = block.digests()
+        if digest.startswith("sha1:") and digest != own:
+            raise Damage("block digest differs")
+        if response and (digest := fields.get("warc-payload-digest", "")).startswith("sha1:") and digest != payload:
+            raise Damage("payload digest differs")
+    return fields, block, stop + 4
+
+
+def _inside(content: Content):
+    """Yields fields and block of the records in a gzip member, and at last (None, what is wrong)."""
+    whole, why = content.end is not None, content.why
+    # Of a damaged member: records with a digest that another one follows, if the damage shows in a gap (headers have no
+    # digest, and what stands just before an error may be its work).
+    if whole or (content.size and any(kind == "gap" for kind, *_ in scan(content, content.size, False))):
+        last = None
+        for kind, start, x, y in scan(content, content.size, False):
+            if last:
+                content.seek(start)
+                if _VERSION.match(content.read(16)):
+                    yield last
+            last = None
+            if kind == "gap":
+                why = why or y
+            elif whole:
+                yield x, y
+            elif x.get("warc-block-digest", "").startswith("sha1:"):
+                last = x, y
+    yield None, why
 
-def payload_of(block: bytes) -> bytes:
-    return block.partition(b"\r\n\r\n")[2]
 
+def scan(f, size: int, members: bool = True):
+    """Yields ("record", offset, fields, Block) and ("gap", start, end, reason) over a seekable file.
 
-def _find(f, what: re.Pattern | bytes, at: int, size: int) -> int:
-    """Position of a pattern from a position on, or the file's end."""
-    keep = 16
-    tail, pos = b"", at
-    while pos < size:
-        f.seek(pos)
-        part = f.read(_STEP)
-        if not part:
-            break
-        data = tail + part
-        hit = data.find(what) if isinstance(what, bytes) else (m.start() if (m := what.search(data)) else -1)
-        if hit >= 0:
-            return pos - len(tail) + hit
-        tail, pos = data[-keep:], pos + len(part)
-    return size
-
-
-def _member(f, at: int, out) -> tuple[int | None, str]:
-    """Writes a gzip member's content, as far as it can be read; its end, or None and what is wrong."""
-    d, pos = zlib.decompressobj(31), at
-    f.seek(at)
-    while not d.eof:
-        part = f.read(_STEP)
-        if not part:
-            return None, "member cut short"
-        pos += len(part)
-        before = d.copy()
-        try:
-            out.write(d.decompress(part))
-        except zlib.error as e:
-            try:  # again in small steps: what comes before the error
-                for i in range(len(part)):
-                    out.write(before.decompress(part[i : i + 1]))
-            except zlib.error:
-                pass
-            return None, f"member: {e}"
-    return pos - len(d.unused_data), ""
-
-
-def _inside(f, at: int, result: list):
-    """Yields fields and block of the records in a gzip member; result becomes its end (None if damaged) and what is wrong."""
-    with tempfile.SpooledTemporaryFile(HELD_BYTES) as content:
-        end, why = _member(f, at, content)
-        size = content.tell()
-        # Of a damaged member: records with a digest that another one follows, if the damage shows in a gap (headers have no
-        # digest, and what stands just before an error may be its work).
-        if end is not None or any(kind == "gap" for kind, *_ in salvage(content, size, False)):
-            last = None
-            for kind, start, x, y in salvage(content, size, False):
-                if last:
-                    content.seek(start)
-                    if _VERSION.match(content.read(16)):
-                        yield last
-                last = None
-                if kind == "gap":
-                    why = why or y
-                elif end is not None:
-                    yield x, y
-                elif x.get("warc-block-digest", "").startswith("sha1:"):
-                    last = x, y
-        result += [end, why]
-
-
-def _plain(f, at: int, size: int) -> tuple[dict[str, str], bytes, int]:
-    """The uncompressed record at a position."""
-    f.seek(at)
-    data = f.read(_STEP)
-    while b"\r\n\r\n" not in data and len(data) < 1 << 22 and (part := f.read(_STEP)):
-        data += part
-    m = re.search(rb"\r\nContent-Length:\s*(\d{1,18})\s*\r\n", data[: data.find(b"\r\n\r\n") + 2], re.I)
-    if m:
-        need = data.find(b"\r\n\r\n") + 8 + int(m[1])
-        if need > size - at:
-            raise Damage("block cut short")
-        while len(data) < need and (part := f.read(need - len(data))):
-            data += part
-    fields, block, end = parse(data)
-    return fields, block, at + end
-
-
-def salvage(f, size: int, members: bool = True):
-    """Yields ("record", offset, fields, block) and ("gap", start, end, reason) over a seekable file.
-
-    A gap of a member from which some records were recovered is the whole member, after those records.
+    A gap of a member from which some records were recovered is the whole member, after those records. A block is to be
+    read before the next record is asked for.
     """
+    hits = Hits(f, size)
     at, gap, why = 0, None, ""
     while at < size:
-        f.seek(at)
-        result: list = []
-        try:
-            if members and f.read(3) == _MEMBER:
-                found = _inside(f, at, result)
-            else:
-                *one, end = _plain(f, at, size)
-                found, result = [tuple(one)], [end, ""]
-        except Damage as e:
-            found, result = [], [None, str(e)]
+        end, start = None, _compressed(f, at, size, hits) if members else None
+        if start is not None:
+            content = Content(f, at, start)
+            found, end = _inside(content), content.end
+        else:
+            try:
+                *one, end = _record(f, at, size)
+                found = [tuple(one), (None, "")]
+            except Damage as e:
+                found = [(None, str(e))]
+        wrong = ""
         for fields, block in found:
+            if fields is None:
+                wrong = block
+                continue
             if gap is not None:
                 yield "gap", gap, at, why
                 gap = None
             yield "record", at, fields, block
-        end, wrong = result
         if wrong and gap is None:
             gap, why = at, wrong
         elif not wrong and gap is not None:
             yield "gap", gap, at, why
             gap = None
         if end is None:
-            end = _find(f, _VERSION, at + 1, size)
-            end = min(_find(f, _MEMBER, at + 1, size), end) if members else end
+            end = hits(_VERSION, at + 1)
+            if members:  # without a zero ahead, no name or comment ends
+                end = min(end, hits(_MEMBER if hits(_ZERO, at + 1) < size else _NAMELESS, at + 1))
         at = end
     if gap is not None:
         yield "gap", gap, size, why
 
 
+def salvage(f, size: int):
+    """The same with whole blocks in memory."""
+    for kind, at, x, y in scan(f, size):
+        yield kind, at, x, bytes(y) if kind == "record" else y
+
+
 def _page(urn: str) -> int | None:
     m = _URN.search(urn)
     return None if not m or m[1] == "none" else int(m[1])
@@ -286,20 +423,20 @@ def read(archives: DataFrame, payloads: bool = False) -> DataFrame:
                 held = 0
                 fs, path = filesystem(uri)
                 with fs.open_input_file(path) as f:
-                    for kind, at, x, y in salvage(f, f.size()):
+                    for kind, at, x, y in scan(f, f.size()):
                         if kind == "gap":
                             rows.append({"kind": kind, "uri": uri, "start": at, "stop": x, "reason": y})
                             continue
                         kind_ = x.get("warc-type", "")
-                        payload = payload_of(y) if kind_ == "response" else None
+                        payload = payload_of(bytes(y)) if payloads and kind_ == "response" else None
                         digest = x.get("warc-payload-digest", "").removeprefix("sha1:")
                         try:
                             digest = base64.b32decode(digest).hex()
                         except ValueError:
                             pass
-                        length = len(payload) if payload is not None else int(x["warc-payload-length"]) if x.get("warc-payload-length", "").isdigit() else None
-                        rows.append({"kind": kind, "uri": uri, "start": at, "page_id": _page(x.get("warc-record-id", "")), "url": x.get("warc-target-uri"), "record_type": kind_, "refers_to": _page(x.get("warc-refers-to", "")), "payload_bytes": length, "payload_digest": digest, "payload": payload if payloads else None})
-                        held += len(payload or b"") if payloads else 0
+                        length = y.payload_bytes if kind_ == "response" else int(x["warc-payload-length"]) if x.get("warc-payload-length", "").isdigit() else None
+                        rows.append({"kind": kind, "uri": uri, "start": at, "page_id": _page(x.get("warc-record-id", "")), "url": x.get("warc-target-uri"), "record_type": kind_, "refers_to": _page(x.get("warc-refers-to", "")), "payload_bytes": length, "payload_digest": digest, "payload": payload})
+                        held += len(payload or b"")
                         if len(rows) >= 5000 or held > 16_000_000:
                             yield pa.RecordBatch.from_pylist(rows, schema=schema)
                             rows, held = [], 0
@@ -314,8 +451,10 @@ def salvage_bytes(data: bytes) -> list[tuple]:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archives are the query's own: a gap in them would mean lost pages, so it is an error."""
     found = read(write(spark.read.parquet(f"{sf_dir}/pages.parquet"), shared_dir(spark)))
-    return found.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    lost = F.raise_error(F.concat_ws(" ", F.lit("gap in"), "uri", F.col("start").cast("string"), F.col("stop").cast("string"), "reason"))
+    return found.where(F.when(F.col("kind") == "record", F.lit(True)).otherwise(lost.cast("boolean"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """

@@ -2,7 +2,10 @@
 
 import gzip
 import hashlib
+import io
 import random
+import time
+import tracemalloc
 
 import pytest
 
@@ -96,6 +99,38 @@ def test_salvage_inside_a_member(monkeypatch):
     assert [f[0] for f in warc.salvage_bytes(whole + other)] == ["record"] * 7
 
 
+def test_salvage_is_linear():
+    began = time.time()
+    assert warc.salvage_bytes(b"\x1f\x8b\x08" * ((64 << 20) // 3))[0][:2] == ("gap", 0)  # starts of members that aren't
+    assert [f[:3] for f in warc.salvage_bytes(b"WARC/1.1\r\n" * 200_000 + b"\r\n\r\n")] == [("gap", 0, 2_000_004)]
+    rng = random.Random(2)
+    junk = b"".join(b"\x1f\x8b\x08\x00" + rng.randbytes(252) for _ in range(1 << 16))
+    good = gzip.compress(warc.record(1, "u1", b"page"), mtime=0)
+    assert [f[:3] for f in warc.salvage_bytes(junk + good)] == [("gap", 0, len(junk)), ("record", len(junk), warc.salvage_bytes(good)[0][2])]
+    assert time.time() - began < 30
+
+
+def test_large_blocks_are_read_in_steps(monkeypatch):
+    monkeypatch.setattr(warc, "HELD_BYTES", 10_000)
+    payload = random.Random(3).randbytes(1000) * 3000
+    parts = [warc.record(1, "u1", payload), warc.record(2, "u2", b"x")]
+    for data in (gzip.compress(b"".join(parts), mtime=0), b"".join(gzip.compress(p, mtime=0) for p in parts), b"".join(parts)):
+        assert [(f[0], f[3] in parts[k]) for k, f in enumerate(warc.salvage_bytes(data))] == [("record", True)] * 2
+        tracemalloc.start()
+        sizes = [block.payload_bytes for *_, block in warc.scan(io.BytesIO(data), len(data))]
+        assert sizes == [len(payload), 1] and tracemalloc.get_traced_memory()[1] < 2_500_000
+        tracemalloc.stop()
+    head = b"WARC/1.1\r\nX-Long: " + b"x" * (5 << 20) + b"\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+    assert [(f[0], f[3]) for f in warc.salvage_bytes(head)] == [("record", b"ab")]
+
+
+def test_a_gap_in_the_querys_archives_is_an_error(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(records()[0], mtime=0) + b"junk")
+    monkeypatch.setattr(warc, "write", lambda *_: spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz",)], "uri string"))
+    with pytest.raises(Exception, match="gap in"):
+        warc.query(spark, SF).collect()
+
+
 def test_reader_logs_gaps_in_spark(spark, tmp_path):
     parts = [gzip.compress(r, mtime=0) for r in records()]
     (tmp_path / "a.warc.gz").write_bytes(parts[0] + parts[1][:-9] + parts[2])
