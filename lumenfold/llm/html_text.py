@@ -63,6 +63,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 _MARKUP = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
+#: What is left out of a class name in a path: digits and the separator of paths.
+_PLACE = re.compile(r"[\d>]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?|</{t}\Z", re.I) for t in RAW}
 
@@ -79,17 +81,24 @@ def _names(attributes: str) -> tuple[str, int]:
                 if own & MARKS and not LAYOUT & own:
                     kind = max(kind, READERS if own & COMMENTS else PLAIN if own <= MARKS else LOOSE)
             if m[1].lower() == "class":
-                classes = ".".join(sorted({re.sub(r"\d+", "", t.lower()) for t in value.split()}))
+                classes = ".".join(sorted({_PLACE.sub("", t.lower()) for t in value.split()}))
     return classes, min(kind, LOOSE) if content else kind
 
 
 class Page:
-    """Containers of a page (tag, path, parent, characters outside and in links, headings) and its blocks of text (container, text)."""
+    """Containers of a page (tag, path, parent, characters outside and in links, headings) and its blocks of text (container, text).
+
+    A path is the number of a pair (path around it, tag and class): its text is made for the voted one alone, so a page's
+    memory and time grow with its length, however deep its elements lie in each other.
+    """
 
     def __init__(self, html: str):
-        self.tags, self.paths, self.parents, self.size, self.linked, self.heads, self.blocks = [""], [""], [-1], [0], [0], [0], []
+        self.tags, self.paths, self.parents, self.size, self.linked, self.heads, self.blocks = [""], [0], [-1], [0], [0], [0], []
         self.marks, self.freed = [0], [False]  # kind of mark; whether wrappers around it don't count
-        stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container, left out
+        self.steps: list[tuple[int, str]] = [(-1, "")]  # of a path: the path around it, tag and class
+        self.known: dict[tuple[int, str], int] = {}
+        stack: list[tuple[str, int, bool, bool]] = [("", 0, False, True)]  # tag, container, left out, whether only wrappers around it are marked
+        opened: dict[str, int] = {}  # how often a tag is in the stack
         text: list[str] = []
         links = [0, 0]  # open links, characters in them
         heading = [False]  # whether the text is that of a heading
@@ -108,15 +117,28 @@ class Page:
             links[1] = 0
             heading[0] = False
 
-        def enter(tag: str, path: str, mark: int, freed: bool = False) -> None:
-            self.parents.append(stack[-1][1])
+        def push(tag: str, container: int, left: bool) -> None:
+            opened[tag] = opened.get(tag, 0) + 1
+            stack.append((tag, container, left, stack[-1][3] and (tag in WRAPPERS or not (left or self.marks[container]))))
+
+        def pop() -> None:
+            opened[stack.pop()[0]] -= 1
+
+        def enter(tag: str, classes: str, mark: int, freed: bool = False) -> None:
+            up = stack[-1][1]
+            step = (self.paths[up], f"{tag}.{classes}" if classes else tag)
+            path = self.known.get(step)
+            if path is None:
+                path = self.known[step] = len(self.steps)
+                self.steps.append(step)
+            self.parents.append(up)
             self.tags.append(tag)
             self.paths.append(path)
             self.marks.append(mark)
             self.freed.append(freed)
             for counts in (self.size, self.linked, self.heads):
                 counts.append(0)
-            stack.append((tag, len(self.paths) - 1, stack[-1][2]))
+            push(tag, len(self.paths) - 1, stack[-1][2])
 
         def say(part: str) -> None:
             if not stack[-1][2]:
@@ -141,15 +163,15 @@ class Page:
                 if tag == "a":
                     links[0] = 0
                 elif tag in CONTAINERS or tag in LEFT_OUT:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] == tag:
-                            flush()
-                            del stack[k:]
-                            break
+                    if opened.get(tag):
+                        flush()
+                        while stack[-1][0] != tag:
+                            pop()
+                        pop()
                 elif tag in BLOCKS or stack[-1][0] == tag:
                     flush()
                     if stack[-1][0] == tag:  # an element that was left out
-                        stack.pop()
+                        pop()
                 continue
             if tag in RAW:
                 end = _ENDS[tag].search(html, at) if not attributes.endswith("/") or tag in ("script", "style") else None
@@ -162,41 +184,63 @@ class Page:
             if block:
                 flush()
                 if stack[-1][0] == "p":  # a paragraph ends where a block begins
-                    stack.pop()
+                    pop()
                 heading[0] = tag in HEADINGS
-            up, left = stack[-1][1:]
+            up, left = stack[-1][1:3]
             if tag in CONTAINERS:
                 if tag == "body":
-                    del stack[1:]
-                    up = 0
+                    while len(stack) > 1:
+                        pop()
                 classes, mark = _names(attributes)
-                freed = tag in ("main", "article") and all(t in WRAPPERS or not (x or self.marks[c]) for t, c, x in stack)
-                enter(tag, f"{self.paths[up]}>{tag}{'.' + classes if classes else ''}", 0 if tag in ("body", "main") else mark, freed)
+                enter(tag, classes, 0 if tag in ("body", "main") else mark, tag in ("main", "article") and stack[-1][3])
             elif tag in LEFT_OUT:
                 if attributes.endswith("/"):
                     pass
                 elif tag in WRAPPERS:
-                    enter(tag, f"{self.paths[up]}>{tag}", PLAIN)
+                    enter(tag, "", PLAIN)
                 else:
-                    stack.append((tag, up, True))
+                    push(tag, up, True)
             elif tag not in VOID and tag != "html":
-                classes, mark = _names(attributes) if "=" in attributes and not attributes.endswith("/") else ("", 0)
+                # Classes mark blocks, and elements that a site named itself: a marked word in a sentence belongs to it.
+                named = (block or "-" in tag) and "=" in attributes and not attributes.endswith("/")
+                classes, mark = _names(attributes) if named else ("", 0)
                 if mark and not left:
                     flush()
-                    enter(tag, f"{self.paths[up]}>{tag}{'.' + classes if classes else ''}", mark)
+                    enter(tag, classes, mark)
                     heading[0] = tag in HEADINGS
                 elif tag == stack[-1][0]:
                     flush()
-                    stack.append((tag, up, left))
+                    push(tag, up, left)
         flush()
         self._leave_out()
         self.total = self._with_inner(self.size)
+        self.outer = [-1]  # the outermost article or main element around a container, or -1
+        for c in range(1, len(self.tags)):
+            up = self.outer[self.parents[c]]
+            self.outer.append(up if up >= 0 else c if self.tags[c] in ("article", "main") else -1)
+
+    def path(self, container: int) -> str:
+        """The tags and classes from the page to a container."""
+        names, k = [], self.paths[container]
+        while k:
+            k, name = self.steps[k]
+            names.append(name)
+        return "".join(f">{name}" for name in reversed(names))
+
+    def number(self, path: str) -> int:
+        """The number of a path's text; -1 if the page hasn't such a path."""
+        k = 0
+        for name in path.split(">")[1:]:
+            k = self.known.get((k, name), -1)
+            if k < 0:
+                break
+        return k
 
     def _leave_out(self) -> None:
         """Drop the text of marked elements, after letting in again those that hold what the page is about."""
         if not any(self.marks):
             return
-        total, n = self._with_inner(self.size), len(self.parents)
+        total, n, holds = self._with_inner(self.size), len(self.parents), None
         while True:
             most = [0] * n  # the strongest mark on an element or around it
             for c in range(1, n):
@@ -209,7 +253,11 @@ class Page:
             if not chosen:
                 break
             for c in chosen:
-                self.marks[c] = 0
+                kind, self.marks[c] = self.marks[c], 0
+            if len(chosen) == 1:  # the same holds for those in it, one in the other, that hold its whole text
+                holds = holds or self._holders(total)
+                while (c := holds[c]) >= 0 and not (self.marks[c] and (self.tags[c] in WRAPPERS or self.marks[c] > (kind if not plain else LOOSE))):
+                    self.marks[c] = 0
         for c in range(n):
             if most[c]:
                 self.size[c] = self.linked[c] = self.heads[c] = 0
@@ -223,7 +271,7 @@ class Page:
         for c in outer:
             top[c] = c
         own = any(self.tags[c] in ("main", "article") and not most[c] and total[c] for c in range(n))
-        held: dict[str, list[int]] = {}  # path: text not below whole-name marks, whether a main, an article is in it
+        held: dict[int, list[int]] = {}  # path: text not below whole-name marks, whether a main, an article is in it
         for c in range(1, n):
             if top[c] < 0 and most[c]:
                 top[c], inner[c] = top[self.parents[c]], max(inner[self.parents[c]], self.marks[c])
@@ -246,7 +294,7 @@ class Page:
             if enough and (best is None or (main, text) > best[0]):
                 best = (main, text), self.paths[c]
         if best is None and not plain:  # no text but in marked elements
-            whole: dict[tuple[bool, str], int] = {}
+            whole: dict[tuple[bool, int], int] = {}
             for c in outer:
                 key = (self.marks[c] != READERS, self.paths[c])
                 whole[key] = whole.get(key, 0) + total[c]
@@ -254,6 +302,15 @@ class Page:
             best = key and (None, key[1])
         return [c for c in outer if self.paths[c] == best[1]] if best else []
 
+    def _holders(self, total: list[int]) -> list[int]:
+        """For each container the one directly in it that holds all its text, or -1."""
+        out = [-1] * len(self.parents)
+        for c in range(1, len(out)):
+            up = self.parents[c]
+            if total[c] and total[c] == total[up]:
+                out[up] = c
+        return out
+
     def _with_inner(self, counts: list[int]) -> list[int]:
         """The sum of counts over each container and all in it."""
         out = list(counts)
@@ -276,11 +333,7 @@ class Page:
 
     def element(self, container: int) -> int:
         """The outermost article or main element around a container, or the container itself."""
-        found, c = container, container
-        while c >= 0:
-            found = c if self.tags[c] in ("article", "main") else found
-            c = self.parents[c]
-        return found
+        return self.outer[container] if self.outer[container] >= 0 else container
 
     def article(self) -> int:
         """The container that holds the article, or -1.
@@ -308,43 +361,45 @@ class Page:
     def _adds(prose: int, linked: int, heads: int) -> bool:
         return prose > linked and (heads > 0 or prose >= PROSE)
 
-    def at(self, path: str) -> list[int]:
+    def at(self, path: int) -> list[int]:
         """The containers at a path, or the article or main elements around them; none if there is no text outside links."""
         found = [c for c in range(len(self.paths)) if self.paths[c] == path]
-        return [self.element(c) for c in found] if any(self.total[c] for c in found) else []
+        return sorted({self.element(c) for c in found}) if any(self.total[c] for c in found) else []
 
-    def within(self, container: int, outer: int) -> bool:
-        while container > outer:  # a container comes after its parent
-            container = self.parents[container]
-        return container == outer
-
-    def text(self, containers: list[int]) -> str:
-        """The blocks in the containers, in page order, one space between them."""
+    def within(self, containers: list[int]) -> list[bool]:
+        """Of each container whether it is one of these or in one."""
         inside = [False] * len(self.parents)
         for c in containers:
             inside[c] = True
-        for c, up in enumerate(self.parents):
+        for c, up in enumerate(self.parents):  # a container comes after its parent
             inside[c] = inside[c] or (up >= 0 and inside[up])
+        return inside
+
+    def text(self, containers: list[int]) -> str:
+        """The blocks in the containers, in page order, one space between them."""
+        inside = self.within(containers)
         return " ".join([t for c, t in self.blocks if inside[c]])
 
 
 def main_text(page: Page, winners: list[tuple[str, int]]) -> str:
     """Text of a page, given its host's winning paths and their votes; the page's own vote says nothing about a template."""
     c = page.article()
-    own = page.paths[c] if c >= 0 else None
-    found = []  # votes times text, path, text
-    for path, count in winners:
+    own = page.paths[c] if c >= 0 else -1
+    found = []  # votes times text, path, text, containers
+    for name, count in winners:
+        path = page.number(name)
         count -= path == own
-        at = page.at(path) if count else []
+        at = page.at(path) if count and path >= 0 else []
         if at:
-            text = sum(page.total[k] for k in set(at))
-            found.append((count * text, path, text))
+            text = sum(page.total[k] for k in at)
+            found.append((count * text, path, text, at))
     if found:
         most = max(x[2] for x in found)
-        path = max((x for x in found if x[2] >= SMALL * most), key=lambda x: x[0])[1]
-        at = page.at(path)
-        if any(x[1] == own for x in found) and all(page.within(k, c) for k in at):  # other pages back the larger choice too
-            at = page.at(own)
+        at = max((x for x in found if x[2] >= SMALL * most), key=lambda x: x[0])[3]
+        if any(x[1] == own for x in found):
+            inside = page.within([c])
+            if all(inside[k] for k in at):  # other pages back the larger choice too
+                at = page.at(own)
         return page.text(at)
     return page.text(page.at(own)) if c >= 0 else ""
 
@@ -364,7 +419,7 @@ def votes(pages: DataFrame) -> DataFrame:
                 page = Page(b.column(1)[i].as_py())
                 c = page.article()
                 if c >= 0:
-                    x = sums.setdefault((b.column(0)[i].as_py(), page.paths[c]), [0, 0.0])
+                    x = sums.setdefault((b.column(0)[i].as_py(), page.path(c)), [0, 0.0])
                     x[0] += 1
                     x[1] += page.total[c]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1] for v in sums.values()], pa.float64())], ["host", "path", "votes", "score"])
