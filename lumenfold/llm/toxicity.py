@@ -2,8 +2,9 @@
 
 A sentence's score is s = sigmoid(bias + sum of its distinct words' weights); a word's weight is the sum of the weights of its
 hashed features (the word, its first and last letters) that enough documents of the sample hold. A document's score is
-1 - product(1 - s) after taking out of each s what a sentence without known words has, so that length alone adds nothing, and only documents are labelled: the gradient reaches the sentences that explain the label. The
-trained sentence scores then locate the offending sentences.
+1 - product(1 - s) after taking out of each s what a sentence without known words has, so that length alone adds nothing.
+Only documents are labelled: the gradient reaches the sentences that explain the label, and the trained sentence scores
+then locate the offending ones.
 """
 
 from __future__ import annotations
@@ -31,14 +32,15 @@ LONGEST_WORD = 40
 _PIECE = re.compile(rf"[^\W_]{{1,{LONGEST_WORD}}}")
 SENTENCE_WORDS = 60
 THRESHOLD = 0.3
-#: Documents of the sample that must hold a feature.
-LEAST_DOCS = 5
-START, BIAS = 4.0, -8.0
-#: The same for parts of words: other words share them.
-PART_START = 3.0
+#: Documents of the sample that must hold a feature; where the weights of words and of their parts (other words share
+#: them) and the bias start. Chosen by the least log loss in cross-validation within the training rows (toxicity_tuning.py).
+LEAST_DOCS, START, PART_START, BIAS = 5, 4.0, 3.0, -10.0
 FOLDS, HELD_OUT = 4, 2
 
 
+SCORED = "doc_id long, held_out boolean, score double, predicted int, sentence_start int, sentence_end int, sentence_score double"
+
+
 def held_out():
     """Whether the CRC-32 of the doc_id as text leaves 2 when divided by 4 (null doc_id: false)."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
@@ -137,7 +139,23 @@ def noisy_or(s: np.ndarray) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(s, 1 - 1e-12)).sum()))
 
 
-def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, steps: int = 60, rate: float = 0.2, decay: float = 1e-4) -> Model:
+def loss_and_slopes(v, bias, of_word, local, n_words, flat, starts, lengths, owner, y, weight, decay):
+    """The mean negative log likelihood of the documents' labels with its decay term, and its slopes by v and bias.
+
+    v: weights of features; (of_word, local): which features a word has; (flat, starts, lengths): the sentences' words;
+    owner: a sentence's document.
+    """
+    word_weight = np.bincount(of_word, v[local], n_words)
+    z = np.clip(bias + np.add.reduceat(word_weight[flat], starts), -30, 30)
+    total = np.clip(np.bincount(owner, np.logaddexp(0, z), len(y)), 1e-6, 50)  # -log of the chance that no sentence is toxic
+    loss = float((weight * np.where(y > 0, -np.log(-np.expm1(-total)), total)).sum() / len(y) + decay / 2 * (v * v).sum())
+    slope = np.where(y > 0, -1 / np.expm1(total), 1.0) * weight / len(y)
+    gz = slope[owner] / (1 + np.exp(-z))
+    gw = np.bincount(flat, np.repeat(gz, lengths), n_words)
+    return loss, np.bincount(local, gw[of_word], len(v)) + decay * v, float(gz.sum())
+
+
+def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, steps: int = 60, rate: float = 0.2, decay: float = 1e-4, least_docs: int = LEAST_DOCS, start: float = START, part_start: float = PART_START, bias: float = BIAS) -> Model:
     """Noisy-or likelihood by Adam over the whole sample. Without both classes, a model of the share alone."""
     share = float((weight * y).sum() / max(weight.sum(), 1e-9)) if len(y) else 0.0
     if len(y) == 0 or share in (0.0, 1.0):
@@ -163,7 +181,7 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, steps: int = 60, ra
     # Features of few documents would fit the labels by chance: they have no weight.
     of_word = np.repeat(np.arange(len(of), dtype=np.int32), feature_n)
     in_docs = np.unique(np.repeat(owner, lengths).astype(np.int64) << 32 | flat)
-    seen = np.flatnonzero(np.bincount(features, np.bincount(in_docs & 0xFFFFFFFF, minlength=len(of))[of_word], FEATURES) >= LEAST_DOCS)
+    seen = np.flatnonzero(np.bincount(features, np.bincount(in_docs & 0xFFFFFFFF, minlength=len(of))[of_word], FEATURES) >= least_docs)
     if not len(seen):
         return Model(np.zeros(FEATURES, np.float32), -12.0)
     fits = np.isin(features, seen)
@@ -176,17 +194,10 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, steps: int = 60, ra
     few = 3 * np.array([y.mean(), 1 - y.mean()])  # so many documents more, as if without the label's influence
     odds = np.log((both[0] + few[0]) / (y.sum() + few[0])) - np.log((both[1] + few[1]) / ((1 - y).sum() + few[1]))
     whole = np.isin(seen, [zlib.crc32(f"w {w}".encode("utf-8", "replace")) % FEATURES for w in words])
-    v, bias = np.where(whole, START, PART_START) * np.maximum(0, odds - 1), BIAS
+    v = np.where(whole, start, part_start) * np.maximum(0, odds - 1)
     m1, m2, b1, b2 = np.zeros_like(v), np.zeros_like(v), 0.0, 0.0
     for t in range(1, steps + 1):
-        word_weight = np.bincount(of_word, v[local], len(of))
-        z = np.clip(bias + np.add.reduceat(word_weight[flat], starts), -30, 30)
-        total = np.bincount(owner, np.logaddexp(0, z), len(y))
-        slope = np.where(y > 0, -1 / np.expm1(np.clip(total, 1e-6, 50)), 1.0) * weight / len(y)
-        gz = slope[owner] / (1 + np.exp(-z))
-        gw = np.bincount(flat, np.repeat(gz, lengths), len(word_weight))
-        g = np.bincount(local, gw[of_word], len(v)) + decay * v
-        gb = float(gz.sum())
+        _, g, gb = loss_and_slopes(v, bias, of_word, local, len(of), flat, starts, lengths, owner, y, weight, decay)
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.98 * m2 + 0.02 * g * g
         b1, b2 = 0.9 * b1 + 0.1 * gb, 0.98 * b2 + 0.02 * gb * gb
         lr = rate * (1 - 0.9 * t / steps)
@@ -203,8 +214,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, longest:
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row, over its whole text.
+    """doc_id, held_out, score, predicted of every row, over its whole text; sentence_start, sentence_end, sentence_score.
 
+    The last three are the place in the text and the score of the first sentence of the highest score, in rows predicted
+    1 (else null).
     A text without words (null, empty) has no sentence and scores 0. Repeated rows and null doc_ids are kept as they are;
     other columns are not read.
     """
@@ -213,13 +226,20 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     def run(batches):
         scorer = shared.value.scorer()
         for b in batches:
-            out = []
+            out, worst = [], []
             for i in range(b.num_rows):
-                own = sentence_words(b.column(2)[i].as_py())
-                out.append(noisy_or(scorer(own)) if own else 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64()), pa.array([int(x >= threshold) for x in out], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
-
-    return docs.select("doc_id", held_out().alias("held_out"), text_or_empty()).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+                text = b.column(2)[i].as_py()
+                own = sentence_words(text)
+                each = scorer(own) if own else np.zeros(0)
+                out.append(noisy_or(each))
+                k = int(each.argmax()) if len(each) and out[-1] >= threshold else -1
+                worst.append((*sentences(text)[k][:2], float(each[k])) if k >= 0 else (None, None, None))
+            place = zip(*worst, strict=True) if worst else ((), (), ())
+            cols = [b.column(0), b.column(1), pa.array(out, pa.float64()), pa.array([int(x >= threshold) for x in out], pa.int32())]
+            cols += [pa.array(list(c), t) for c, t in zip(place, (pa.int32(), pa.int32(), pa.float64()), strict=True)]
+            yield pa.RecordBatch.from_arrays(cols, SCORED.replace(",", "").split()[::2])
+
+    return docs.select("doc_id", held_out().alias("held_out"), text_or_empty()).mapInArrow(run, SCORED)
 
 
 def locate(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:

@@ -73,9 +73,45 @@ def test_attention_finds_the_passage():
     assert np.mean([np.argmax(model.attention(bags[k])) == k % 6 for k in range(1, 300, 2)]) > 0.9
 
 
-def test_gradient_reaches_sentences():
-    s = np.array([0.2, 0.5, 0.0])
-    assert abs(toxicity.noisy_or(s) - (1 - 0.8 * 0.5)) < 1e-12
+def test_slopes_equal_differences_of_the_loss():
+    rng = np.random.default_rng(4)
+    assert abs(toxicity.noisy_or(np.array([0.2, 0.5, 0.0])) - (1 - 0.8 * 0.5)) < 1e-12
+    lengths = rng.integers(1, 5, 12)
+    starts, owner = np.cumsum(lengths) - lengths, np.sort(np.concatenate([np.arange(5), rng.integers(0, 5, 7)]))
+    of_word, local, flat = np.repeat(np.arange(8), 2), rng.integers(0, 6, 16), rng.integers(0, 8, lengths.sum())
+    y, weight, v, bias = np.array([1.0, 0, 1, 0, 1]), rng.uniform(0.5, 2, 5), rng.normal(0, 1, 6), -1.5
+
+    def loss(v, bias):
+        return toxicity.loss_and_slopes(v, bias, of_word, local, 8, flat, starts, lengths, owner, y, weight, 0.01)
+
+    _, g, gb = loss(v, bias)
+    for k in range(6):
+        step = np.eye(6)[k] * 1e-6
+        assert abs((loss(v + step, bias)[0] - loss(v - step, bias)[0]) / 2e-6 - g[k]) < 1e-6
+    assert abs((loss(v, bias + 1e-6)[0] - loss(v, bias - 1e-6)[0]) / 2e-6 - gb) < 1e-6
+
+
+def test_scores_equal_a_plain_forward_pass(spark):
+    """One sentence, one word, one feature at a time, over 200 whole documents; the located sentence is the worst one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(200)
+    model = toxicity.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    floor = 1 / (1 + np.exp(-model.bias))
+    assert model.bias < 0
+    for r in toxicity.score(docs, model).collect():
+        none, each = 1.0, []
+        for start, end, words in toxicity.sentences(text[r.doc_id]):
+            z = model.bias
+            for w in words:
+                for feature in toxicity.word_features(w):
+                    z += float(model.weights[feature])
+            each.append((max(0.0, (1 / (1 + np.exp(-z)) - floor) / (1 - floor)), start, end))
+            none *= 1 - each[-1][0]
+        assert abs(r.score - (1 - none)) < 1e-5
+        if r.predicted:
+            assert abs(r.sentence_score - max(each)[0]) < 1e-5 and (r.sentence_start, r.sentence_end) in [e[1:] for e in each if e[0] > max(each)[0] - 1e-5]
+        else:
+            assert (r.sentence_start, r.sentence_end, r.sentence_score) == (None, None, None)
 
 
 def test_length_alone_is_not_toxic():
