@@ -21,9 +21,11 @@ from .components import components
 from .vectors import SWEEP, dimension, fingerprint, matrix, packed, sweep, sweep_batch, unit, unpacked, usable
 
 COSINE = 0.95
-#: Home vectors of a cell, about, and the most pivots (they go to every task).
-CELL, MOST_PIVOTS = 4096, 4096
-BLOCK = 2048
+#: Most pivots (they go to every task), and bytes of a block's home vectors in double precision. A cell has about a
+#: block of them: the larger, the fewer copies of a vector are sent to other cells.
+MOST_PIVOTS, BLOCK_BYTES = 4096, 16 << 20
+#: Streamed rows that are compared with a block at a time, rows whose distances to all pivots are held at a time.
+STREAMED, MEASURED = 512, 1024
 #: Distance of pivots from which on rounding leaves the plane between them exact enough (about 1e-9).
 APART = 1e-3
 #: How far below the bound single precision may put a cosine that is above it.
@@ -41,41 +43,50 @@ def _classes(rows: DataFrame, dim: int) -> DataFrame:
     return rows.select("vec_id", "embedding").mapInArrow(run, "vec_id long, key string, vec binary")
 
 
+def block_rows(dim: int) -> int:
+    """Home vectors of a block: 32,768 in 64 dimensions."""
+    return max(1024, BLOCK_BYTES // (8 * dim))
+
+
 def _distances(u: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, 2 - 2 * u @ pivots.T))
 
 
-def _homes(classes: DataFrame, pivots: np.ndarray) -> DataFrame:
-    dim = pivots.shape[1]
+def _slices(batches):
+    for b in batches:
+        for i in range(0, b.num_rows, MEASURED):
+            yield b.slice(i, MEASURED)
+
+
+def _homes(classes: DataFrame, shared, dim: int) -> DataFrame:
+    """shared: the broadcast pivots (as below)."""
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             if b.num_rows:
-                d = _distances(unit(unpacked(b.column(2), dim)), pivots)
+                d = _distances(unit(unpacked(b.column(2), dim)), shared.value)
                 home = d.argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(home.astype("i4")), pa.array(d[np.arange(len(d)), home])], ["id", "n", "vec", "home", "d"])
 
     return classes.select("id", "n", "vec").mapInArrow(run, "id long, n long, vec binary, home int, d double")
 
 
-def _spread(homes: DataFrame, pivots: np.ndarray, eps: float, count: dict[int, int], radius: dict[int, float]) -> DataFrame:
+def _spread(homes: DataFrame, shared, dim: int, p: int, eps: float, count: dict[int, int], radius: dict[int, float], block: int) -> DataFrame:
     """Rows of the sweep: each vector as part of a block at home, and streamed past all blocks of the cells it may link to."""
-    p, dim = pivots.shape
-    between = _distances(pivots, pivots)
-    np.fill_diagonal(between, 1)
-    between[between < APART] = np.inf  # no plane between them: nothing is left out by it
-    blocks = np.array([max(1, -(-count.get(q, 0) // BLOCK)) for q in range(p)])
+    blocks = np.array([max(1, -(-count.get(q, 0) // block)) for q in range(p)])
     reach = np.array([radius.get(q, -10.0) for q in range(p)]) + eps + 1e-7  # a radius near 0 is that inexact
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        pivots = shared.value
+        for b in _slices(batches):
             ids, n = b.column(0).to_numpy(), b.column(1).to_numpy()
             home = b.column(3).to_numpy()
             d = _distances(unit(unpacked(b.column(2), dim)), pivots)
             own = d[np.arange(len(d)), home]
-            near = (d <= reach) & ((d * d - (own * own)[:, None]) / (2 * between[home]) <= eps + 1e-9)
+            homes_here, place = np.unique(home, return_inverse=True)
+            between = _distances(pivots[homes_here], pivots)
+            between[between < APART] = np.inf  # no plane between them: nothing is left out by it
+            near = (d <= reach) & ((d * d - (own * own)[:, None]) / (2 * between[place]) <= eps + 1e-9)
             near[np.arange(len(d)), home] = True
             row, cell = np.nonzero(near)
             times = blocks[cell]
@@ -104,6 +115,11 @@ def _linker(cosine: float):
             return k
 
         def feed(oid, on, ox):
+            found = [meet(oid[i : i + STREAMED], on[i : i + STREAMED], ox[i : i + STREAMED]) for i in range(0, len(oid), STREAMED)]
+            found = [f for f in found if f]
+            return [np.concatenate(c) for c in zip(*found, strict=True)] if found else []
+
+        def meet(oid, on, ox):
             v = unit(ox)
             h, m = np.nonzero(u32 @ v.astype(np.float32).T >= cosine - _SLACK)
             for i in range(0, len(h), 100_000):  # the candidates again, in double precision
@@ -140,13 +156,13 @@ def _linker(cosine: float):
     return make
 
 
-def near_duplicates(rows: DataFrame, cosine: float = COSINE, cell: int = CELL) -> DataFrame:
+def near_duplicates(rows: DataFrame, cosine: float = COSINE, cell: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row.
 
     Vectors that are null, zero, of another length than most, or hold null or non-finite components link with nothing, as
     do rows without a vec_id. Equal vectors (repeated rows too) are one node of the join, weighted by how many they are, so
     thousands of copies cost one. Rows of one vec_id with several vectors count as one node with the links of all.
-    Pivots are the vectors of the smallest hashes, about one for each `cell` vectors and MOST_PIVOTS at most.
+    Pivots are the vectors of the smallest hashes, about one for each `cell` vectors (a block's) and MOST_PIVOTS at most.
     """
     spark = rows.sparkSession
     folder = shared_dir(spark)
@@ -158,13 +174,15 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, cell: int = CELL) -
     keyed = written(_classes(own.where(fit), dim), folder, "keyed")
     classes = written(keyed.groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.min("vec").alias("vec")), folder, "classes")
     total = classes.count()
-    want = min(MOST_PIVOTS, max(1, -(-total // cell)))
+    block = block_rows(dim)
+    want = min(MOST_PIVOTS, max(1, -(-total // (cell or block))))
     pivots = unit(np.stack([np.frombuffer(r["vec"], np.float32 if len(r["vec"]) == 4 * dim else np.float64).astype(np.float64) for r in classes.orderBy("key").limit(want).collect()])) if total else np.ones((1, dim))
     eps = math.sqrt(max(0.0, 2 - 2 * cosine))
-    homes = written(_homes(classes, pivots), folder, "homes")
+    shared = spark.sparkContext.broadcast(pivots)
+    homes = written(_homes(classes, shared, dim), folder, "homes")
     stats = homes.groupBy("home").agg(F.count("*").alias("n"), F.max("d").alias("r")).collect()  # one row a pivot
-    dealt = _spread(homes, pivots, eps, {r["home"]: r["n"] for r in stats}, {r["home"]: r["r"] for r in stats})
-    width = max(parts(spark, 0, 1), sum(-(-r["n"] // BLOCK) for r in stats))
+    dealt = _spread(homes, shared, dim, len(pivots), eps, {r["home"]: r["n"] for r in stats}, {r["home"]: r["r"] for r in stats}, block)
+    width = max(parts(spark, 0, 1), sum(-(-r["n"] // block) for r in stats))
     joined = written(sweep(dealt, min(width, 20_000), dim, _linker(cosine), "a long, b long, links long"), folder, "links")
     links = joined.groupBy("a").agg(F.sum("links").alias("links"))
     roots = components(joined.where("a != b").select("a", "b"), folder)

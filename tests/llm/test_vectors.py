@@ -63,7 +63,7 @@ def test_range_join_equals_brute_force(spark, cell):
 
 
 def test_range_join_over_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(range_join, "BLOCK", 30)
+    monkeypatch.setattr(range_join, "block_rows", lambda dim: 30)
     base = np.random.default_rng(5).normal(size=DIM)
     vectors = [[float(x) for x in base + np.random.default_rng(k).normal(0, 0.15, DIM) * np.linalg.norm(base)] for k in range(200)]
     df = spark.createDataFrame([(i, v, 0, 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int, n_links int")
@@ -82,6 +82,22 @@ def test_range_join_of_last_bit_copies(spark):
         assert sorted(tuple(r) for r in range_join.near_duplicates(df, cell=cell).collect()) == sorted(brute_links(list(range(len(vectors))), vectors))
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_range_join_of_parallel_vectors(spark, monkeypatch, seed):
+    """Scalings of one vector all link to each other, also where the pivots have (nearly) one direction."""
+    monkeypatch.setattr(range_join, "STREAMED", 7)
+    monkeypatch.setattr(range_join, "MEASURED", 9)
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=DIM)
+    scaled = [[float(x) for x in base * s] for s in rng.uniform(0.1, 9, 200)]
+    turned = [[float(x) for x in (base + rng.normal(0, 10.0 ** -rng.integers(1, 9), DIM)) * s] for s in rng.uniform(0.1, 9, 60)]
+    df = spark.createDataFrame([(i, v, 0, 0) for i, v in enumerate(scaled)], "vec_id long, embedding array<double>, label int, n_links int")
+    assert {r.n_links for r in range_join.near_duplicates(df, cell=5).collect()} == {199}
+    vectors = scaled[:60] + turned
+    df = spark.createDataFrame([(i, v, 0, 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int, n_links int")
+    assert sorted(tuple(r) for r in range_join.near_duplicates(df, cell=5).collect()) == sorted(brute_links(list(range(len(vectors))), vectors))
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert range_join.near_duplicates(df).count() == 0
