@@ -26,6 +26,8 @@ K, EVERY = 20, 20
 TREES = 4
 #: Rows the planes are fitted on at most, rows of a leaf that are wanted, rows that a leaf's block holds.
 SAMPLE, LEAF, BLOCK = 65_536, 2048, 4096
+#: Leaves that a tree has at least, if they hold so many rows each.
+LEAVES, LEAST_LEAF = 16, 32
 #: Queries by which the number of candidates is measured, and the share of their neighbours that must be found.
 MEASURED, RECALL = 200, 0.96
 #: Rows of the sample that give each query a bar: the k-th best of those in the leaves it visits. Leaves return only what
@@ -34,6 +36,12 @@ ANCHORS = 8192
 SEED = 11
 
 
+def depth_for(total: int) -> int:
+    """Planes above a leaf: leaves of about LEAF rows, smaller ones where that gives fewer than LEAVES, 32 sample rows at least."""
+    leaf = min(LEAF, max(LEAST_LEAF, total / LEAVES))
+    return max(0, min((SAMPLE // 32).bit_length() - 1, int(np.log2(max(1, total / leaf)))))
+
+
 class Forest:
     """Complete binary trees of the same depth: node i has children 2i + 1 (below the plane) and 2i + 2."""
 
@@ -191,7 +199,7 @@ def search(rows: DataFrame, is_query, k: int = K, trees: int = TREES, recall: fl
     vectors = written(_vectors(rows.where(usable("embedding") & (F.size("embedding") == dim) & F.col("vec_id").isNotNull()), dim), folder, "vectors")
     asks = is_query(F.col("id"))
     total = vectors.count()
-    depth = max(0, min((SAMPLE // 32).bit_length() - 1, int(np.log2(max(1, total / LEAF)))))
+    depth = depth_for(total)
     sample_ids, sample = _collected(vectors, SAMPLE, dim, F.xxhash64("id"), "id")
     forest = Forest(sample, trees, depth)
     shared = spark.sparkContext.broadcast(forest)  # trees * leaves planes: bounded by SAMPLE
@@ -259,7 +267,7 @@ def search(rows: DataFrame, is_query, k: int = K, trees: int = TREES, recall: fl
 
     schema = "query_id long, id long, score double"
     dealt = indexed.mapInArrow(candidates, SWEEP).unionByName(vectors.where(asks).mapInArrow(walks, SWEEP))
-    width = min(20_000, max(parts(spark, 0, 1), int(blocks.sum())))
+    width = min(20_000, max(parts(spark, 0, 1), -(-int(counts.sum()) // BLOCK)))
     found = sweep(dealt, width, dim, _leaf_search(k), schema)
     return _best(found, k)
 

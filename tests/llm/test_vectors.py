@@ -164,6 +164,35 @@ def test_search_of_few_rows(spark):
     assert got == [(0, 1, 1, 2.0), (0, 2, 3, 2.0), (0, 3, 20, 1.0), (20, 1, 1, 2.0), (20, 2, 3, 2.0), (20, 3, 0, 1.0)]
 
 
+def test_trees_have_planes():
+    assert [ann_forest.depth_for(n) for n in (0, 1, 40, 500, 2000, 100_000, 10**9)] == [0, 0, 0, 3, 4, 5, 11]
+
+
+def visited_share(x, queries):
+    """The share of leaves that the shared queue opens for the measured number of candidates."""
+    forest = ann_forest.Forest(x, ann_forest.TREES, ann_forest.depth_for(len(x)))
+    leaf = forest.assign(x)
+    counts = np.stack([np.bincount(leaf[:, t], minlength=forest.leaves) for t in range(ann_forest.TREES)])
+    near = [x[np.argsort(-(x @ x[q]), kind="stable")[:21]] for q in queries]
+    enough = ann_forest.measure(forest, counts, x[queries], near, ann_forest.RECALL)
+    return np.mean([len(forest.visit(m, counts, enough)) for m in forest.margins(x[queries])]) / counts.size
+
+
+def test_search_of_clusters(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(200, 16)) * 3
+    x = np.float32(centres[rng.integers(0, 200, 20_000)] + rng.normal(0, 0.3, (20_000, 16))).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [*map(float, v)]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got, hits = ann_forest.search(df, lambda i: i % 400 == 0).collect(), 0
+    for q in range(0, len(x), 400):
+        order = np.argsort(-(x @ x[q]), kind="stable")
+        hits += len({r.vec_id for r in got if r.query_id == q} & set(order[order != q][:20].tolist()))
+    share = visited_share(x, range(0, len(x), 400))
+    print("clusters: recall", hits / 1000, "share of leaves", share)
+    assert len(got) == 50 * 20 and hits / 1000 >= 0.9 and share < 0.6
+
+
 def test_search_over_a_table(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
     want = truth([r.vec_id for r in rows], np.array([r.embedding for r in rows], float))
