@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .retrieval import dense, top
+from .retrieval import dense, inner, top
 
 
 def session_state(conversations: DataFrame) -> DataFrame:
@@ -26,9 +26,13 @@ def cache_lookup(queries: DataFrame, cache: DataFrame, threshold: float) -> Data
 
 
 def recall(queries: DataFrame, memories: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score, rank among the memories of the query's own user (label): never another's."""
-    joined = queries.select("query_id", "user").join(memories.select("vec_id", F.col("label").alias("owner")), F.col("user") == F.col("owner")).select("query_id", "vec_id")
-    return top(dense(queries, memories).join(joined, ["query_id", "vec_id"], "left_semi").where("query_id <> vec_id"), "query_id", "vec_id", k)
+    """query_id, vec_id, score, rank among the memories of the query's own user (label): never another's.
+
+    The join is on the user, so no pair of different users is scored; AQE splits a user of very many memories.
+    """
+    own = memories.select("vec_id", "embedding", F.col("label").alias("owner"))
+    met = queries.join(own, F.col("user") == F.col("owner")).where((F.col("query_id") != F.col("vec_id")) & (F.size("embedding") == F.size("qvec")))
+    return top(met.select("query_id", "vec_id", inner(F.col("qvec"), F.col("embedding")).alias("score")), "query_id", "vec_id", k)
 
 
 def long_term(events: DataFrame) -> DataFrame:

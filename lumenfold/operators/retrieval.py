@@ -106,8 +106,9 @@ def compressed(evidence: DataFrame, budget: int) -> DataFrame:
 
     Sentences that fit are put back in their order.
     """
-    each = evidence.select("item_id", "doc_id", "query", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
-    scored = each.withColumn("hits", F.size(F.array_intersect(F.array_distinct(terms(F.col("query"))), terms(F.col("sentence"))))).withColumn("n", F.char_length("sentence"))
+    own = evidence.select("item_id", "doc_id", "text", F.array_distinct(terms(F.col("query"))).alias("asked"))
+    each = own.select("item_id", "doc_id", "asked", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
+    scored = each.withColumn("hits", F.size(F.array_intersect("asked", terms(F.col("sentence"))))).withColumn("n", F.char_length("sentence"))
     kept = scored.selectExpr("*", "sum(n) over (partition by item_id, doc_id order by hits desc, pos rows between unbounded preceding and current row) as used").where((F.col("used") <= budget) & (F.col("hits") > 0))
     out = kept.groupBy("item_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("s"), F.sum("n").alias("chars"))
     return out.select("item_id", "doc_id", F.array_join(F.transform("s", lambda x: x.sentence), " ").alias("context"), "chars")

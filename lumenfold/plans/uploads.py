@@ -43,8 +43,7 @@ def _outcome(spark, sf):
 
 @query("u09_accepted", f"{O} select doc_id, original_filename, size_bytes from o where status = 201")
 def _accepted(spark, sf):
-    own = uploads(spark, sf).select("doc_id", "original_filename", "content_type", "size_bytes")
-    return own.join(U.outcome(own).where("not file_retained").select("doc_id"), "doc_id", "left_anti").select("doc_id", "original_filename", "size_bytes")
+    return U.outcome(uploads(spark, sf)).where("file_retained").select("doc_id", "original_filename", "size_bytes")
 
 
 @query(
