@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann_forest, bpe_replay, decontamination, html_text, packing, quality, range_join, shingle_join, token_files, toxicity, warc
+from . import ann_forest, bpe_replay, decontamination, html_text, packing, quality, range_join, shingle_join, spelling, token_files, toxicity, warc
 
 QUERIES = {
     "op1_token_files": token_files.query,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_range_join": range_join.query,
     "op10_bpe_replay": bpe_replay.query,
     "op12_decontamination": decontamination.query,
+    "op13_spelling": spelling.query,
 }
 ORACLES: dict[str, str] = {"op2_shingle_join": shingle_join.ORACLE, "op5_warc": warc.ORACLE, "op9_range_join": range_join.ORACLE, "op12_decontamination": decontamination.ORACLE}
