@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann_forest, bpe_replay, decontamination, html_text, packing, quality, range_join, shingle_join, spelling, token_files, toxicity, warc
+from . import alignment, ann_forest, bpe_replay, decontamination, html_text, packing, quality, range_join, shingle_join, spelling, token_files, toxicity, warc
 
 QUERIES = {
     "op1_token_files": token_files.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_range_join": range_join.query,
     "op10_bpe_replay": bpe_replay.query,
+    "op11_alignment": alignment.query,
     "op12_decontamination": decontamination.query,
     "op13_spelling": spelling.query,
 }
