@@ -35,16 +35,6 @@ def term_index(docs: DataFrame) -> DataFrame:
     return term_counts(docs).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def write_index(docs: DataFrame, folder: str) -> None:
-    """postings (partitioned by a hash of the term), terms, doc_stats and corpus as tables; df and avgdl are whole-corpus."""
-    counts = term_counts(docs)
-    counts.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(64)).cast("int")).repartition("part").write.partitionBy("part").parquet(f"{folder}/postings")
-    counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).write.parquet(f"{folder}/terms")
-    lengths = tokens(docs).select("doc_id", F.size("terms").alias("dl"))
-    lengths.write.parquet(f"{folder}/doc_stats")
-    lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{folder}/corpus")
-
-
 def bm25(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """item_id, doc_id, score of every document that holds a query's term.
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
+from ..operators.index import index_of
 from ..sources.tables import table
 from .registry import query
 
@@ -42,7 +43,7 @@ def items(spark, sf):
 
 
 def bm25_top(spark, sf, k):
-    return R.top(R.bm25(items(spark, sf), documents(spark, sf)), "item_id", "doc_id", k)
+    return index_of(spark, f"{sf}/documents.parquet").top(items(spark, sf), k)
 
 
 def fused_top(spark, sf, k):
@@ -64,7 +65,7 @@ def _tokens(spark, sf):
 
 @query("r02_index", f"with {BM} select term, count(*)::bigint as df, sum(tf)::bigint as cf from tf group by term")
 def _index(spark, sf):
-    return R.term_index(documents(spark, sf))
+    return index_of(spark, f"{sf}/documents.parquet").terms()
 
 
 @query("r03_bm25", f"with {BM} select item_id, doc_id, score, rank from bmr where rank <= 10")

@@ -6,10 +6,6 @@ watermark hasn't closed; append mode gives closed ones only and drops late rows.
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,17 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
+from ..sources.shared import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a local one only where that is unset and the session is one process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the executors share")
-        base = "file://" + os.path.join(tempfile.gettempdir(), "lumenfold-shared")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -95,7 +83,7 @@ def drained(stream: DataFrame, mode: str, folder: str | None = None) -> DataFram
     A folder may be given to go on from its checkpoint later.
     """
     spark = stream.sparkSession
-    folder = folder or shared_folder(spark)
+    folder = folder or shared_folder(spark, "stream")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out" if mode == "complete" else f"{folder}/out/batch={number}")

@@ -107,16 +107,6 @@ def test_dense_blocks_meet_every_row(spark, monkeypatch):
     assert {tuple(r) for r in retrieval.dense(asked, rows).collect()} == whole and len(whole) == 1600
 
 
-def test_index_tables(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, None)], "doc_id long, text string")
-    retrieval.write_index(docs, f"{tmp_path}/i")
-    posted = {(r.term, r.doc_id): r.tf for r in spark.read.parquet(f"{tmp_path}/i/postings").collect()}
-    assert posted == {("a", 1): 2, ("b", 1): 1, ("b", 2): 1, ("c", 2): 1}
-    assert spark.read.parquet(f"{tmp_path}/i/corpus").first()["n"] == 3
-    lengths = {r.doc_id: r.dl for r in spark.read.parquet(f"{tmp_path}/i/doc_stats").collect()}
-    assert lengths == {1: 3, 2: 2, 3: 0}
-
-
 def test_near_duplicates_and_null_texts(spark):
     base = [f"w{i}" for i in range(60)]
     docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(base)), (3, " ".join([*base, "x"])), (4, "other words"), (5, None), (6, "")], "doc_id long, text string")
