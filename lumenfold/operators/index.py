@@ -33,6 +33,8 @@ PARTITION_BYTES = 32_000_000
 GROUP = 512
 #: Blocks of each query that are scored first, to know its bar.
 FIRST = 2
+#: An index of so few blocks is scored in one pass.
+ONE_PASS = 8
 #: Scores count as equal within this much: they are rounded to six digits.
 SLACK = 2e-6
 #: The partition of the rows that describe blocks.
@@ -123,7 +125,7 @@ class Index:
         self.parts, kind = spark.read.parquet(f"{folder}/layout").first()
         self.rows = spark.read.schema(_ROW.format(id=kind)).parquet(f"{folder}/postings")
         self.blocks = self.rows.where(F.col("part") == BLOCKS)
-        self.n, tokens = self.blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("cf"), F.lit(0))).first()
+        self.n, tokens, self.n_blocks = self.blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("cf"), F.lit(0)), F.count("*")).first()
         self.mean = tokens / self.n if tokens else 1.0
 
     def terms(self) -> DataFrame:
@@ -146,8 +148,8 @@ class Index:
     def top(self, queries: DataFrame, k: int) -> DataFrame:
         """item_id, doc_id, score, rank: the k best documents of each query by BM25, ties to the smaller doc_id.
 
-        A query without terms of the corpus has no rows. Two passes: the blocks of the largest bounds first, which give
-        each query a bar, then those whose bound reaches it.
+        A query without terms of the corpus has no rows. Two passes over many blocks: those of the largest bounds first,
+        which give each query a bar, then those whose bound reaches it.
         """
         asked, buckets, groups = self.asked(queries)
         folder = shared_folder(self.spark, "search")
@@ -159,6 +161,8 @@ class Index:
         met = asked.join(df.withColumn("idf", idf), "term").join(facts, "term").select("item_id", "term", "block", "idf", (F.col("idf") * (K1 + 1) / least).alias("bound"))
         met = _kept(met, folder, "met")
         bounds = met.groupBy("item_id", "block").agg(F.sum("bound").alias("bound"))
+        if self.n_blocks <= ONE_PASS:
+            return top(self._scored(own, met, bounds.select("item_id", "block", F.lit(0.0).alias("bar")), groups, k), "item_id", "doc_id", k)
         placed = bounds.selectExpr("*", "row_number() over (partition by item_id order by bound desc, block) as place")
         bounds = _kept(placed, folder, "bounds")
         begun = self._scored(own, met, bounds.where(F.col("place") <= FIRST).select("item_id", "block", F.lit(0.0).alias("bar")), groups, k)

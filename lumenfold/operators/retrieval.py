@@ -82,8 +82,9 @@ def with_texts(candidates: DataFrame, queries: DataFrame, docs: DataFrame) -> Da
 
 def coverage(query: Column, text: Column) -> Column:
     """Share of the query's distinct terms that the text holds: a lexical surrogate for a neural reranker."""
-    q = F.array_distinct(terms(query))
-    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, terms(text))) / F.size(q)).otherwise(F.lit(0.0))
+    # Both lists are bound to a lambda's variable: named in each place, they would be split anew there.
+    both = F.array(F.struct(F.array_distinct(terms(query)).alias("q"), terms(text).alias("t")))
+    return F.transform(both, lambda x: F.when(F.size(x.q) > 0, F.size(F.array_intersect(x.q, x.t)) / F.size(x.q)).otherwise(F.lit(0.0)))[0]
 
 
 def rerank(candidates: DataFrame, scorer=coverage) -> DataFrame:
@@ -97,7 +98,7 @@ def compressed(evidence: DataFrame, budget: int) -> DataFrame:
     Sentences that fit are put back in their order.
     """
     own = evidence.select("item_id", "doc_id", "text", F.array_distinct(terms(F.col("query"))).alias("asked"))
-    each = own.select("item_id", "doc_id", "asked", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
+    each = own.select("item_id", "doc_id", "asked", F.posexplode_outer(sentences(F.col("text"))).alias("pos", "sentence"))
     scored = each.withColumn("hits", F.size(F.array_intersect("asked", terms(F.col("sentence"))))).withColumn("n", F.char_length("sentence"))
     kept = scored.selectExpr("*", "sum(n) over (partition by item_id, doc_id order by hits desc, pos rows between unbounded preceding and current row) as used").where((F.col("used") <= budget) & (F.col("hits") > 0))
     out = kept.groupBy("item_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("s"), F.sum("n").alias("chars"))

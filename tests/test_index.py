@@ -32,6 +32,7 @@ def plain(df):
 def test_equals_bm25_of_all_pairs(spark, tmp_path, monkeypatch, docs_a_block, terms_a_block, first, group):
     docs, asked = corpus(spark), queries(spark)
     monkeypatch.setattr(I, "FIRST", first)
+    monkeypatch.setattr(I, "ONE_PASS", first)
     monkeypatch.setattr(I, "GROUP", group)
     I.write_index(docs, str(tmp_path / "i"), parts=5, block_docs=docs_a_block, block_terms=terms_a_block)
     own = I.Index(spark, str(tmp_path / "i"))
