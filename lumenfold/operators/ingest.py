@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_starts, terms
+from .near import WORDS
 
 # Patterns, the same in RE2.
 BOILERPLATE = r"(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>|<nav.*?</nav>|<footer.*?</footer>|<div class=\"ad\">.*?</div>"
@@ -14,7 +15,6 @@ BLOCK = r"(?is)<(?:title|h1|h2|h3|p|li|figcaption)[^>]*>[^<]*"
 EQUATION = r"[A-Za-z][A-Za-z0-9_]* = [\"A-Za-z0-9_+*/^().-]+"
 CAPTION = r"(?is)<figcaption[^>]*>[^<]*|<img [^>]*alt=\"[^\"]*\""
 SCOPE = r"(?i)licen[cs]e|copyright|rights reserved"
-WORDS, SIMILAR = 5, (4, 5)  # shingle length; the least similarity, as a fraction
 
 
 def blocks(pages: DataFrame) -> DataFrame:
@@ -59,34 +59,6 @@ def shingles(words: Column, n: int = WORDS) -> Column:
     return F.when(F.size(words) > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (least doc_id with the same shingle set), n_links (other sets with a similarity of 0.8 or more).
-
-    Exact by prefix filtering: sets with a Jaccard similarity of s share one of their n - ceil(s * n) + 1 rarest
-    shingles. Equal sets are one class first. No shingle is dropped, however frequent: a frequent one is in a prefix only
-    where a set has nothing rarer.
-    """
-    p, q = SIMILAR
-    sets = docs.select("doc_id", shingles(terms(F.col("text"))).alias("s")).select("doc_id", F.array_sort(F.transform("s", lambda x: F.xxhash64(x))).alias("s"))
-    keyed = sets.withColumn("k", F.md5(F.array_join(F.transform("s", lambda x: x.cast("string")), ",")))
-    classes = keyed.groupBy("k").agg(F.min("doc_id").alias("class_id"), F.first("s").alias("s")).where(F.size("s") > 0)
-    each = classes.select("class_id", F.size("s").alias("n"), F.explode("s").alias("x"))
-    counts = each.groupBy("x").agg(F.count("*").alias("df"))
-    # A shingle of one set only can't be shared: it takes its place in the prefix, and is not looked up.
-    ranked = each.join(counts, "x").selectExpr("*", "row_number() over (partition by class_id order by df, x) as r")
-    prefix = ranked.where(f"r <= n - ceil({p}D * n / {q}) + 1 and df > 1").select("class_id", "n", "x")
-    a, b = prefix.withColumnsRenamed({"class_id": "a", "n": "na"}), prefix.withColumnsRenamed({"class_id": "b", "n": "nb"})
-    pairs = a.join(b, "x").where(f"a < b and na * {q} >= nb * {p} and nb * {q} >= na * {p}").select("a", "b").distinct()
-    own = classes.select("class_id", "s")
-    both = pairs.join(own.withColumnsRenamed({"class_id": "a", "s": "sa"}), "a").join(own.withColumnsRenamed({"class_id": "b", "s": "sb"}), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    linked = both.where(shared * q >= (F.size("sa") + F.size("sb") - shared) * p).select(F.explode(F.array("a", "b")).alias("class_id"))
-    links = linked.groupBy("class_id").agg(F.count("*").alias("n_links"))
-    members = keyed.select("doc_id", "k", (F.size("s") > 0).alias("any")).join(keyed.groupBy("k").agg(F.min("doc_id").alias("class_id")), "k")
-    members = members.select("doc_id", F.when(F.col("any"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
-    return members.join(links, "class_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-
-
 def minhash(docs: DataFrame, seeds: int = 4) -> DataFrame:
     """doc_id, seed, minhash: the least digest of a document's shingles under each seed."""
     own = docs.select("doc_id", shingles(terms(F.col("text"))).alias("s")).where(F.size("s") > 0)

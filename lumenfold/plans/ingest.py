@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..operators import ingest as I
+from ..operators import near as N
 from ..sources.tables import table
 from .registry import query
 from .retrieval import TERMS
@@ -57,17 +58,23 @@ def _exact(spark, sf):
     return I.exact_duplicates(documents(spark, sf))
 
 
-@query(
-    "i07_near_dup",
-    f"""with {SHINGLES}, k as (select doc_id, list_sort(s) as s, len(s) as n from s),
+NEAR = f"""with {SHINGLES}, k as (select doc_id, list_sort(s) as s, len(s) as n from s),
     c as (select doc_id, n, case when n > 0 then min(doc_id) over (partition by array_to_string(s, '|')) else doc_id end as class_id, s from k),
     x as (select class_id, n, unnest(s) as x from c where doc_id = class_id),
     p as (select a.class_id as a, b.class_id as b, count(*) as shared, any_value(a.n) as na, any_value(b.n) as nb from x a join x b on a.x = b.x and a.class_id <> b.class_id group by 1, 2),
     l as (select a, count(*) as n_links from p where 5 * shared >= 4 * (na + nb - shared) group by a)
-    select doc_id, class_id, coalesce(n_links, 0)::bigint as n_links from c left join l on l.a = c.class_id""",
-)
+    select doc_id, class_id, coalesce(n_links, 0)::bigint as n_links from c left join l on l.a = c.class_id"""
+
+
+@query("i07_near_dup", NEAR)
 def _near(spark, sf):
-    return I.near_duplicates(documents(spark, sf))
+    return N.near_duplicates(documents(spark, sf), 0.8, N.prefix_buckets)
+
+
+@query("i11_minhash_join", NEAR)
+def _minhash_join(spark, sf):
+    """By bands: the SQL compares all pairs, so every link is found here."""
+    return N.near_duplicates(documents(spark, sf), 0.8, N.band_buckets)
 
 
 @query("i08_minhash", f"with {SHINGLES}, e as (select doc_id, unnest(s) as x from s) select doc_id, g.g::int as seed, min(md5(g.g || ':' || x)) as minhash from e, (select unnest([0, 1, 2, 3]) as g) g group by doc_id, g.g")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import chunk_starts, strip, suffix
-from lumenfold.operators import evaluate, guard, ingest, memory, retrieval, routing, uploads
+from lumenfold.operators import evaluate, guard, ingest, memory, near, retrieval, routing, uploads
 from lumenfold.sources import files
 from lumenfold.streaming import operators as streaming
 
@@ -110,7 +110,7 @@ def test_dense_blocks_meet_every_row(spark, monkeypatch):
 def test_near_duplicates_and_null_texts(spark):
     base = [f"w{i}" for i in range(60)]
     docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(base)), (3, " ".join([*base, "x"])), (4, "other words"), (5, None), (6, "")], "doc_id long, text string")
-    got = {r.doc_id: (r.class_id, r.n_links) for r in ingest.near_duplicates(docs).collect()}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near.near_duplicates(docs).collect()}
     assert got == {1: (1, 1), 2: (1, 1), 3: (3, 1), 4: (4, 0), 5: (5, 0), 6: (6, 0)}
 
 
