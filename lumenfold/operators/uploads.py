@@ -53,6 +53,18 @@ def outcome(uploads: DataFrame, unreadable: Column | None = None) -> DataFrame:
     return uploads.withColumns({"status": status, "detail": detail}).withColumn("file_retained", F.col("status").isin(201, 422))
 
 
+def checked(uploads: DataFrame) -> DataFrame:
+    """uploads with status and detail of the first check on name and type that fails; null where both pass.
+
+    The checks that need a file's bytes are those of whoever reads them.
+    """
+    status = detail = None
+    for code, text, failed in CHECKS[:3]:
+        status = F.when(failed(), F.lit(code)) if status is None else status.when(failed(), F.lit(code))
+        detail = F.when(failed(), F.lit(text)) if detail is None else detail.when(failed(), F.lit(text))
+    return uploads.withColumns({"status": status, "detail": detail})
+
+
 def rejected(uploads: DataFrame, detail: str) -> DataFrame:
     return outcome(uploads).where(F.col("detail") == detail)
 
@@ -109,5 +121,20 @@ def response(uploads: DataFrame) -> DataFrame:
     )
 
 
+def response_json(uploads: DataFrame) -> DataFrame:
+    """doc_id, body: the response of each accepted upload as one JSON object, its pages nested in it."""
+    own = with_pages(outcome(uploads).where("status = 201"))
+    body = F.struct(
+        F.lit(SUCCESS).alias("message"),
+        "original_filename",
+        saved_name(F.col("doc_id"), F.col("original_filename")).alias("saved_filename"),
+        reported_type(F.col("content_type")).alias("content_type"),
+        "size_bytes",
+        F.size("extracted_pages").alias("number_of_pages"),
+        "extracted_pages",
+    )
+    return own.select("doc_id", F.to_json(body).alias("body"))
+
+
 def health(spark, service: str) -> DataFrame:
     return spark.range(1).select(F.concat(F.lit(service), F.lit(" API is running")).alias("message"))

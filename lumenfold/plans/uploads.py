@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.text import suffix
 from ..operators import uploads as U
 from ..sources.manifest import SQL as M
+from ..sources import stored
 from ..sources.manifest import uploads
+from ..sources.shared import shared_folder
 from .registry import query
 
 SERVICE = "lumenfold"
@@ -100,3 +102,43 @@ def _residual(spark, sf):
 @query("u17_mime_default", f"with {M} select coalesce(nullif(content_type, ''), '{U.UNKNOWN_TYPE}') as content_type, count(*)::bigint as n from m group by 1")
 def _types(spark, sf):
     return uploads(spark, sf).groupBy(U.reported_type(F.col("content_type")).alias("content_type")).agg(F.count("*").alias("n"))
+
+
+#: What an upload's bytes are: its text, or that a thousand times over (no more of it than shows that it's too large).
+CONTENT = f"encode(case when doc_id % 11 = 0 then '' when doc_id % 7 = 0 then repeat(text, cast(least(1000, {U.MAX_BYTES + U.CHUNK_BYTES} div greatest(octet_length(text), 1) + 1) as int)) else text end, 'utf-8')"
+
+
+def saved(spark, sf, folder):
+    own = uploads(spark, sf).selectExpr("doc_id as upload_id", "original_filename", "content_type", f"{CONTENT} as content")
+    return stored.intake(own, folder)
+
+
+@query(
+    "u18_intake",
+    f"""{O} select doc_id, status, detail, case when status = 201 then md5(doc_id::varchar) || suffix end as saved_filename,
+    case when status = 201 then ceil(size_bytes / {U.CHUNK_BYTES}.0)::bigint + 1 when status = 413 then 11 when detail = '{U.EMPTY}' then 1 end as n_reads,
+    case when status = 201 then size_bytes end as n_bytes from o""",
+)
+def _intake(spark, sf):
+    """The manifest's uploads with their bytes through the sink: outcomes as it wrote them."""
+    found = saved(spark, sf, shared_folder(spark, "uploads"))
+    return found.select(F.col("upload_id").cast("long").alias("doc_id"), "status", "detail", "saved_filename", "n_reads", F.when(F.col("status") == 201, F.col("n_bytes")).alias("n_bytes"))
+
+
+@query("u19_stored_chunks", f"""{O}, c as (select doc_id, suffix, size_bytes, unnest(range(0, ceil(size_bytes / {U.CHUNK_BYTES}.0)::bigint)) as number from o where status = 201)
+    select md5(doc_id::varchar) || suffix as saved_filename, number::int as number, least({U.CHUNK_BYTES}, size_bytes - number * {U.CHUNK_BYTES})::int as n_bytes from c""")
+def _stored_chunks(spark, sf):
+    """What lies in the store after the intake, chunk by chunk."""
+    folder = shared_folder(spark, "uploads")
+    saved(spark, sf, folder)
+    return stored.chunks(spark, folder).select("saved_filename", "number", "n_bytes")
+
+
+@query(
+    "u20_response_json",
+    f"""{O}, {PAGES}, a as (select doc_id, list({{'page_number': page_number, 'text': text}} order by page_number) as pages from p group by doc_id)
+    select o.doc_id, to_json({{'message': '{U.SUCCESS}', 'original_filename': original_filename, 'saved_filename': md5(o.doc_id::varchar) || suffix, 'content_type': content_type,
+      'size_bytes': size_bytes, 'number_of_pages': coalesce(len(pages), 0), 'extracted_pages': coalesce(pages, [])}})::varchar as body from o left join a on a.doc_id = o.doc_id where status = 201""",
+)
+def _response_json(spark, sf):
+    return U.response_json(uploads(spark, sf))

@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +19,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "lumenfold-shared")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI and the path in it; a plain path and file:/x are local."""
+    uri = re.sub(r"^file:/+", "file:///", uri)
+    return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), os.path.abspath(uri))
