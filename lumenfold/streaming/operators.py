@@ -16,6 +16,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.shared import shared_folder
 
+#: How long a user's session state outlives the last event (event time).
+KEEP_MS = 90 * 86_400_000
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -52,11 +54,21 @@ def distinct_events(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 class SessionState(StatefulProcessor):
-    """Keeps for each user how many events came and the last one; yields the state after each batch."""
+    """Keeps for each user how many events came and the last one; yields the state after each batch.
+
+    A user without events for keep_ms (event time) is forgotten by a timer. The state may begin from a snapshot (n, last_ts, last_type by user).
+    """
+
+    def __init__(self, keep_ms: int = KEEP_MS):
+        self.keep = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         fields = T.StructType([T.StructField("n", T.LongType()), T.StructField("last_ts", T.TimestampType()), T.StructField("last_type", T.StringType())])
-        self.state = handle.getValueState("session", fields)
+        self.handle, self.state = handle, handle.getValueState("session", fields)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        n, ts, kind = initialState[["n", "last_ts", "last_type"]].iloc[0]
+        self.state.update((int(n), ts.to_pydatetime(), kind))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n, last_ts, last_type = self.state.get() if self.state.exists() else (0, None, None)
@@ -66,15 +78,27 @@ class SessionState(StatefulProcessor):
             if last_ts is None or row["ts"] >= pd.Timestamp(last_ts):
                 last_ts, last_type = row["ts"].to_pydatetime(), row["event_type"]
         self.state.update((n, last_ts, last_type))
+        self.handle.registerTimer(self._end(last_ts))
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last_ts": [last_ts], "last_type": [last_type]})
 
+    def _end(self, last_ts) -> int:
+        return int(pd.Timestamp(last_ts).timestamp() * 1000) + self.keep
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists() and self._end(self.state.get()[1]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def session_state(events: DataFrame) -> DataFrame:
+def session_state(events: DataFrame, keep_ms: int = KEEP_MS, snapshot: DataFrame | None = None, delay: str = "7 days") -> DataFrame:
+    """user_id, n, last_ts, last_type after each batch; events later than the delay are dropped; snapshot: such rows of an earlier state to begin from."""
     schema = "user_id long, n long, last_ts timestamp, last_type string"
-    return events.groupBy("user_id").transformWithStateInPandas(SessionState(), outputStructType=schema, outputMode="Update", timeMode="None")
+    begun = None if snapshot is None else snapshot.select("user_id", "n", "last_ts", "last_type").groupBy("user_id")
+    own = events.withWatermark("ts", delay)
+    return own.groupBy("user_id").transformWithStateInPandas(SessionState(keep_ms), outputStructType=schema, outputMode="Update", timeMode="EventTime", initialState=begun)
 
 
 def drained(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
