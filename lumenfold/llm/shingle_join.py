@@ -43,6 +43,10 @@ SPARE = 1.1
 BUCKET_BYTES = 24_000_000
 #: Shingles of the sets in a block of a family, about.
 BLOCK_SHINGLES = 1_000_000
+#: Sets in a block of a family, at most about.
+BLOCK_SETS = 20_000
+#: Rows that a task remembers to leave out their repetitions.
+SEEN = 500_000
 #: Bits of the filter that keeps texts without a family from being shuffled: its size is fixed.
 FILTER_BITS = 1 << 23
 #: Elements that signatures have at least, where a set can afford it.
@@ -296,7 +300,10 @@ class Block:
 
 
 def _filtered(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs (doc_id, text) that may have one of the ids: a filter of FILTER_BITS bits, whatever the number of ids."""
+    """The rows of docs (doc_id, text) that may have one of the ids: a filter of FILTER_BITS bits, whatever the number of ids.
+
+    Of repeated rows a task hands on one (of those that it has in mind), so a row on many rows isn't shuffled as often.
+    """
     bits = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("b")).groupBy(F.shiftright("b", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 31 as int)))").alias("v"))
     words = np.zeros(FILTER_BITS // 32, np.int64)
     for r in bits.collect():  # FILTER_BITS / 32 rows at most
@@ -304,21 +311,47 @@ def _filtered(docs: DataFrame, ids: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
+        seen: set[tuple[int, bytes]] = set()
         for b in batches:
             at = b.column(2).to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["doc_id", "text"]).filter(pa.array((shared.value[at >> 5] >> (at & 31) & 1).astype(bool)))
+            own = pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["doc_id", "text"]).filter(pa.array((shared.value[at >> 5] >> (at & 31) & 1).astype(bool)))
+            new = []
+            for i, (d, t) in enumerate(zip(own.column(0).to_pylist(), own.column(1), strict=True)):
+                key = (d, xxhash.xxh3_128_digest(t.as_buffer()))
+                if key not in seen:
+                    seen.add(key)
+                    new.append(i)
+            if len(seen) > SEEN:
+                seen.clear()
+            yield own.take(pa.array(new, pa.int64()))
 
     return docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("at")).mapInArrow(run, "doc_id long, text string")
 
 
+def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """h, text: one text for each needed set (h, doc_id), whatever the rows that have it.
+
+    The set's fingerprint is checked here: a row may have a representative's doc_id and another set.
+    """
+
+    def run(batches):
+        shingler = Shingler()
+        for b in batches:
+            held = [int.from_bytes(fingerprint(shingler(t.as_py()))[:8], "little", signed=True) == h for h, t in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
+            yield b.filter(pa.array(held, pa.bool_()))
+
+    found = _filtered(docs, needed).join(needed.select("h", "doc_id"), "doc_id").select("h", "text")
+    return found.mapInArrow(run, "h long, text string").groupBy("h").agg(F.min("text").alias("text"))
+
+
 def _family_links(family: DataFrame, texts: DataFrame, sizes: DataFrame, folder: str) -> DataFrame:
     """Links (a, b) that join the linked sets of each family: rows (a, b), set b being in the family of a; a is in it too.
 
-    A family with many shingles has several blocks; every set of it is in one, and is streamed past all.
+    A family with many shingles or sets has several blocks; every set of it is in one, and is streamed past all.
     """
     spark = family.sparkSession
-    load = family.join(sizes.select(F.col("h").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("n"))
-    blocks = written(load.select("a", F.ceil(F.col("n") / BLOCK_SHINGLES).cast("int").alias("k")), folder, "blocks")
+    load = family.join(sizes.select(F.col("h").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("n"), F.count("*").alias("m"))
+    blocks = written(load.select("a", F.ceil(F.greatest(F.col("n") / BLOCK_SHINGLES, F.col("m") / BLOCK_SETS)).cast("int").alias("k")), folder, "blocks")
     every = family.join(blocks, "a").select("a", "k", F.col("b").alias("h")).unionByName(blocks.select("a", "k", F.col("a").alias("h")))
     home = F.expr("int(pmod(xxhash64(h), k))")
     inside = every.select("a", "h", home.alias("chunk"), F.lit(0).alias("role"))
@@ -348,8 +381,6 @@ def _family_links(family: DataFrame, texts: DataFrame, sizes: DataFrame, folder:
                     close()
                     key = (a[i], chunk[i])
                 s = shingler(b.column(4)[i].as_py())
-                if int.from_bytes(fingerprint(s)[:8], "little", signed=True) != h[i]:
-                    continue  # another row with the representative's doc_id
                 if role[i] == 0:
                     held[0].append(h[i])
                     held[1].append(s)
@@ -382,7 +413,7 @@ def join(docs: DataFrame) -> DataFrame:
     family = written(_matched(_bucketed(own, buckets)).distinct(), folder, "family")
     ends = family.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     needed = written(classes.join(ends, "h").select("h", "n", F.col("cid").alias("doc_id")), folder, "needed")
-    texts = written(_filtered(own, needed).join(needed.select("h", "doc_id"), "doc_id").select("h", "text"), folder, "texts")
+    texts = written(_texts(own, needed), folder, "texts")
     links = _family_links(family, texts, needed.select("h", "n").groupBy("h").agg(F.max("n").alias("n")), folder)
     roots = written(components(links, folder), folder, "roots")
 
@@ -399,7 +430,9 @@ def join(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of linked documents, as it came (all columns): that of the least doc_id.
 
-    Rows that link with nothing stay, those without words or without a doc_id too. Of repeated rows one stays.
+    Rows that link with nothing stay, those without words or without a doc_id too. Of repeated rows one stays; of rows with
+    one doc_id and one set that differ otherwise (in case, white space or other columns), that with the least hash of all
+    columns, so the choice is the same in every run.
     """
     kept = join(docs).where("n_shingles > 0 and doc_id = component_id").select("doc_id", "fp").distinct()
     kept = written(kept, shared_dir(docs.sparkSession), "kept")
@@ -412,7 +445,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.binary())], ["row", "id", "fp"])
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), text_or_empty()).mapInArrow(run, schema)
-    inside = rows.where("id is not null and fp is not null").join(kept.withColumnRenamed("doc_id", "id"), ["id", "fp"]).dropDuplicates(["id", "fp"])
+    inside = rows.where("id is not null and fp is not null").join(kept.withColumnRenamed("doc_id", "id"), ["id", "fp"])
+    maps = any(isinstance(f.dataType, T.MapType) for f in docs.schema.fields)
+    inside = inside.groupBy("id", "fp").agg(F.min_by("row", F.to_json("row") if maps else F.xxhash64("row")).alias("row"))
     return inside.select("row").unionByName(rows.where("id is null or fp is null").select("row")).select("row.*")
 
 

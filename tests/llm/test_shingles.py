@@ -132,3 +132,20 @@ def test_linked_sets_share_signatures(size):
         if len(s) == len(t) and (s == t).all():
             continue
         assert len(np.intersect1d(sj.signatures(s), sj.signatures(t)))
+
+
+def test_one_text_a_set_however_many_rows(spark):
+    """Many rows of one text beside a near copy: what is compared is one text for each of the two sets."""
+    base = " ".join(f"w{i}" for i in range(400))
+    docs = spark.range(10_000).selectExpr("if(id % 100 = 7, 7, id) as doc_id", f"if(id % 100 = 7, '{base} more', '{base}') as text").repartition(4)
+    own = sj.sets(docs).where("doc_id in (0, 7)").groupBy("h").agg({"doc_id": "min"}).toDF("h", "doc_id")
+    assert sj._texts(docs, own).count() == 2 and sj._filtered(docs, own).count() <= 8
+    got = sj.join(docs).groupBy("component_id", "n_shingles").count().collect()
+    assert sorted(tuple(r) for r in got) == [(0, 396, 9900), (0, 397, 100)]
+
+
+def test_keep_one_takes_the_same_row_each_time(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, words, "a"), (1, words.upper(), "b"), (1, "  " + words, "c"), (2, words + " x", "d")]
+    kept = [sj.keep_one(spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string, lang string").repartition(k + 1)).collect() for k in range(3)]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 1 and kept[0][0].doc_id == 1
