@@ -3,13 +3,15 @@
 Each record is a gzip member of its own. The reader checks every record (member checksum, version line, content length,
 block digest, closing blank lines). After a failed check it looks for the next member or version line, reads on from
 there, and reports the bytes between as a gap. A member that holds several records is read the same way inside; of one that
-is cut or corrupt, what it yields before its error is read. Blocks are read in steps and searches remember what they found, so
-neither a record's size nor the number of failed checks needs memory or another pass over the archive.
+is cut or corrupt, what it yields before its error is read. Blocks are read in steps, searches remember what they found and a
+byte is hashed for DEPTH failed digests at most (but for blocks of a few KB), so neither a record's size nor the number of
+failed checks needs memory or more than a bounded number of passes over the archive.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import gzip
 import hashlib
 import io
@@ -30,10 +32,13 @@ REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 32_000_000
 #: Bytes of a member's content that are held at once, about.
 HELD_BYTES = 1 << 25
+#: Failed digests that may cover a byte before a block over it is given up; the longest content searched for a changed byte.
+DEPTH, _LOCATED = 8, 1 << 23
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _URN = re.compile(r"<urn:lumenfold:page:(-?\d+|none)>$")
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+_ID, _DATE = re.compile(r"<[^<>\s]+>"), re.compile(r"\d{4}(-\d\d(-\d\d(T[\d:.]+Z)?)?)?")
 _MAGIC, _ZERO = b"\x1f\x8b\x08", re.compile(b"\0")
 #: The start of a gzip member whose reserved flags are zero, and of one that has neither a name nor a comment.
 _MEMBER, _NAMELESS = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]"), re.compile(rb"\x1f\x8b\x08[\x00-\x07]")
@@ -109,6 +114,7 @@ class Content:
 
     def __init__(self, f, at: int, start: int):
         self.f, self.at, self.start, self.end, self.why = f, at, start, None, ""
+        self.cut, self.trailer = False, None  # whether it only ends too early; the trailer's checksum and length where they are wrong
         self.size = self.pos = 1 << 62  # not known yet, and nothing to keep
         self._open()
         while self._more():
@@ -129,7 +135,7 @@ class Content:
             self.source += len(part)
             self.step = min(_STEP, 4 * self.step)
         if not part:
-            self.why, self.over = "member cut short", True
+            self.why, self.over, self.cut = "member cut short", True, True
             return False
         before = self.d.copy()
         try:
@@ -153,12 +159,26 @@ class Content:
         self.f.seek(end)
         trailer = self.f.read(8)
         if len(trailer) < 8:
-            self.why = "member cut short"
+            self.why, self.cut = "member cut short", True
         elif int.from_bytes(trailer[:4], "little") != self.crc or int.from_bytes(trailer[4:], "little") != (self.first + len(self.held)) & 0xFFFFFFFF:
             self.why = "member: checksum differs"
+            self.stop = end + 8
+            self.trailer = int.from_bytes(trailer[:4], "little"), int.from_bytes(trailer[4:], "little")
         else:
             self.end = end + 8
 
+    def stored(self) -> bool:
+        """Whether all of it is stored, not deflated."""
+        at = self.start
+        while True:
+            self.f.seek(at)
+            head = self.f.read(5)
+            if len(head) < 5 or head[0] & 6:
+                return False
+            if head[0] & 1:
+                return True
+            at += 5 + int.from_bytes(head[1:3], "little")
+
     def seek(self, pos: int) -> None:
         self.pos = pos
 
@@ -267,8 +287,17 @@ def _fields(f, at: int) -> tuple[dict[str, str], int]:
         start = end + 2
 
 
-def _record(f, at: int, size: int) -> tuple[dict[str, str], Block, int]:
-    """Header fields, block and end of the record at a position; Damage if a check fails."""
+def _same(fields: dict[str, str]) -> bytes:
+    """Equal for records of equal headers, the block's digest among them."""
+    return hashlib.sha1(repr(sorted(fields.items())).encode()).digest()
+
+
+def _record(f, at: int, size: int, failed: list[int]) -> tuple[dict[str, str], Block, int]:
+    """Header fields, block and end of the record at a position; Damage if a check fails.
+
+    failed: ends of the blocks before it whose digest differed, in order. A block of some length that DEPTH of them reach
+    into by half isn't hashed once more: else headers whose lengths all reach far would be hashed to there one by one.
+    """
     fields, start = _fields(f, at)
     length = fields.get("content-length", "")
     if not (length.isascii() and length.isdigit()) or len(length) > 18:
@@ -281,7 +310,11 @@ def _record(f, at: int, size: int) -> tuple[dict[str, str], Block, int]:
         raise Damage("no blank lines after the block")
     block, digest, response = Block(f, start, int(length)), fields.get("warc-block-digest", ""), fields.get("warc-type") == "response"
     if response or digest.startswith("sha1:"):
+        if block.size > _STEP >> 4 and len(failed) - bisect.bisect_left(failed, start + block.size // 2) >= DEPTH:
+            raise Damage("within blocks whose digest differs")
         own, payload = block.digests()
+        if digest.startswith("sha1:") and digest != own or response and (p := fields.get("warc-payload-digest", "")).startswith("sha1:") and p != payload:
+            bisect.insort(failed, stop)
         if digest.startswith("sha1:") and digest != own:
             raise Damage("block digest differs")
         if response and (digest := fields.get("warc-payload-digest", "")).startswith("sha1:") and digest != payload:
@@ -289,44 +322,114 @@ def _record(f, at: int, size: int) -> tuple[dict[str, str], Block, int]:
     return fields, block, stop + 4
 
 
+def _inverse() -> tuple[list[int], dict[int, int]]:
+    """The table of crc32, and its entries' numbers by their upper byte."""
+    table = []
+    for b in range(256):
+        for _ in range(8):
+            b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+        table.append(b)
+    return table, {t >> 24: k for k, t in enumerate(table)}
+
+
+def _flipped(syndrome: int, size: int, ranges: list[tuple[int, int]]) -> int | None:
+    """Where in the ranges of a content of that size one changed byte explains how its crc32 differs; None: nowhere.
+
+    A changed byte leaves an entry of the crc's table behind, moved on once for each byte that follows; moving the
+    difference back finds it.
+    """
+    table, upper = _inverse()
+    entries, v = {t for t in table if t}, syndrome
+    for p in range(size - 1, -1, -1):
+        if v in entries and any(a <= p < b for a, b in ranges):
+            return p
+        k = upper[v >> 24]
+        v = ((v ^ table[k]) << 8 | k) & 0xFFFFFFFF
+    return None
+
+
+def _believed(content: Content):
+    """Fields and block of the records of a damaged member that the damage can't have reached.
+
+    All of them have the fields that a header must have and a block digest that holds; headers have none. Where the damage shows in a gap, records that another
+    one or the proper end of the data follows (what stands just before an error may be its work), but none with the id of one
+    before it; that another field of a deflated header has changed isn't noticed there. Without a gap: where the
+    data were merely cut; where only the trailer is damaged (its length differs or its checksum alone in two bytes at most,
+    or is blank); and of stored data, all records but that whose header holds the one byte that explains the checksum.
+    Of deflated data any header may be altered then, repeated ones too, and no record is believed.
+    """
+    each = list(scan(content, content.size, False))
+    good = [(at, x, y) for kind, at, x, y in each if kind == "record" and x.get("warc-block-digest", "").startswith("sha1:") and _ID.fullmatch(x.get("warc-record-id", "")) and _DATE.fullmatch(x.get("warc-date", "")) and "warc-type" in x]
+    if any(kind == "gap" for kind, *_ in each):
+        ids = set()
+        for _, x, y in good:
+            stop, known = y.start + y.size + 4, len(ids)
+            ids.add(x.get("warc-record-id", stop))
+            if len(ids) == known:  # damage to deflated data comes again where they repeat themselves
+                continue
+            content.seek(stop)
+            if _VERSION.match(content.read(16)) or (stop == content.size and content.d.eof):
+                yield x, y
+        return
+    bad = None
+    if content.trailer is not None:
+        crc, length = content.trailer
+        wrong = crc ^ content.crc
+        blank = crc in (0, 0xFFFFFFFF)
+        if wrong and not blank and sum(wrong >> k & 0xFF > 0 for k in (0, 8, 16, 24)) > 2:
+            if length != content.size & 0xFFFFFFFF or not content.stored() or content.size > _LOCATED:
+                return
+            bad = _flipped(wrong, content.size, [(at, y.start) for at, _, y in good] + [(y.start + y.size, y.start + y.size + 4) for *_, y in good])
+    elif not content.cut:
+        return
+    for at, x, y in good:
+        if bad is None or not at <= bad < y.start + y.size + 4:
+            yield x, y
+
+
 def _inside(content: Content):
     """Yields fields and block of the records in a gzip member, and at last (None, what is wrong)."""
-    whole, why = content.end is not None, content.why
-    # Of a damaged member: records with a digest that another one follows, if the damage shows in a gap (headers have no
-    # digest, and what stands just before an error may be its work).
-    if whole or (content.size and any(kind == "gap" for kind, *_ in scan(content, content.size, False))):
-        last = None
-        for kind, start, x, y in scan(content, content.size, False):
-            if last:
-                content.seek(start)
-                if _VERSION.match(content.read(16)):
-                    yield last
-            last = None
+    why = content.why
+    if content.end is None:
+        if content.size:
+            yield from _believed(content)
+    else:
+        for kind, _, x, y in scan(content, content.size, False):
             if kind == "gap":
                 why = why or y
-            elif whole:
+            else:
                 yield x, y
-            elif x.get("warc-block-digest", "").startswith("sha1:"):
-                last = x, y
     yield None, why
 
 
 def scan(f, size: int, members: bool = True):
     """Yields ("record", offset, fields, Block) and ("gap", start, end, reason) over a seekable file.
 
-    A gap of a member from which some records were recovered is the whole member, after those records. A block is to be
-    read before the next record is asked for.
+    A gap of a member from which some records were recovered is the whole member, after those records. Of stored data the
+    records also lie plainly in the file; those that the member has given already aren't given again. A block is to be read
+    before the next record is asked for.
     """
     hits = Hits(f, size)
     at, gap, why = 0, None, ""
+    failed: list[int] = []
+    given, reach = set(), 0
     while at < size:
         end, start = None, _compressed(f, at, size, hits) if members else None
         if start is not None:
             content = Content(f, at, start)
             found, end = _inside(content), content.end
+            damaged = end is None
+            if damaged and content.trailer is not None and content.stored():
+                end = content.stop  # its blocks' lengths are doubled, so this is where it ends: all of it was looked through
+            elif damaged and at >= reach:
+                given, reach = set(), content.source
         else:
+            damaged = False
             try:
-                *one, end = _record(f, at, size)
+                *one, end = _record(f, at, size, failed)
+                if at < reach and _same(one[0]) in given:
+                    at = end
+                    continue
                 found = [tuple(one), (None, "")]
             except Damage as e:
                 found = [(None, str(e))]
@@ -338,6 +441,8 @@ def scan(f, size: int, members: bool = True):
             if gap is not None:
                 yield "gap", gap, at, why
                 gap = None
+            if damaged:
+                given.add(_same(fields))
             yield "record", at, fields, block
         if wrong and gap is None:
             gap, why = at, wrong
