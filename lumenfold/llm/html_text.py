@@ -8,7 +8,10 @@ parsed again and its text taken from all containers at one of its host's winning
 and by how much of the page's text lies there; a page without such a path (another template) gives its own.
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by their
 tags and by the words of their class, id and role. Words can mislead ("page sidebar-right"), so a marked element is let in
-again where it holds what the page is about: a main element, most of the text, or all text that there is.
+again where it holds what the page is about: a main element, most of the text, or all text that there is. Inside an article
+parts of a name don't mark headings and paragraphs ("page-header"), and a section named as a discussion or reply is the
+article's unless comments, a form or an article in it say otherwise. Of an article's own header its headings are kept (the
+title), the rest (authors, dates) isn't. An article of nothing but links gives their text; links outside articles are no text.
 """
 
 from __future__ import annotations
@@ -38,6 +41,10 @@ MARKS = frozenset(
 )
 #: Of those, words of what readers write, however long that is.
 COMMENTS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
+#: Of these, words that are as well a part of an article ("discussion"), where nothing else there is readers'.
+PARTS = frozenset("discussion respond reply replies".split())
+#: Blocks of text that part of a name ("page-header") doesn't mark inside an article.
+PLAIN_BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd pre blockquote caption figcaption".split())
 #: Words that say that a mark is about the layout or a state only ("with-sidebar", "comments-open").
 LAYOUT = frozenset("with has no without open closed enabled disabled".split())
 #: Class names and ids of what the page is about, whatever stands beside them.
@@ -69,9 +76,9 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?|</{t}\Z", re.I) for t in RAW}
 
 
-def _names(attributes: str) -> tuple[str, int]:
-    """Generalised class of a tag, and the kind of mark that its class, id and role are (0 if none)."""
-    classes, kind, content = "", 0, False
+def _names(attributes: str) -> tuple[str, int, bool]:
+    """Generalised class of a tag, the kind of mark that its class, id and role are (0 if none), and whether only PARTS make it readers'."""
+    classes, kind, content, parts = "", 0, False, True
     if attributes:
         for m in _NAMES.finditer(attributes):
             value = m[2] or m[3] or m[4] or ""
@@ -79,10 +86,12 @@ def _names(attributes: str) -> tuple[str, int]:
                 own = set(_WORD.findall(_CAMEL.sub(" ", token).lower()))
                 content = content or token.lower() in CONTENT
                 if own & MARKS and not LAYOUT & own:
+                    parts = parts and not own & (COMMENTS - PARTS)
                     kind = max(kind, READERS if own & COMMENTS else PLAIN if own <= MARKS else LOOSE)
             if m[1].lower() == "class":
                 classes = ".".join(sorted({_PLACE.sub("", t.lower()) for t in value.split()}))
-    return classes, min(kind, LOOSE) if content else kind
+    kind = min(kind, LOOSE) if content else kind
+    return classes, kind, parts and kind == READERS
 
 
 class Page:
@@ -95,6 +104,7 @@ class Page:
     def __init__(self, html: str):
         self.tags, self.paths, self.parents, self.size, self.linked, self.heads, self.blocks = [""], [0], [-1], [0], [0], [0], []
         self.marks, self.freed = [0], [False]  # kind of mark; whether wrappers around it don't count
+        self.part = [False]  # whether it is readers' by a word that may be an article's part, in an article
         self.steps: list[tuple[int, str]] = [(-1, "")]  # of a path: the path around it, tag and class
         self.known: dict[tuple[int, str], int] = {}
         stack: list[tuple[str, int, bool, bool]] = [("", 0, False, True)]  # tag, container, left out, whether only wrappers around it are marked
@@ -124,8 +134,8 @@ class Page:
         def pop() -> None:
             opened[stack.pop()[0]] -= 1
 
-        def enter(tag: str, classes: str, mark: int, freed: bool = False) -> None:
-            up = stack[-1][1]
+        def enter(tag: str, classes: str, mark: int, freed: bool = False, part: bool = False, up: int | None = None) -> None:
+            up = stack[-1][1] if up is None else up
             step = (self.paths[up], f"{tag}.{classes}" if classes else tag)
             path = self.known.get(step)
             if path is None:
@@ -136,6 +146,7 @@ class Page:
             self.paths.append(path)
             self.marks.append(mark)
             self.freed.append(freed)
+            self.part.append(part)
             for counts in (self.size, self.linked, self.heads):
                 counts.append(0)
             push(tag, len(self.paths) - 1, stack[-1][2])
@@ -191,8 +202,9 @@ class Page:
                 if tag == "body":
                     while len(stack) > 1:
                         pop()
-                classes, mark = _names(attributes)
-                enter(tag, classes, 0 if tag in ("body", "main") else mark, tag in ("main", "article") and stack[-1][3])
+                classes, mark, part = _names(attributes)
+                inside = opened.get("article") or opened.get("main")
+                enter(tag, classes, 0 if tag in ("body", "main") else mark, tag in ("main", "article") and stack[-1][3], bool(part and inside))
             elif tag in LEFT_OUT:
                 if attributes.endswith("/"):
                     pass
@@ -203,8 +215,15 @@ class Page:
             elif tag not in VOID and tag != "html":
                 # Classes mark blocks, and elements that a site named itself: a marked word in a sentence belongs to it.
                 named = (block or "-" in tag) and "=" in attributes and not attributes.endswith("/")
-                classes, mark = _names(attributes) if named else ("", 0)
-                if mark and not left:
+                classes, mark, _ = _names(attributes) if named else ("", 0, False)
+                inside = opened.get("article") or opened.get("main")
+                if inside and tag in PLAIN_BLOCKS and mark == LOOSE:
+                    mark = 0
+                if tag in HEADINGS and not mark and not left and opened.get("article") and self.tags[up] == "header":
+                    flush()  # the title in an article's own header is the article's
+                    enter(tag, classes, 0, up=self.parents[up])
+                    heading[0] = True
+                elif mark and not left:
                     flush()
                     enter(tag, classes, mark)
                     heading[0] = tag in HEADINGS
@@ -212,12 +231,12 @@ class Page:
                     flush()
                     push(tag, up, left)
         flush()
-        self._leave_out()
-        self.total = self._with_inner(self.size)
         self.outer = [-1]  # the outermost article or main element around a container, or -1
         for c in range(1, len(self.tags)):
             up = self.outer[self.parents[c]]
             self.outer.append(up if up >= 0 else c if self.tags[c] in ("article", "main") else -1)
+        self._leave_out()
+        self.total = self._with_inner(self.size)
 
     def path(self, container: int) -> str:
         """The tags and classes from the page to a container."""
@@ -240,12 +259,19 @@ class Page:
         """Drop the text of marked elements, after letting in again those that hold what the page is about."""
         if not any(self.marks):
             return
+        if any(self.part):
+            readers = [self.tags[c] in ("article", "form") or (self.marks[c] == READERS and not self.part[c]) for c in range(len(self.tags))]
+            signs = self._with_inner([int(x) for x in readers])
+            for c in range(len(self.part)):
+                if self.part[c] and not signs[c]:
+                    self.marks[c] = 0
         total, n, holds = self._with_inner(self.size), len(self.parents), None
         while True:
             most = [0] * n  # the strongest mark on an element or around it
             for c in range(1, n):
                 most[c] = max(self.marks[c], 0 if self.freed[c] else most[self.parents[c]])
             plain = sum(self.size[c] for c in range(n) if not most[c])
+            plain = plain or sum(self.linked[c] for c in range(n) if not most[c] and self.outer[c] >= 0)  # an article of links
             outer = [c for c in range(1, n) if self.marks[c] and (self.freed[c] or not most[self.parents[c]])]
             if not outer:
                 return
@@ -342,8 +368,11 @@ class Page:
         (in body a heading, or as much as a box must have), or a box with a heading or prose that isn't mostly links.
         """
         c = self.best()
-        if c < 0 or self.tags[self.element(c)] in ("article", "main"):
-            return self.element(c) if c >= 0 else -1
+        if c < 0:  # an article of nothing but links, if any
+            whole = self._with_inner(self.linked)
+            return max((k for k in range(len(whole)) if whole[k] and self.outer[k] == k), key=lambda k: (whole[k], -k), default=-1)
+        if self.tags[self.element(c)] in ("article", "main"):
+            return self.element(c)
         linked, heads = self._with_inner(self.linked), self._with_inner(self.heads)
         adds = [0] * len(self.parents)  # boxes directly in it that would add to the article
         for k in range(1, len(adds)):
@@ -401,7 +430,7 @@ def main_text(page: Page, winners: list[tuple[str, int]]) -> str:
             if all(inside[k] for k in at):  # other pages back the larger choice too
                 at = page.at(own)
         return page.text(at)
-    return page.text(page.at(own)) if c >= 0 else ""
+    return page.text(page.at(own) or [c]) if c >= 0 else ""
 
 
 def host(url):
@@ -418,7 +447,7 @@ def votes(pages: DataFrame) -> DataFrame:
             for i in range(b.num_rows):
                 page = Page(b.column(1)[i].as_py())
                 c = page.article()
-                if c >= 0:
+                if c >= 0 and page.total[c]:
                     x = sums.setdefault((b.column(0)[i].as_py(), page.path(c)), [0, 0.0])
                     x[0] += 1
                     x[1] += page.total[c]
