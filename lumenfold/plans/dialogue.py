@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as E
 from ..operators import guard as G
 from ..operators import memory as M
+from ..operators import rate as T
 from ..operators import routing as Q
 from ..operators import uploads as U
 from ..sources.manifest import uploads
-from ..sources.tables import table
+from ..sources.tables import events, table
 from .registry import query
 from .retrieval import BM, DENSE, TERMS, bm25_top, documents, items
 from .uploads import O
@@ -128,10 +129,34 @@ def _evidence(spark, sf):
 )
 def _numeric(spark, sf):
     """Each line with numbers is a claim, the document's other lines its evidence."""
-    own = documents(spark, sf).withColumn("l", F.transform(F.split("text", "\n"), lambda x: G.numbers(x)))
-    each = own.select("l", "doc_id", F.posexplode("l").alias("i", "own")).where(F.size("own") > 0)
-    others = F.flatten(F.filter("l", lambda x, i: i != F.col("i")))
-    return each.select("doc_id", (F.col("i") + 1).alias("line"), F.size("own").alias("n_numbers"), F.size(F.array_except("own", others)).alias("n_missing"))
+    return G.missing_numbers(documents(spark, sf))
+
+
+@query(
+    "g10_numeric_near",
+    rf"""with s as (select row_number() over () as r, doc_id, string_split(text, chr(10)) as l from documents), e as (select r, doc_id, unnest(l) as t, generate_subscripts(l, 1)::int as line from s),
+    x as (select distinct r, doc_id, line, unnest(regexp_extract_all(t, '{G.NUMBER}'))::double as v from e)
+    select a.doc_id, a.line, count(*)::int as n_numbers, count(*) filter (where not exists (select 1 from x b where b.r = a.r and b.line <> a.line and abs(a.v - b.v) <= 0.5))::int as n_unmatched from x a group by a.r, a.doc_id, a.line""",
+)
+def _numeric_near(spark, sf):
+    return G.unmatched_numbers(documents(spark, sf), 0.5)
+
+
+@query("g11_rate_frame", "select event_id, user_id, count(*) over (partition by user_id order by ts range between interval '6 hours' preceding and current row)::bigint as n from events")
+def _rate_frame(spark, sf):
+    return T.frame_counts(events(spark, sf), 6 * 3600)
+
+
+@query(
+    "g12_token_bucket",
+    """with recursive e as (select user_id, event_id, floor(epoch(ts))::bigint as s, row_number() over (partition by user_id order by floor(epoch(ts)), event_id) as n from events),
+    f as (select user_id, event_id, n, s, true as allowed, 36000::bigint as credits from e where n = 1 union all
+      select e.user_id, e.event_id, e.n, e.s, least(54000, f.credits + e.s - f.s) >= 18000, least(54000, f.credits + e.s - f.s) - case when least(54000, f.credits + e.s - f.s) >= 18000 then 18000 else 0 end from f join e on e.user_id = f.user_id and e.n = f.n + 1)
+    select event_id, user_id, allowed, credits::bigint as credits from f""",
+)
+def _token_bucket(spark, sf):
+    """Three tokens, one back in five hours."""
+    return T.token_bucket(events(spark, sf), 3, 5 * 3600)
 
 
 @query("g04_grounded", f"with {ANSWERS}, {WORDS} select conv_id, turn, round(case when len(a) > 0 then len(list_intersect(a, q)) / len(a)::double else 0 end, 6) as grounded from w")
