@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .retrieval import dense, inner, top
+from .dense import dense_top
+from .retrieval import inner, top
 
 
 def session_state(conversations: DataFrame) -> DataFrame:
@@ -20,7 +21,7 @@ def session_state(conversations: DataFrame) -> DataFrame:
 
 def cache_lookup(queries: DataFrame, cache: DataFrame, threshold: float) -> DataFrame:
     """query_id, response_id, score, hit: the nearest cached key (vec_id, embedding), a hit from the threshold on."""
-    best = top(dense(queries, cache).where("query_id <> vec_id"), "query_id", "vec_id", 1)
+    best = dense_top(queries, cache, 1)
     found = best.where(F.col("score") >= threshold).select("query_id", F.col("vec_id").alias("response_id"), "score")
     return queries.select("query_id").join(found, "query_id", "left").withColumn("hit", F.col("response_id").isNotNull())
 

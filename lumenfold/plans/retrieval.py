@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
+from ..operators.dense import dense_top
 from ..operators.index import index_of
 from ..sources.tables import table
 from .registry import query
@@ -49,7 +50,7 @@ def bm25_top(spark, sf, k):
 def fused_top(spark, sf, k):
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
     asked = rows.join(items(spark, sf).select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
-    near = R.top(R.dense(asked, rows).where("query_id <> vec_id"), "query_id", "vec_id", 50)
+    near = dense_top(asked, rows, 50)
     return R.top(R.fuse(bm25_top(spark, sf, 50), near.withColumnsRenamed({"query_id": "item_id", "vec_id": "doc_id"})), "item_id", "doc_id", k)
 
 
@@ -77,7 +78,7 @@ def _bm25(spark, sf):
 def _dense(spark, sf):
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
     asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
-    return R.top(R.dense(asked, rows).where("query_id <> vec_id"), "query_id", "vec_id", 10)
+    return dense_top(asked, rows, 10)
 
 
 @query("r05_rrf", f"with {FUSED} select item_id, doc_id, score, rank from fr")
