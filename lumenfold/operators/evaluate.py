@@ -78,3 +78,19 @@ def entities(text: Column) -> Column:
 
 def entity_recall(answer: Column, expected: Column) -> Column:
     return F.round(overlap(entities(expected), entities(answer)), 6)
+
+
+def cosine(pairs: DataFrame, corpus: DataFrame) -> DataFrame:
+    """conv_id, turn, cosine of each answer and question as vectors of their terms: tf times ln((N + 1) / (df + 1)) + 1.
+
+    df and N are those of corpus (text). Terms of a pair are counted on both sides at once and weighted by a join on the
+    term; no vector is as long as the vocabulary. 0 where either side has no terms.
+    """
+    n = corpus.count()
+    idf = corpus.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg((F.log(F.lit(n + 1.0) / (F.count("*") + 1)) + 1).alias("idf"))
+    side = lambda c, a: pairs.select("conv_id", "turn", F.explode(terms(F.col(c))).alias("term"), F.lit(a).alias("a"), F.lit(1 - a).alias("q"))
+    counts = side("answer", 1).unionByName(side("question", 0)).groupBy("conv_id", "turn", "term").agg(F.sum("a").alias("a"), F.sum("q").alias("q"))
+    w = F.pow(F.coalesce("idf", F.log(F.lit(n + 1.0)) + 1), F.lit(2.0))
+    dot = counts.join(idf, "term", "left").groupBy("conv_id", "turn").agg(F.sum(F.col("a") * F.col("q") * w).alias("aq"), F.sum(F.col("a") * F.col("a") * w).alias("aa"), F.sum(F.col("q") * F.col("q") * w).alias("qq"))
+    found = dot.select("conv_id", "turn", (F.col("aq") / F.sqrt(F.nullif(F.col("aa") * F.col("qq"), F.lit(0.0)))).alias("c"))
+    return pairs.select("conv_id", "turn").join(found, ["conv_id", "turn"], "left").select("conv_id", "turn", F.round(F.coalesce("c", F.lit(0.0)), 6).alias("cosine"))

@@ -9,6 +9,7 @@ from ..operators import guard as G
 from ..operators import memory as M
 from ..operators import rate as T
 from ..operators import routing as Q
+from ..operators import sketches as K
 from ..operators import uploads as U
 from ..sources.manifest import uploads
 from ..sources.tables import events, table
@@ -238,3 +239,27 @@ def _entity(spark, sf):
 def _top_texts(spark, sf):
     best = bm25_top(spark, sf, 1).select("item_id", "doc_id")
     return best.join(items(spark, sf).select("item_id", F.col("text").alias("query")), "item_id").join(documents(spark, sf), "doc_id")
+
+
+@query(
+    "e08_cosine",
+    f"""with {ANSWERS}, n as (select count(*) as n from conversations), d as (select term, ln((n + 1.0) / (count(*) + 1)) + 1 as idf from (select unnest(list_distinct({TERMS.format('text')})) as term from conversations), n group by term, n),
+    x as (select conv_id, turn, unnest({TERMS.format('answer')}) as term, 1 as a, 0 as q from a union all select conv_id, turn, unnest({TERMS.format('question')}), 0, 1 from a),
+    c as (select conv_id, turn, term, sum(a) as a, sum(q) as q from x group by all),
+    s as (select conv_id, turn, sum(a * q * idf * idf) / nullif(sqrt(sum(a * a * idf * idf) * sum(q * q * idf * idf)), 0) as c from c join d using (term) group by conv_id, turn)
+    select a.conv_id, a.turn, round(coalesce(c, 0), 6) as cosine from a left join s on s.conv_id = a.conv_id and s.turn = a.turn""",
+)
+def _cosine(spark, sf):
+    own = conversations(spark, sf)
+    return E.cosine(E.answers(own), own.select("text"))
+
+
+@query("m06_rollup", "select event_type, count(*)::bigint as n, true as users_hold, true as median_holds from events group by event_type")
+def _rollup(spark, sf):
+    """Sketches by type and day, rolled up by type: users within 2 % of the exact count, the median within 2 % of rank."""
+    rows = table(spark, sf, "events")
+    daily = K.sketched(rows.withColumn("day", F.to_date("ts")), ["event_type", "day"], "user_id", "value")
+    found = K.estimated(K.merged(daily, ["event_type"]))
+    exact = rows.join(found.select("event_type", "quantile"), "event_type").groupBy("event_type").agg(F.countDistinct("user_id").alias("users"), F.avg((F.col("value") < F.col("quantile")).cast("double")).alias("below"), F.avg((F.col("value") <= F.col("quantile")).cast("double")).alias("to"))
+    holds = (F.abs(F.col("n_distinct") - F.col("users")) <= 0.02 * F.col("users")).alias("users_hold")
+    return found.join(exact, "event_type").select("event_type", "n", holds, ((F.col("below") <= 0.52) & (F.col("to") >= 0.48)).alias("median_holds"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import page_table
 from ..functions.text import suffix
 from ..operators import uploads as U
 from ..sources.manifest import SQL as M
@@ -142,3 +143,11 @@ def _stored_chunks(spark, sf):
 )
 def _response_json(spark, sf):
     return U.response_json(uploads(spark, sf))
+
+
+@query("u21_page_table", f"{O}, {PAGES} select doc_id, page_number, text from p")
+def _page_table(spark, sf):
+    """The pages of PDFs by the table function, called from SQL."""
+    page_table.register(spark)
+    own = uploads(spark, sf).where(suffix(F.col("original_filename")) == ".pdf").select("doc_id", F.lit(0).alias("part"), "text")
+    return spark.sql("select doc_id, page_number, text from page_table(table({own}))", own=own)
