@@ -19,6 +19,7 @@ import re
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,9 +32,9 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text to a chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 8_000_000
 #: Characters that are aligned at a time (a longer text at once).
-SLICE_CHARS = 400_000
+SLICE_CHARS = 250_000
 #: Parts of texts whose B ids a worker keeps.
-MOST_PARTS = 600_000
+MOST_PARTS = 300_000
 #: Chunks that share a salt's partial sum of a pair.
 CHUNKS_A_SALT = 256
 _SPACE = "▁"
@@ -220,14 +221,14 @@ def _encoded(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int) -> Dat
             return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            sizes = pc.utf8_length(batch.column(1)).to_pylist()
             at = 0
-            while at < len(texts):
+            while at < len(sizes):
                 end, chars = at, 0
-                while end < len(texts) and (end == at or chars + len(texts[end]) <= SLICE_CHARS):
-                    chars += len(texts[end])
+                while end < len(sizes) and (end == at or chars + sizes[end] <= SLICE_CHARS):
+                    chars += sizes[end]
                     end += 1
-                own = Aligned(a, b, labels, texts[at:end])
+                own = Aligned(a, b, labels, batch.column(1).slice(at, end - at).to_pylist())
                 cells = [[chunk] * (end - at), batch.column(0).slice(at, end - at), own.n_a, own.n_b, own.n_groups, own.n_links, own.digests]
                 cuts = list(zip(own.cut_p[:-1], own.cut_p[1:], strict=True))
                 cells += [[own.pairs[i:j].tobytes() for i, j in cuts], [own.times[i:j].astype("<u4").tobytes() for i, j in cuts], [False] * (end - at)]
