@@ -46,7 +46,7 @@ BLOCK_SHINGLES = 1_000_000
 #: Sets in a block of a family, at most about.
 BLOCK_SETS = 20_000
 #: Rows that a task remembers to leave out their repetitions.
-SEEN = 500_000
+SEEN = 20_000
 #: Bits of the filter that keeps texts without a family from being shuffled: its size is fixed.
 FILTER_BITS = 1 << 23
 #: Elements that signatures have at least, where a set can afford it.
@@ -67,7 +67,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Texts to their sets of hashed 5-word shingles (sorted, 64 bits each); word hashes are kept in a bounded table."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         self.most, self.known = most, {}
 
     def __call__(self, text: str) -> np.ndarray:
