@@ -96,9 +96,10 @@ def _block(number: int, ids: list, lists: list, kind) -> list:
     key, tf = np.unique(code * n_docs + np.repeat(np.arange(n_docs), lengths), return_counts=True)
     term, doc, tf = key // n_docs, (key % n_docs).astype("<u4"), tf.astype("<u4")
     starts = np.searchsorted(term, np.arange(len(names) + 1))
-    out = [pa.RecordBatch.from_pylist([{"part": BLOCKS, "block": number, "n": n_docs, "cf": int(lengths.sum()), "lengths": lengths.tobytes()}], _SCHEMA(kind))]
-    cells = out[0].columns[:-1] + [pa.ListArray.from_arrays(pa.array([0, n_docs], pa.int32()), pa.concat_arrays(ids).cast(kind))]
-    out = [pa.RecordBatch.from_arrays(cells, schema=_SCHEMA(kind))]
+    schema = _schema(kind)
+    about = {"part": BLOCKS, "block": number, "n": n_docs, "cf": int(lengths.sum()), "lengths": lengths.tobytes()}
+    cells = [pa.array([about.get(f.name)], f.type) for f in list(schema)[:-1]] + [pa.ListArray.from_arrays(pa.array([0, n_docs], pa.int32()), pa.concat_arrays(ids).cast(kind))]
+    out = [pa.RecordBatch.from_arrays(cells, schema=schema)]
     if not len(names):
         return out
     n, cf = np.diff(starts), np.add.reduceat(tf.astype(np.int64), starts[:-1])
@@ -109,11 +110,11 @@ def _block(number: int, ids: list, lists: list, kind) -> list:
         edges, raw = (4 * (starts[lo : hi + 1] - starts[lo])).astype(np.int32), slice(int(starts[lo]), int(starts[hi]))
         packed = [pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(x[raw]))]) for x in (doc, tf)]
         cells = [pa.array(np.zeros(m, np.int32)), names.slice(lo, m), pa.array(np.full(m, number)), pa.array(n[lo:hi]), pa.array(cf[lo:hi]), pa.array(most[lo:hi].astype(np.int64)), pa.array(least[lo:hi]), *packed, pa.nulls(m, pa.binary()), pa.nulls(m, pa.list_(kind))]
-        out.append(pa.RecordBatch.from_arrays(cells, schema=_SCHEMA(kind)))
+        out.append(pa.RecordBatch.from_arrays(cells, schema=schema))
     return out
 
 
-def _SCHEMA(kind):
+def _schema(kind) -> pa.Schema:
     return pa.schema([("part", pa.int32()), ("term", pa.string()), ("block", pa.int64()), ("n", pa.int64()), ("cf", pa.int64()), ("max_tf", pa.int64()), ("min_ratio", pa.float64()), ("docs", pa.binary()), ("tfs", pa.binary()), ("lengths", pa.binary()), ("ids", pa.list_(kind))])
 
 
