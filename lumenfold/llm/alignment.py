@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import parts, shared_dir, text_or_empty, written
+from .common import shared_dir, text_or_empty, written
 from .tokens import library, library_encoder
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"

@@ -14,7 +14,6 @@ Documents are not shuffled.
 from __future__ import annotations
 
 import functools
-import hashlib
 import itertools
 
 import numpy as np
