@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,6 +84,18 @@ def parts(spark: SparkSession, nbytes: int, each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nbytes // each))
 
 
+def row_and_text(docs: DataFrame) -> list[Column]:
+    """The whole row as a struct, and its text beside it only where the struct's isn't a string: texts are sent once."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return [row] if isinstance(docs.schema["text"].dataType, T.StringType) else [row, text_or_empty()]
+
+
+def row_texts(batch: pa.RecordBatch) -> pa.Array:
+    """The texts (null: empty) of a batch of row_and_text."""
+    own = batch.column(1) if batch.num_columns > 1 else pc.struct_field(batch.column(0), "text")
+    return pc.fill_null(own, "")
+
+
 def filter_rows(docs: DataFrame, make) -> DataFrame:
     """The rows whose text (null: empty) passes, unchanged, whatever columns they have.
 
@@ -92,8 +105,10 @@ def filter_rows(docs: DataFrame, make) -> DataFrame:
     def run(batches):
         keep = make()
         for b in batches:
-            mask = [x for i in range(0, b.num_rows, 200) for x in keep(b.column(1).slice(i, 200).to_pylist())]
+            texts = row_texts(b)
+            mask = [x for i in range(0, b.num_rows, 200) for x in keep(texts.slice(i, 200).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(mask, pa.bool_()))], ["row"])
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_or_empty())
+    rows = docs.select(*row_and_text(docs))
     return rows.mapInArrow(run, T.StructType([T.StructField("row", docs.schema)])).select("row.*")

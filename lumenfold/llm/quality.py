@@ -56,7 +56,7 @@ def word_row(word: str) -> tuple[int, list[float]]:
 class Encoder:
     """Texts to the feature rows of their passages; what is known of a word is kept in a bounded table."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 120_000):
         self.most, self.ids = most, {}
         self.buckets, self.rows = np.zeros(1 << 12, np.int64), np.zeros((1 << 12, STATS), np.float32)
 

@@ -24,13 +24,14 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe_replay import encoder_slices
-from .common import input_bytes, parts, remove, shared_dir, text_or_empty, written
+from .common import input_bytes, parts, remove, row_and_text, row_texts, shared_dir, text_or_empty, written
 from .components import components
 
 WORDS = 5
@@ -436,15 +437,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     kept = join(docs).where("n_shingles > 0 and doc_id = component_id").select("doc_id", "fp").distinct()
     kept = written(kept, shared_dir(docs.sparkSession), "kept")
-    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("id", T.LongType()), T.StructField("fp", T.BinaryType())])
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("id", docs.schema["doc_id"].dataType), T.StructField("fp", T.BinaryType())])
 
     def run(batches):
         shingler = Shingler()
         for b in batches:
-            fp = [fingerprint(s) if len(s := shingler(b.column(2)[i].as_py())) else None for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.binary())], ["row", "id", "fp"])
+            fp = [fingerprint(s) if len(s := shingler(t.as_py())) else None for t in row_texts(b)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pc.struct_field(b.column(0), "doc_id"), pa.array(fp, pa.binary())], ["row", "id", "fp"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), text_or_empty()).mapInArrow(run, schema)
+    rows = docs.select(*row_and_text(docs)).mapInArrow(run, schema)
     inside = rows.where("id is not null and fp is not null").join(kept.withColumnRenamed("doc_id", "id"), ["id", "fp"])
     maps = any(isinstance(f.dataType, T.MapType) for f in docs.schema.fields)
     inside = inside.groupBy("id", "fp").agg(F.min_by("row", F.to_json("row") if maps else F.xxhash64("row")).alias("row"))

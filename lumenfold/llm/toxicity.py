@@ -107,7 +107,7 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def scorer(self, most: int = 300_000):
+    def scorer(self, most: int = 150_000):
         """A function from lists of words (sentences) to their scores; word weights are kept in a bounded table.
 
         A score is what is above that of a sentence without known words, as a share of what there is above it. Only a
