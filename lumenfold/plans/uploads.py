@@ -110,8 +110,9 @@ CONTENT = f"encode(case when doc_id % 11 = 0 then '' when doc_id % 7 = 0 then re
 
 
 def saved(spark, sf, folder):
+    """The manifest's uploads in a store that holds them compressed: raw, it takes forty times the documents."""
     own = uploads(spark, sf).selectExpr("doc_id as upload_id", "original_filename", "content_type", f"{CONTENT} as content")
-    return stored.intake(own, folder)
+    return stored.intake(own, folder, "zstd")
 
 
 @query(

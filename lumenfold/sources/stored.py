@@ -6,11 +6,15 @@ running size after each one, as an intake server does. What becomes of an upload
 the partial file is deleted at once and the task goes on. Commit moves the attempts' folders to their places, one move a
 task; abort deletes _staging, so a failed job leaves no file. A task that is run again writes a folder of its own, and only
 the attempt that Spark commits is moved.
+
+With a codec the bytes are the same and take less room: each chunk is compressed by itself, behind its two lengths. The name
+of an attempt's folder ends in the codec, by which the reader knows its files.
 """
 
 from __future__ import annotations
 
 import contextlib
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,6 +33,11 @@ from .shared import filesystem
 
 #: Bytes of files to a partition of the reader.
 PARTITION_BYTES = 64 * CHUNK_BYTES
+#: Compressed files to a partition of the reader: what they hold isn't known from their sizes.
+PARTITION_FILES = 256
+CODECS = ("zstd", "lz4", "gzip")
+#: Compressed bytes of a chunk, its own bytes.
+_FRAME = struct.Struct("<II")
 OUTCOMES = pa.schema([("upload_id", pa.string()), ("status", pa.int32()), ("detail", pa.string()), ("saved_filename", pa.string()), ("n_reads", pa.int64()), ("n_bytes", pa.int64()), ("crc32", pa.int64())])
 
 
@@ -39,7 +48,10 @@ class Committed(WriterCommitMessage):
 
 
 class UploadSink(DataSource):
-    """Format "upload_sink"; rows: upload_id string, saved_filename string, content binary; option path: the folder."""
+    """Format "upload_sink"; rows: upload_id string, saved_filename string, content binary; option path: the folder.
+
+    Option compression: none (as they came, the default) or one of CODECS.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -48,19 +60,22 @@ class UploadSink(DataSource):
     def writer(self, schema, overwrite: bool) -> UploadWriter:
         if overwrite:
             raise ValueError("upload_sink appends: uploads that are there stay")
-        return UploadWriter(self.options["path"])
+        codec = self.options.get("compression", "none")
+        if codec not in ("none", *CODECS):
+            raise ValueError(f"compression must be none or one of {CODECS}")
+        return UploadWriter(self.options["path"], None if codec == "none" else codec)
 
 
 class UploadWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path, self.job = path.rstrip("/"), uuid.uuid4().hex
+    def __init__(self, path: str, codec: str | None = None):
+        self.path, self.codec, self.job = path.rstrip("/"), codec, uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Committed:
         task = TaskContext.get()
-        own = f"{self.path}/_staging/{self.job}/{task.partitionId():06d}-{task.taskAttemptId()}"
+        own = f"{self.path}/_staging/{self.job}/{task.partitionId():06d}-{task.taskAttemptId()}{f'.{self.codec}' if self.codec else ''}"
         fs, folder = filesystem(own)
         fs.create_dir(folder, recursive=True)
-        rows = [save(fs, folder, *cells) for b in iterator for cells in zip(*(b.column(c).to_pylist() for c in ("upload_id", "saved_filename", "content")), strict=True)]
+        rows = [save(fs, folder, *(b.column(c)[i].as_py() for c in ("upload_id", "saved_filename", "content")), self.codec) for b in iterator for i in range(b.num_rows)]
         pq.write_table(pa.Table.from_pylist(rows, OUTCOMES), f"{folder}/_outcomes", filesystem=fs)
         return Committed(own, sum(r["status"] == 201 for r in rows))
 
@@ -87,7 +102,7 @@ class UploadWriter(DataSourceArrowWriter):
             fs.delete_dir(f"{root}/_staging/{self.job}")
 
 
-def save(fs: pafs.FileSystem, folder: str, upload_id: str, name: str, content: bytes | None) -> dict:
+def save(fs: pafs.FileSystem, folder: str, upload_id: str, name: str, content: bytes | None, codec: str | None = None) -> dict:
     """Saves one upload and returns its outcome; a file that isn't kept is deleted."""
     content, size, reads, crc, path = memoryview(content or b""), 0, 0, 0, f"{folder}/{name}"
     status, detail = 201, SUCCESS
@@ -101,7 +116,11 @@ def save(fs: pafs.FileSystem, folder: str, upload_id: str, name: str, content: b
                 if size > MAX_BYTES:
                     status, detail = 413, TOO_LARGE
                     break
-                out.write(chunk)
+                if codec:
+                    packed = pa.compress(pa.py_buffer(chunk), codec, asbytes=True)
+                    out.write(_FRAME.pack(len(packed), len(chunk)) + packed)
+                else:
+                    out.write(chunk)
                 crc = zlib.crc32(chunk, crc)
         if not size:
             status, detail = 400, EMPTY
@@ -116,9 +135,9 @@ def save(fs: pafs.FileSystem, folder: str, upload_id: str, name: str, content: b
 
 @dataclass
 class Ranges(InputPartition):
-    """(file, first chunk, end) of several files, or of a part of one."""
+    """(file, first chunk, end) of several files, or of a part of one; end is None for a compressed file, read whole."""
 
-    ranges: list[tuple[str, int, int]]
+    ranges: list[tuple[str, int, int | None]]
 
 
 class ChunkSource(DataSource):
@@ -145,13 +164,16 @@ class ChunkReader(DataSourceReader):
         self.path, self.limit, self.content = path, limit, content
 
     def partitions(self) -> list[Ranges]:
-        """Byte ranges of whole chunks, small files together, a large file in several partitions."""
+        """Byte ranges of whole chunks, small files together, a large file in several partitions; compressed files whole."""
         fs, root = filesystem(self.path)
-        out, own, size = [], [], 0
+        out, own, packed, size = [], [], [], 0
         each = PARTITION_BYTES // CHUNK_BYTES
         for f in sorted(fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True)), key=lambda f: f.path):
             if f.type != pafs.FileType.File or f.base_name.startswith("_") or "/_staging/" in f.path:
                 continue
+            if codec_of(f.path):
+                packed.append((f.path, 0, None))
+                continue
             chunks = -(-f.size // CHUNK_BYTES)
             chunks = min(chunks, self.limit) if self.limit else chunks
             for first in range(0, chunks, each):
@@ -161,6 +183,7 @@ class ChunkReader(DataSourceReader):
                 if size >= PARTITION_BYTES:
                     out.append(Ranges(own))
                     own, size = [], 0
+        out += [Ranges(packed[i : i + PARTITION_FILES]) for i in range(0, len(packed), PARTITION_FILES)]
         return [*out, Ranges(own)] if own or not out else out
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
@@ -168,21 +191,38 @@ class ChunkReader(DataSourceReader):
         names = ["saved_filename", "number", "n_bytes", "crc32"] + ["content"] * self.content
         for path, first, end in partition.ranges:
             with fs.open_input_file(path) as f:
-                f.seek(first * CHUNK_BYTES)
-                for k in range(first, end):
-                    chunk = f.read(CHUNK_BYTES)
+                found = self._unpacked(f, codec_of(path)) if end is None else self._plain(f, first, end)
+                for k, chunk in enumerate(found, first):
                     cells = [pa.array([path.rsplit("/", 1)[1]]), pa.array([k], pa.int32()), pa.array([len(chunk)], pa.int32()), pa.array([zlib.crc32(chunk)], pa.int64())]
                     yield pa.RecordBatch.from_arrays(cells + [pa.array([chunk], pa.binary())] * self.content, names)
 
+    def _plain(self, f: pa.NativeFile, first: int, end: int) -> Iterator[bytes]:
+        f.seek(first * CHUNK_BYTES)
+        for _ in range(first, end):
+            yield f.read(CHUNK_BYTES)
+
+    def _unpacked(self, f: pa.NativeFile, codec: str) -> Iterator[bytes]:
+        n = 0
+        while (not self.limit or n < self.limit) and (head := f.read(_FRAME.size)):
+            packed, size = _FRAME.unpack(head)
+            yield pa.decompress(f.read(packed), size, codec, asbytes=True)
+            n += 1
+
+
+def codec_of(path: str) -> str | None:
+    """The codec of a stored file, by its folder's name."""
+    codec = path.rsplit("/", 2)[-2].rpartition(".")[2]
+    return codec if codec in CODECS else None
+
 
 def register(spark: SparkSession) -> None:
     for source in (UploadSink, ChunkSource):
         spark.dataSource.register(source)
 
 
-def intake(uploads: DataFrame, folder: str) -> DataFrame:
+def intake(uploads: DataFrame, folder: str, compression: str = "none") -> DataFrame:
     """Saves uploads (upload_id, original_filename, content_type, content) and returns a row each: upload_id, status,
-    detail, saved_filename, n_reads, n_bytes, crc32.
+    detail, saved_filename, n_reads, n_bytes, crc32. compression: as the sink's option; sizes and checks are of the bytes that came.
 
     What the name or type rules out is never read; of the rest no more than shows that it's too large is sent to a task.
     """
@@ -190,7 +230,7 @@ def intake(uploads: DataFrame, folder: str) -> DataFrame:
     register(spark)
     own = checked(uploads)
     rest = own.where("status is null").select(F.col("upload_id").cast("string").alias("upload_id"), saved_name(F.col("upload_id"), F.col("original_filename")).alias("saved_filename"), F.substring("content", 1, MAX_BYTES + CHUNK_BYTES).alias("content"))
-    rest.write.format("upload_sink").mode("append").option("path", folder).save()
+    rest.write.format("upload_sink").mode("append").options(path=folder, compression=compression).save()
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("saved_filename", "string"), ("n_reads", "long"), ("n_bytes", "long"), ("crc32", "long"))]
     rejects = own.where("status is not null").select(F.col("upload_id").cast("string").alias("upload_id"), "status", "detail", *nothing)
     return outcomes(spark, folder).unionByName(rejects)

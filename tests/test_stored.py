@@ -103,3 +103,27 @@ def test_chunks_are_byte_ranges(spark, tmp_path, monkeypatch):
     ranges = stored.ChunkReader(f"{tmp_path}/files", 0, False).partitions()
     assert len(ranges) == 4 and [len(p.ranges) for p in ranges] == [3, 1, 1, 1]
     assert stored.chunks(spark, str(tmp_path / "nothing")).collect() == []
+
+
+@pytest.mark.parametrize("codec", stored.CODECS)
+def test_a_compressed_store_gives_the_same_bytes_in_less_room(spark, tmp_path, codec):
+    data = {"a": b"again and again " * (MB // 5), "b": b"1", "c": os.urandom(2 * MB + 5), "d": b"x" * (10 * MB), "e": b"x" * (10 * MB + 1), "f": b""}
+    rows = [(k, f"{k}.pdf", "application/pdf", v) for k, v in data.items()]
+    plain = stored.intake(spark.createDataFrame(rows, SCHEMA), str(tmp_path / "plain"))
+    packed = stored.intake(spark.createDataFrame(rows, SCHEMA), str(tmp_path / "packed"), codec)
+    assert sorted(plain.collect()) == sorted(packed.collect()) and sum(r.status == 201 for r in packed.collect()) == 4
+    for limit in (None, 0, 2):
+        a, b = (sorted(stored.chunks(spark, str(tmp_path / s), content=True, limit=limit).collect()) for s in ("plain", "packed"))
+        assert a == b and len(a) == (18 if limit != 2 else 7)
+    size = {s: sum(os.path.getsize(f) for f in names(tmp_path / s / "files")) for s in ("plain", "packed")}
+    assert len(names(tmp_path / "packed" / "files")) == 4 and size["plain"] > 15 * MB and size["packed"] < 3 * MB
+
+
+def test_the_queries_store_less_than_twice_the_documents(spark, tmp_path):
+    from lumenfold.plans import uploads as plan
+    from lumenfold.sources.tables import table
+
+    sf = "/root/testdata/sf0.001"
+    plan.saved(spark, sf, str(tmp_path)).collect()
+    room = sum(os.path.getsize(f) for f in names(tmp_path))
+    assert room < 2 * table(spark, sf, "documents").agg(F.sum(F.octet_length("text"))).first()[0]
