@@ -13,15 +13,16 @@ are added.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.memory import give_back, tidied
 from ..functions.text import terms
 from ..sources.shared import shared_folder
 from .retrieval import B, K1, top
@@ -73,35 +74,45 @@ def write_index(docs: DataFrame, folder: str, parts: int | None = None, block_do
                 if n_docs >= block_docs or at < batch.num_rows:
                     yield from _block(number, ids, lists, kind_arrow)
                     number, ids, lists, n_docs, n_terms = number + 1, [], [], 0, 0
+                    give_back()
         if n_docs:
             yield from _block(number, ids, lists, kind_arrow)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind_arrow = to_arrow_type(kind)
-    made = docs.select("doc_id", terms(F.col("text")).alias("terms")).mapInArrow(run, _ROW.format(id=kind.simpleString()))
+    made = docs.select("doc_id", terms(F.col("text")).alias("terms")).mapInArrow(tidied(run), _ROW.format(id=kind.simpleString()))
     placed = made.withColumn("part", F.when(F.col("term").isNull(), F.lit(BLOCKS)).otherwise(_bucket(parts)))
     placed.repartition(parts, "part").sortWithinPartitions("part", "term", "block").write.partitionBy("part").option("parquet.block.size", 8 << 20).parquet(f"{folder}/postings")
     docs.sparkSession.createDataFrame([(parts, kind.simpleString())], "parts int, id string").coalesce(1).write.parquet(f"{folder}/layout")
 
 
-def _block(number: int, ids: list, lists: list, kind) -> list:
-    """Rows of a block: one that describes it, then one for each term, 20,000 at a time."""
+def _block(number: int, ids: list, lists: list, kind) -> Iterator[pa.RecordBatch]:
+    """Rows of a block: one that describes it, then one for each term, 20,000 at a time. Empties lists."""
     lengths = np.concatenate([x.value_lengths().to_numpy(zero_copy_only=False) for x in lists]).astype("<u4")
-    words = pa.chunked_array([x.flatten() for x in lists]).combine_chunks()
-    words = pa.concat_arrays(words.chunks) if isinstance(words, pa.ChunkedArray) else words
-    own = pc.dictionary_encode(words)
-    code, names = own.indices.to_numpy(zero_copy_only=False).astype(np.int64), own.dictionary
+    words = pa.chunked_array([x.flatten() for x in lists])
+    own = words.dictionary_encode().unify_dictionaries()  # chunk by chunk: the words aren't copied
+    names = own.chunk(0).dictionary if own.num_chunks else pa.array([], pa.string())
+    key = np.concatenate([np.zeros(0, np.int64), *(x.indices.to_numpy(zero_copy_only=False) for x in own.chunks)])
+    lists.clear()
+    del words, own
     n_docs = len(lengths)
-    key, tf = np.unique(code * n_docs + np.repeat(np.arange(n_docs), lengths), return_counts=True)
-    term, doc, tf = key // n_docs, (key % n_docs).astype("<u4"), tf.astype("<u4")
+    key *= n_docs
+    key += np.repeat(np.arange(n_docs, dtype=np.uint16 if n_docs <= 1 << 16 else np.int64), lengths)
+    key.sort()
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool))
+    tf = np.diff(np.append(first, len(key))).astype("<u4")
+    key = key[first]
+    del first
+    term, doc = (key // n_docs).astype(np.int32), (key % n_docs).astype("<u4")
+    del key
     starts = np.searchsorted(term, np.arange(len(names) + 1))
     schema = _schema(kind)
     about = {"part": BLOCKS, "block": number, "n": n_docs, "cf": int(lengths.sum()), "lengths": lengths.tobytes()}
     cells = [pa.array([about.get(f.name)], f.type) for f in list(schema)[:-1]] + [pa.ListArray.from_arrays(pa.array([0, n_docs], pa.int32()), pa.concat_arrays(ids).cast(kind))]
-    out = [pa.RecordBatch.from_arrays(cells, schema=schema)]
+    yield pa.RecordBatch.from_arrays(cells, schema=schema)
     if not len(names):
-        return out
+        return
     n, cf = np.diff(starts), np.add.reduceat(tf.astype(np.int64), starts[:-1])
     most, least = np.maximum.reduceat(tf, starts[:-1]), np.minimum.reduceat(lengths[doc] / tf, starts[:-1])
     for lo in range(0, len(names), 20_000):
@@ -110,8 +121,7 @@ def _block(number: int, ids: list, lists: list, kind) -> list:
         edges, raw = (4 * (starts[lo : hi + 1] - starts[lo])).astype(np.int32), slice(int(starts[lo]), int(starts[hi]))
         packed = [pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(x[raw]))]) for x in (doc, tf)]
         cells = [pa.array(np.zeros(m, np.int32)), names.slice(lo, m), pa.array(np.full(m, number)), pa.array(n[lo:hi]), pa.array(cf[lo:hi]), pa.array(most[lo:hi].astype(np.int64)), pa.array(least[lo:hi]), *packed, pa.nulls(m, pa.binary()), pa.nulls(m, pa.list_(kind))]
-        out.append(pa.RecordBatch.from_arrays(cells, schema=schema))
-    return out
+        yield pa.RecordBatch.from_arrays(cells, schema=schema)
 
 
 def _schema(kind) -> pa.Schema:
@@ -133,6 +143,20 @@ class Index:
         """term, df, cf of the corpus."""
         return self.rows.where(F.col("part") != BLOCKS).groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"))
 
+    def documents_of(self, asked: DataFrame) -> DataFrame:
+        """term, doc_id of the documents that hold each of some distinct terms (term)."""
+        found = asked.select(_bucket(self.parts).alias("part")).groupBy("part").agg(F.lit(0)).collect()
+        own = self.postings(sorted(r[0] for r in found)).join(asked.select("term"), "term", "left_semi").select("block", "term", "docs")
+        ids = self.rows.schema["ids"].dataType.elementType
+        out = T.StructType([T.StructField("term", T.StringType()), T.StructField("doc_id", ids)])
+        return own.groupBy("block").cogroup(self.blocks.select(F.col("block").alias("b"), "ids").groupBy("b")).applyInArrow(_listed, out)
+
+    def counts_of(self, asked: DataFrame) -> DataFrame:
+        """term, df of those of some distinct terms (term) that the corpus has."""
+        found = asked.select(_bucket(self.parts).alias("part")).groupBy("part").agg(F.lit(0)).collect()
+        own = self.postings(sorted(r[0] for r in found)).join(asked.select("term"), "term", "left_semi")
+        return own.groupBy("term").agg(F.sum("n").alias("df"))
+
     def postings(self, buckets: list[int]) -> DataFrame:
         """The rows of some term partitions; others aren't opened."""
         return self.rows.where(F.col("part").isin(*buckets) if buckets else F.lit(False))
@@ -185,6 +209,13 @@ class Index:
         return lists.groupBy("grp", "block").cogroup(about.groupBy("g", "b")).applyInArrow(lambda a, b: _best(a, b, k, mean), out)
 
 
+def _listed(lists: pa.Table, about: pa.Table) -> pa.Table:
+    """The documents of one block in which each term is."""
+    ids, terms_, at = about["ids"].combine_chunks().flatten(), lists["term"], [np.frombuffer(x, "<u4") for x in lists["docs"].to_pylist()]
+    which = pa.array(np.repeat(np.arange(len(at)), [len(x) for x in at]))
+    return pa.table({"term": terms_.take(which), "doc_id": ids.take(pa.array(np.concatenate(at) if at else np.zeros(0, np.int64)))})
+
+
 def _best(lists: pa.Table, about: pa.Table, k: int, mean: float) -> pa.Table:
     """The best documents of one block for each query that asks for it."""
     lengths = np.frombuffer(about["lengths"][0].as_py(), "<u4")
