@@ -6,20 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import overlap, terms
+from .index import Index
 
 ENTITY = r"\p{Lu}\p{L}+"
 
 
-def gold(items: DataFrame, docs: DataFrame) -> DataFrame:
-    """item_id, doc_id of the documents that contain an item's text.
+def gold(items: DataFrame, docs: DataFrame, index: Index) -> DataFrame:
+    """item_id, doc_id of the documents that contain an item's text; index: that of docs.
 
-    Candidates come from an equi-join on the item's rarest term, so no item meets every document.
+    Candidates are the documents of the item's rarest term, from the index: no item meets every document, and only the
+    candidates' texts are read for more than their doc_id.
     """
     words = items.select("item_id", "text", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    held = docs.select("doc_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).join(words.select("term").distinct(), "term", "left_semi")
-    counts = held.groupBy("term").agg(F.count("*").alias("df"))
+    counts = index.counts_of(words.select("term").distinct())
     rarest = words.join(counts, "term").groupBy("item_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    pairs = rarest.join(held, "term").select("item_id", "doc_id")
+    pairs = rarest.join(index.documents_of(rarest.select("term").distinct()), "term").select("item_id", "doc_id").distinct()
     both = pairs.join(items.select("item_id", F.col("text").alias("item")), "item_id").join(docs.select("doc_id", "text"), "doc_id")
     return both.where(F.expr("contains(text, item)")).select("item_id", "doc_id")
 

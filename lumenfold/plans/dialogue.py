@@ -11,6 +11,7 @@ from ..operators import rate as T
 from ..operators import routing as Q
 from ..operators import sketches as K
 from ..operators import uploads as U
+from ..operators.index import index_of
 from ..sources.manifest import uploads
 from ..sources.tables import events, table
 from .registry import query
@@ -43,7 +44,7 @@ def strong(spark, sf):
 
 
 def judged(spark, sf):
-    relevant = E.gold(items(spark, sf), documents(spark, sf))
+    relevant = E.gold(items(spark, sf), documents(spark, sf), index_of(spark, f"{sf}/documents.parquet"))
     return E.judged(bm25_top(spark, sf, 10), relevant), relevant
 
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lumenfold.operators import index as I
@@ -101,3 +102,32 @@ def test_a_changed_table_gets_a_new_index(spark, tmp_path):
     assert I.index_of(spark, path).n == I.index_of(spark, path).n == 305 and len([k for k in I._BUILT if path in str(k)]) == 1
     corpus(spark, 10).write.mode("overwrite").parquet(path)
     assert I.index_of(spark, path).n == 15
+
+
+def test_a_block_is_built_in_few_bytes_a_term():
+    import tracemalloc
+
+    n, each = 2000, 300
+    rng = np.random.default_rng(3)
+    words = pa.array([f"w{x}" for x in rng.integers(0, 5000, n * each).tolist()])
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * each + 1, each), pa.int32()), words)
+    tracemalloc.start()
+    rows = terms = 0
+    for b in I._block(0, [pa.array(range(n))], [lists], pa.int64()):
+        rows, terms = rows + b.num_rows, terms + sum(x or 0 for x in b["cf"].to_pylist()[b["term"].null_count :])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 5001 and terms == n * each and peak < 40 * n * each
+
+
+def test_gold_comes_from_the_index(spark, tmp_path):
+    from lumenfold.operators import evaluate
+
+    docs = spark.createDataFrame([(1, "red fox runs"), (2, "a red fox sleeps"), (2, "red fox, once more"), (3, "fox red"), (4, None), (5, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "red fox"), (8, "fox red"), (9, "absent fox"), (10, "..."), (11, None)], "item_id long, text string")
+    I.write_index(docs, str(tmp_path), 4, 2)
+    own = I.Index(spark, str(tmp_path))
+    assert sorted(map(tuple, evaluate.gold(items, docs, own).collect())) == [(7, 1), (7, 2), (7, 2), (8, 3)]
+    asked = items.selectExpr("explode(array('red', 'sleeps', 'nowhere')) as term").distinct()
+    assert sorted(map(tuple, own.counts_of(asked).collect())) == [("red", 4), ("sleeps", 1)]
+    assert sorted(map(tuple, own.documents_of(asked).collect())) == [("red", 1), ("red", 2), ("red", 2), ("red", 3), ("sleeps", 2)]
