@@ -14,7 +14,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
@@ -26,6 +26,8 @@ BAND_ROWS = 4
 MISSED = 1e-6
 #: Classes that are compared with as many others at a time.
 STAR_BLOCK = 256
+#: Cells in which shingles are counted by their hash (a power of two), and the rows that their counts travel in.
+CELLS, _CELL_BLOCKS = 1 << 20, 64
 #: Columns of the matrix by which sets are compared.
 _WIDE = 8192
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -110,31 +112,61 @@ def band_buckets(classes: DataFrame, similarity: float) -> DataFrame:
     return classes.select("class_id", "packed").mapInArrow(run, f"class_id {kind}, bucket long")
 
 
+def cell_counts(classes: DataFrame) -> np.ndarray:
+    """How many shingles of all classes fall into each of CELLS cells by their hash: what goes to the driver is of fixed size."""
+
+    def count(batches):
+        total = np.zeros(CELLS, np.int64)
+        for b in batches:
+            for lo in range(0, b.num_rows, 4000):
+                h = np.frombuffer(b"".join(b.column(0).slice(lo, 4000).to_pylist()), np.uint64)
+                total += np.bincount((h & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+        if total.any():
+            raw = [x.tobytes() for x in total.reshape(_CELL_BLOCKS, -1)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(_CELL_BLOCKS), pa.int32()), pa.array(raw, pa.binary())], ["block", "counts"])
+
+    def summed(table):
+        total = sum(np.frombuffer(x.as_py(), np.int64) for x in table["counts"])
+        return pa.table({"block": table["block"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    made = classes.select("packed").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(summed, "block int, counts binary")
+    found = {r.block: np.frombuffer(r["counts"], np.int64) for r in made.collect()}
+    return np.concatenate([found.get(k, np.zeros(CELLS // _CELL_BLOCKS, np.int64)) for k in range(_CELL_BLOCKS)])
+
+
+def prefix(h: np.ndarray, sizes: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(set, hash) of the rarest n - ceil(similarity * n) + 1 hashes of sets laid end to end, by their cells' counts, then by themselves."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((h, counts[(h & np.uint64(CELLS - 1)).astype(np.int64)], owner))
+    place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    keep = place < np.repeat(sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1, sizes)
+    return owner[keep], h[order][keep]
+
+
 def prefix_buckets(classes: DataFrame, similarity: float) -> DataFrame:
     """class_id, bucket: a class's rarest shingles, one of which it shares with every class similar enough.
 
-    Sets with a Jaccard similarity of s share one of their n - ceil(s * n) + 1 rarest. No shingle is dropped, however
-    frequent: a frequent one is in a prefix only where a set has nothing rarer. Shingles of one class only take their
-    place in the prefix and aren't looked up.
+    Sets with a Jaccard similarity of s share one of their n - ceil(s * n) + 1 first in any order that is the same for all
+    sets; so the order may be by counts of cells, and no shingle is sent anywhere to be counted or ranked. No shingle is
+    dropped, however frequent: a frequent one is in a prefix only where a set has nothing rarer.
     """
+    shared = classes.sparkSession.sparkContext.broadcast(cell_counts(classes))  # CELLS numbers
 
     def run(batches):
         for b in batches:
-            for c, raw in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                h = np.frombuffer(raw, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([c.as_py()] * len(h), b.column(0).type), pa.array(h), pa.array(np.full(len(h), len(h)))], ["class_id", "bucket", "n"])
+            for lo in range(0, b.num_rows, 500):
+                raw = b.column(1).slice(lo, 500).to_pylist()
+                owner, h = prefix(np.frombuffer(b"".join(raw), np.uint64), np.array([len(x) // 8 for x in raw], np.int64), shared.value, similarity)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 500).take(pa.array(owner)), pa.array(h.view(np.int64))], ["class_id", "bucket"])
 
     kind = classes.schema["class_id"].dataType.simpleString()
-    each = classes.select("class_id", "packed").mapInArrow(run, f"class_id {kind}, bucket long, n long")
-    counts = each.groupBy("bucket").agg(F.count("*").alias("df"))
-    ranked = each.join(counts, "bucket").selectExpr("*", "row_number() over (partition by class_id order by df, bucket) as r")
-    return ranked.where(F.col("df") > 1).where(F.col("r") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1).select("class_id", "bucket")
+    return classes.select("class_id", "packed").mapInArrow(run, f"class_id {kind}, bucket long")
 
 
 def links_by_stars(classes: DataFrame, buckets: DataFrame, similarity: float, folder: str, block: int = STAR_BLOCK) -> DataFrame:
     """class_id, n_links: how many other classes (class_id, packed) that share a bucket are at least so similar."""
-    least = buckets.groupBy("bucket").agg(F.min("class_id").alias("star"), F.count("*").alias("m")).where("m > 1")
-    stars = buckets.join(least, "bucket").select("class_id", "star").distinct()
+    own = Window.partitionBy("bucket")  # one shuffle of the buckets
+    stars = buckets.select("class_id", F.min("class_id").over(own).alias("star"), F.count("*").over(own).alias("m")).where("m > 1").select("class_id", "star").distinct()
     lists = _kept(stars.groupBy("class_id").agg(F.array_sort(F.collect_set("star")).alias("stars")), folder, "stars")
     each = lists.select("class_id", "stars", F.explode("stars").alias("star"))
     sizes = each.groupBy("star").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks")).where("chunks > 1")
