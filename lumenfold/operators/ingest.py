@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import chunk_starts, terms
+from ..functions.text import TERM, chunk_starts, terms
 from .near import WORDS
 
 # Patterns, the same in RE2.
@@ -54,14 +54,15 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 def shingles(words: Column, n: int = WORDS) -> Column:
     """Distinct runs of n words; with fewer words all of them as one, none without words."""
-    # The words are bound to a lambda's variable: named inside it as an expression, they would be split anew for each run.
-    runs = F.transform(F.array(words), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n, F.lit(0)) + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))[0]
-    return F.when(F.size(words) > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    # The words are bound to a lambda's variable: named as an expression, they would be split anew at each mention.
+    runs = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n, F.lit(0)) + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))
+    return F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, runs(w)).otherwise(F.array().cast("array<string>")))[0]
 
 
 def minhash(docs: DataFrame, seeds: int = 4) -> DataFrame:
     """doc_id, seed, minhash: the least digest of a document's shingles under each seed."""
-    own = docs.select("doc_id", shingles(terms(F.col("text"))).alias("s")).where(F.size("s") > 0)
+    # A filter on the shingles would be pushed below them, and make them twice.
+    own = docs.where(F.lower("text").rlike(TERM)).select("doc_id", shingles(terms(F.col("text"))).alias("s"))
     each = own.select("doc_id", "s", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed"))
     return each.select("doc_id", "seed", F.array_min(F.transform("s", lambda x: F.md5(F.concat(F.col("seed").cast("string"), F.lit(":"), x)))).alias("minhash"))
 

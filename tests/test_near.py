@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from lumenfold.operators import near
 from lumenfold.operators import near as N
 
 
@@ -81,3 +82,34 @@ def test_shingles_of_short_and_empty_texts():
     doc, h = N.shingle_hashes(np.arange(1, 8, dtype=np.uint64), np.array([0, 1, 0, 6]))
     assert doc.tolist() == [1, 3, 3] and len(set(h.tolist())) == 3
     assert len(N.shingle_hashes(np.zeros(0, np.uint64), np.array([0, 0]))[0]) == 0
+
+
+def test_prefixes_share_a_hash_whatever_the_counts():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        n = int(rng.integers(1, 60))
+        a = rng.integers(0, 1 << 63, n, np.uint64)
+        b = np.concatenate([a[: n - int(rng.integers(0, n // 5 + 1))], rng.integers(0, 1 << 63, int(rng.integers(0, 8)), np.uint64)])
+        counts = rng.integers(0, 3, near.CELLS)
+        owner, h = near.prefix(np.concatenate([a, b]), np.array([len(a), len(b)]), counts, 0.8)
+        both = len(np.intersect1d(a, b))
+        assert (owner == 0).sum() == n - int(np.ceil(0.8 * n - 1e-9)) + 1
+        if both >= 0.8 * (len(np.union1d(a, b))):
+            assert set(h[owner == 0].tolist()) & set(h[owner == 1].tolist())
+
+
+def test_shingles_are_not_shuffled_to_find_prefixes(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i // 2) * 50 + j}" for j in range(40)) + f" x{i}") for i in range(40)], "doc_id long, text string")
+    classes = near.packed_sets(docs).selectExpr("doc_id as class_id", "packed")
+    found = near.prefix_buckets(classes, 0.8)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 40 * (37 - 30 + 1)
+
+
+def test_minhash_makes_its_shingles_once(spark):
+    from lumenfold.operators import ingest
+
+    docs = spark.createDataFrame([(1, "A b c"), (2, ""), (3, None), (4, " .,- ")], "doc_id long, text string")
+    found = ingest.minhash(docs)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert sorted((r.doc_id, r.seed) for r in found.collect()) == [(1, 0), (1, 1), (1, 2), (1, 3)]
