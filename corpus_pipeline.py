@@ -13,6 +13,10 @@ from lumenfold.llm import packing, quality, shingle_join, toxicity
 from lumenfold.llm.common import remove, shared_dir, written
 
 
+#: Parts of texts that a packing worker keeps: it comes after three stages on the same executors.
+KEPT_PARTS = 200_000
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -34,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document in a sequence."""
-    return packing.pack(docs, public_tokenizers.path(packing.VOCABULARY))
+    return packing.pack(docs, public_tokenizers.path(packing.VOCABULARY), most=KEPT_PARTS)
 
 
 STAGES = [

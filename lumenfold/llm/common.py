@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.memory import tidied
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's URI below spark.checkpoint.dir, which driver and executors share.
@@ -108,7 +110,6 @@ def filter_rows(docs: DataFrame, make) -> DataFrame:
             texts = row_texts(b)
             mask = [x for i in range(0, b.num_rows, 200) for x in keep(texts.slice(i, 200).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(mask, pa.bool_()))], ["row"])
-        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     rows = docs.select(*row_and_text(docs))
-    return rows.mapInArrow(run, T.StructType([T.StructField("row", docs.schema)])).select("row.*")
+    return rows.mapInArrow(tidied(run), T.StructType([T.StructField("row", docs.schema)])).select("row.*")

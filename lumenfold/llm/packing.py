@@ -17,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.memory import give_back
 from .bpe_replay import encoder_slices
 from .common import input_bytes, text_or_empty
-from .tokens import library_encoder
+from .tokens import MOST, library_encoder
 
 VOCABULARY, END_ID, LENGTH = "word_bpe_49k.json", 1, 2048
 #: Text of a group, about; its ids are held in memory at once.
@@ -112,13 +113,13 @@ def pack_group(lengths: list[int], room: int = LENGTH) -> list[list[tuple[int, i
     return done
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = END_ID, room: int = LENGTH, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = END_ID, room: int = LENGTH, group_bytes: int = GROUP_BYTES, most: int = MOST) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null text counts as empty: one piece with the end id. Rows are packed one by one, so a repeated doc_id yields the
     pieces of each of its rows, and a null doc_id stays null. Groups are drawn for each row by a seeded generator, not by
     any value of it, so no key makes a group large; their number follows the bytes of text. sequence_id holds the group
-    in its upper and the sequence in its lower 32 bits.
+    in its upper and the sequence in its lower 32 bits. most: parts of texts whose ids a worker keeps.
     """
     spark = docs.sparkSession
     own = docs.select("doc_id", text_or_empty())
@@ -126,7 +127,8 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = END_ID, room: int = LEN
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(key, group):
-        encoder, doc_ids, ids = library_encoder(vocabulary, "word"), group.column("doc_id").to_pylist(), []
+        give_back()  # what the last group, or another stage's task, held
+        encoder, doc_ids, ids = library_encoder(vocabulary, "word", most), group.column("doc_id").to_pylist(), []
         for texts in encoder_slices(group.column("text")):
             ids += [x + end for x in encoder.many(texts)]
         base = key[0].as_py() << 32

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.memory import give_back, tidied
 from .bpe_replay import encoder_slices
 from .common import input_bytes, parts, remove, row_and_text, row_texts, shared_dir, text_or_empty, written
 from .components import components
@@ -169,7 +170,7 @@ def sets(docs: DataFrame) -> DataFrame:
                     fp.append(fingerprint(s))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(np.frombuffer(b"".join(fp), "<i8")[::2]), pa.array(fp, pa.binary())], ["doc_id", "n_shingles", "h", "fp"])
 
-    return docs.select("doc_id", text_or_empty()).mapInArrow(run, "doc_id long, n_shingles long, h long, fp binary")
+    return docs.select("doc_id", text_or_empty()).mapInArrow(tidied(run), "doc_id long, n_shingles long, h long, fp binary")
 
 
 def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
@@ -209,7 +210,7 @@ def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
                     out.append(np.array([len(held), j - i], "<u4").tobytes() + h[held].tobytes() + upper.tobytes() + ref.astype("<u2").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[[0, *edges.tolist()]].astype("i4")), pa.array(out, pa.binary())], ["bucket", "blob"])
 
-    return docs.select("doc_id", text_or_empty()).where("doc_id is not null").mapInArrow(run, "bucket int, blob binary")
+    return docs.select("doc_id", text_or_empty()).where("doc_id is not null").mapInArrow(tidied(run), "bucket int, blob binary")
 
 
 def _opened(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -243,6 +244,7 @@ def _matched(blobs: DataFrame) -> DataFrame:
     """a, b: set b is in the family of set a."""
 
     def run(group):
+        give_back()  # what the last bucket held
         opened = [_opened(v) for v in group.column("blob").to_pylist()]
         pairs = match(*(np.concatenate(x) for x in zip(*opened, strict=True)))
         return pa.Table.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i]).view(np.int64)) for i in (0, 1)], ["a", "b"])
@@ -326,7 +328,7 @@ def _filtered(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 seen.clear()
             yield own.take(pa.array(new, pa.int64()))
 
-    return docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("at")).mapInArrow(run, "doc_id long, text string")
+    return docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("at")).mapInArrow(tidied(run), "doc_id long, text string")
 
 
 def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -342,7 +344,7 @@ def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
             yield b.filter(pa.array(held, pa.bool_()))
 
     found = _filtered(docs, needed).join(needed.select("h", "doc_id"), "doc_id").select("h", "text")
-    return found.mapInArrow(run, "h long, text string").groupBy("h").agg(F.min("text").alias("text"))
+    return found.mapInArrow(tidied(run), "h long, text string").groupBy("h").agg(F.min("text").alias("text"))
 
 
 def _family_links(family: DataFrame, texts: DataFrame, sizes: DataFrame, folder: str) -> DataFrame:
@@ -395,7 +397,7 @@ def _family_links(family: DataFrame, texts: DataFrame, sizes: DataFrame, folder:
         yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in (0, 1)], ["a", "b"])
 
     dealt = rows.select("a", "chunk", "role", "h", "text").repartition(parts(spark, 0, 1), "a", "chunk").sortWithinPartitions("a", "chunk", "role", "h")
-    return written(dealt.mapInArrow(run, "a long, b long").distinct(), folder, "links")
+    return written(dealt.mapInArrow(tidied(run), "a long, b long").distinct(), folder, "links")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -445,7 +447,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
             fp = [fingerprint(s) if len(s := shingler(t.as_py())) else None for t in row_texts(b)]
             yield pa.RecordBatch.from_arrays([b.column(0), pc.struct_field(b.column(0), "doc_id"), pa.array(fp, pa.binary())], ["row", "id", "fp"])
 
-    rows = docs.select(*row_and_text(docs)).mapInArrow(run, schema)
+    rows = docs.select(*row_and_text(docs)).mapInArrow(tidied(run), schema)
     inside = rows.where("id is not null and fp is not null").join(kept.withColumnRenamed("doc_id", "id"), ["id", "fp"])
     maps = any(isinstance(f.dataType, T.MapType) for f in docs.schema.fields)
     inside = inside.groupBy("id", "fp").agg(F.min_by("row", F.to_json("row") if maps else F.xxhash64("row")).alias("row"))

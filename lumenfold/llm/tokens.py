@@ -49,6 +49,10 @@ def at_line_break(part: str) -> tuple[str, str] | None:
     return (a, b) if a and b and not a[-1].isspace() and not b[0].isspace() else None
 
 
+#: Parts of texts whose ids a worker keeps.
+MOST = 800_000
+
+
 class PieceEncoder:
     """Texts to the bytes of their ids (little-endian, 4 bytes each).
 
@@ -56,7 +60,7 @@ class PieceEncoder:
     what stands around a line break, and (for tokenizers that take ASCII capitals for small letters) the small word.
     """
 
-    def __init__(self, cut, encode, small: bool, breaks: bool, most: int = 800_000, slice_chars: int = 500_000):
+    def __init__(self, cut, encode, small: bool, breaks: bool, most: int = MOST, slice_chars: int = 500_000):
         """cut: text to (parts, parts after a space); encode: (parts, whether a space precedes) to a list of bytes;
         small, breaks: whether capitals count as small letters, and line breaks have ids; most: parts kept."""
         self.cut, self.encode, self.small, self.breaks, self.most, self.slice_chars = cut, encode, small, breaks, most, slice_chars
@@ -148,8 +152,8 @@ _TOGETHER = 200
 
 
 @functools.lru_cache(maxsize=4)
-def library_encoder(path: str, kind: str) -> PieceEncoder:
-    """kind: "byte_level" or "word", as the file's pre-tokenizer is; one encoder a worker.
+def library_encoder(path: str, kind: str, most: int = MOST) -> PieceEncoder:
+    """kind: "byte_level" or "word", as the file's pre-tokenizer is; one encoder a worker; most: parts it keeps.
 
     New parts go to the library many to a string, in which they are encoded as they would be alone. Where a part's ids
     begin is plain from the ids: in a byte-level file only the first token of a part begins with the space before it; in
@@ -180,7 +184,7 @@ def library_encoder(path: str, kind: str) -> PieceEncoder:
                 return alone(parts)
             return cut([" " + " ".join(parts[i : i + _TOGETHER]) for i in range(0, len(parts), _TOGETHER)], opens, 0)
 
-        return PieceEncoder(byte_level_parts, encode, small=False, breaks=True)
+        return PieceEncoder(byte_level_parts, encode, small=False, breaks=True, most=most)
 
     zero = tokenizer.encode("\0", add_special_tokens=False).ids
     opens[zero] = True
@@ -194,7 +198,7 @@ def library_encoder(path: str, kind: str) -> PieceEncoder:
             return [known[p] for p in parts]
         return cut(["\0 " + " \0 ".join(parts[i : i + _TOGETHER]) for i in range(0, len(parts), _TOGETHER)], opens, 1)
 
-    return PieceEncoder(word_parts, encode_words, small=True, breaks=False)
+    return PieceEncoder(word_parts, encode_words, small=True, breaks=False, most=most)
 
 
 def vocabulary_size(path: str) -> int:
