@@ -118,6 +118,6 @@ def _late_kept(spark, sf):
 )
 def _cache_stream(spark, sf):
     """The events ask in turn, each for one of the vectors."""
-    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    vectors = table(spark, sf, "embeddings").select("vec_id", K.packed("embedding", "f4"))
     asked = events(spark, sf).withColumn("vec_id", F.col("event_id") % vectors.count())
-    return S.drained(K.semantic_cache(asked.join(vectors, "vec_id"), 0.3), "append")
+    return S.drained(K.semantic_cache(asked.join(vectors, "vec_id"), 0.3, kind="f4"), "append")

@@ -6,77 +6,138 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 DAY_MS = 86_400_000
+#: Keys of the processors: users share them by hash, since a key costs milliseconds of Python for its frames whatever its
+#: rows. A checkpoint keeps the number that it was begun with.
+BUCKETS = 1024
+USER = T.StructType([T.StructField("user_id", T.LongType())])
+
+
+def bucket_of(column: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(buckets)).alias("bucket")
 
 
 class SemanticCache(StatefulProcessor):
-    """A user's cache of answered requests: MapState from a vector's id to when it was last asked, and the vector.
+    """Users' caches of answered requests: MapState of a bucket of users, from the user to the entries (a vector's id, when
+    it was last asked, the vector), the least recent first.
 
     Requests are taken in the order of (ts, event_id) within a micro-batch. A request is a hit if the nearest entry that is
     younger than the time to live has at least the threshold's inner product; hit or miss, its own vector then is the most
-    recent entry, and beyond the capacity the least recent one goes. An event-time timer clears what has outlived its
-    time where a user doesn't ask again. A user's rows of one micro-batch and a full cache are held in memory.
+    recent entry, and beyond the capacity the least recent one goes. An event-time timer clears the users who haven't
+    asked for the time to live. A bucket's rows of one micro-batch are held in memory.
     """
 
-    def __init__(self, threshold: float, capacity: int, ttl_ms: int):
-        self.threshold, self.capacity, self.ttl = threshold, capacity, ttl_ms * 1000
+    def __init__(self, threshold: float, capacity: int, ttl_ms: int, kind: str):
+        self.threshold, self.capacity, self.ttl, self.kind = threshold, capacity, ttl_ms * 1000, np.dtype(kind)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        key = T.StructType([T.StructField("vec_id", T.LongType())])
-        value = T.StructType([T.StructField("at", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("vector", T.ArrayType(T.DoubleType()))])
-        self.entries = handle.getMapState("entries", key, value)
+        lists = [T.StructField(c, T.ArrayType(T.LongType())) for c in ("vec_ids", "at", "event_ids")]
+        self.entries = handle.getMapState("entries", USER, T.StructType([*lists, T.StructField("vectors", T.BinaryType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = {k[0]: (v[0], v[1], np.array(v[2])) for k, v in self.entries.iterator()}
-        before = {k: v[:2] for k, v in held.items()}
-        held = dict(sorted(held.items(), key=lambda x: x[1][:2]))  # the least recent first
-        asked = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        times = asked["ts"].astype("datetime64[us]").astype("int64")
-        out = []
-        for now, event, vec, vector in zip(times.tolist(), asked["event_id"].tolist(), asked["vec_id"].tolist(), asked["embedding"], strict=True):
-            for old in [k for k, v in held.items() if now - v[0] >= self.ttl]:
-                del held[old]
-            vector, best = np.asarray(vector, np.float64), (None, None)
-            if held:
-                scores = np.round(np.array([v[2] for v in held.values()]) @ vector, 6)
-                score, k = max(zip(scores.tolist(), (-k for k in held), strict=True))
-                best = (-k, score) if score >= self.threshold else best
-            out.append((event, key[0], vec, best[0] is not None, *best))
-            held.pop(vec, None)
-            held[vec] = (now, event, vector)
-            if len(held) > self.capacity:
-                del held[next(iter(held))]
-        for k in before.keys() - held.keys():
-            self.entries.removeKey((k,))
-        for k, v in held.items():
-            if before.get(k) != v[:2]:
-                self.entries.updateValue((k,), (v[0], v[1], v[2].tolist()))
-        self.handle.registerTimer(max(v[0] for v in held.values()) // 1000 + self.ttl // 1000 + 1)
-        yield pd.DataFrame({c: pd.Series(x, dtype=t) for (c, t), x in zip(CACHED.items(), zip(*out, strict=True), strict=True)})
+        asked = pd.concat(list(rows)).sort_values(["user_id", "at", "event_id"])
+        kept = self.entries.exists()
+        users = asked["user_id"].to_numpy()
+        ends = [*(np.flatnonzero(users[1:] != users[:-1]) + 1).tolist(), len(users)]
+        columns = [asked[c].tolist() for c in ("vec_id", "at", "event_id", "embedding")]
+        best, oldest, begin = [], None, 0
+        for end in ends:
+            user, own = int(users[begin]), [c[begin:end] for c in columns]
+            held = self.entries.getValue((user,)) if kept else None
+            found, entries = self._asked(held, *own)
+            best += found
+            self.entries.updateValue((user,), entries)
+            latest = max(entries[1])
+            oldest, begin = latest if oldest is None else min(oldest, latest), end
+        self.handle.registerTimer(self._end(oldest))
+        ids, scores = zip(*best, strict=True)
+        hit = np.array([k is not None for k in ids])
+        yield pd.DataFrame({"event_id": asked["event_id"].to_numpy(), "user_id": users, "vec_id": asked["vec_id"].to_numpy(), "hit": hit, "response_id": pd.Series(ids, dtype="Int64"), "score": pd.Series(scores, dtype="float64")})
+
+    def _asked(self, held, vecs: list, at: list, events: list, vectors: list) -> tuple[list, tuple]:
+        """The (id, score) of the entry that answers each request of one user, or (None, None); and the entries thereafter."""
+        cache = {k: (t, e, i) for i, (k, t, e) in enumerate(zip(*held[:3], strict=True))} if held else {}
+        known = self._matrix([held[3]], len(cache)) if held else None
+        cache = dict(sorted(cache.items(), key=lambda x: x[1][:2]))  # the least recent first
+        found = []
+        for begin in range(0, len(vecs), BLOCK):
+            block = slice(begin, begin + BLOCK)
+            own = self._matrix(vectors[block], len(vecs[block]))
+            first = 0 if known is None else len(known)
+            known = own if known is None else np.concatenate([known, own])
+            scores = np.round(own @ known.T, 6).tolist()
+            for n, (vec, now, event) in enumerate(zip(vecs[block], at[block], events[block], strict=True)):
+                best = (None, None)
+                for k, (t, _, i) in list(cache.items()):
+                    score = scores[n][i]
+                    if now - t >= self.ttl:
+                        del cache[k]
+                    elif score >= self.threshold and (best[0] is None or (-score, k) < (-best[1], best[0])):
+                        best = (k, score)
+                found.append(best)
+                cache.pop(vec, None)
+                cache[vec] = (now, event, first + n)
+                if len(cache) > self.capacity:
+                    del cache[next(iter(cache))]
+            known = known[[v[2] for v in cache.values()]]
+            cache = {k: (t, e, i) for i, (k, (t, e, _)) in enumerate(cache.items())}
+        return found, (list(cache), [v[0] for v in cache.values()], [v[1] for v in cache.values()], known.astype(self.kind).tobytes())
+
+    def _matrix(self, vectors: list, n: int) -> np.ndarray:
+        """n vectors in double precision; a missing one is NaN, which is near nothing."""
+        if any(v is None for v in vectors):
+            width = next((len(v) for v in vectors if v is not None), self.kind.itemsize)
+            vectors = [np.full(width // self.kind.itemsize, np.nan, self.kind).tobytes() if v is None else v for v in vectors]
+        return np.frombuffer(b"".join(vectors), self.kind).reshape(n, -1).astype(np.float64)
+
+    def _end(self, at: int) -> int:
+        return at // 1000 + self.ttl // 1000 + 1
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        for k in [k for k, v in self.entries.iterator() if now - v[0] >= self.ttl]:
-            self.entries.removeKey(k)
+        now, left = timerValues.getCurrentWatermarkInMs(), []
+        for user, entries in list(self.entries.iterator()):
+            end = self._end(max(entries[1]))
+            if end <= now:
+                self.entries.removeKey(user)
+            else:
+                left.append(end)
+        if left:
+            self.handle.registerTimer(min(left))
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-CACHED = {"event_id": "int64", "user_id": "int64", "vec_id": "int64", "hit": "bool", "response_id": "Int64", "score": "float64"}
+#: Requests of a user that are compared with the cache and one another by one matrix product.
+BLOCK = 256
+
+
+def packed(column: str, kind: str = "f8") -> Column:
+    """Vectors (arrays) as the bytes of their numbers, which cross to Python faster."""
 
+    @F.pandas_udf("binary")
+    def pack(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else np.asarray(x, kind).tobytes())
 
-def semantic_cache(requests: DataFrame, threshold: float, capacity: int = 8, ttl_ms: int = 7 * DAY_MS, delay: str = "1 hour") -> DataFrame:
-    """event_id, user_id, vec_id, hit, response_id, score of a stream of requests (event_id, user_id, ts, vec_id, embedding)."""
+    return pack(column).alias(column)
+
+
+def semantic_cache(requests: DataFrame, threshold: float, capacity: int = 8, ttl_ms: int = 7 * DAY_MS, delay: str = "1 hour", kind: str = "f8", buckets: int = BUCKETS) -> DataFrame:
+    """event_id, user_id, vec_id, hit, response_id, score of a stream of requests (event_id, user_id, ts, vec_id, embedding).
+
+    embedding: arrays, or what packed made of them with the same kind of number.
+    """
     schema = "event_id long, user_id long, vec_id long, hit boolean, response_id long, score double"
-    own = requests.select("event_id", "user_id", "ts", "vec_id", "embedding").withWatermark("ts", delay)
-    return own.groupBy("user_id").transformWithStateInPandas(SemanticCache(threshold, capacity, ttl_ms), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    vector = F.col("embedding") if isinstance(requests.schema["embedding"].dataType, T.BinaryType) else packed("embedding", kind)
+    own = requests.select("event_id", "user_id", "ts", F.unix_micros("ts").alias("at"), "vec_id", vector, bucket_of("user_id", buckets)).withWatermark("ts", delay)
+    return own.groupBy("bucket").transformWithStateInPandas(SemanticCache(threshold, capacity, ttl_ms, kind), outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
 class LateRows(StatefulProcessor):

@@ -1,5 +1,6 @@
 """Keyed stream state on literal rows: expiry by timers, eviction, snapshots as of a batch."""
 
+import random
 from datetime import datetime, timedelta
 
 from lumenfold.streaming import operators as S
@@ -33,3 +34,44 @@ def test_the_cache_evicts_the_least_recent(spark, tmp_path):
     # 3 finds vector 0 again; 4 then drives out vector 1, so 5 misses and drives out 0; a week later all is gone.
     assert {e: x[0] for e, x in got.items()} == {1: False, 2: False, 3: True, 4: False, 5: False, 6: False, 7: False}
     assert got[3] == (True, 0, 1.0)
+
+
+def test_users_share_the_keys_of_the_cache(spark, tmp_path):
+    """40 users over three micro-batches, on three keys; each hit as a plain loop finds it."""
+    draw = random.Random(7)
+    vectors = [[draw.gauss(0, 1) for _ in range(4)] for _ in range(9)]
+    asked = [(e, START + timedelta(hours=draw.randrange(900)), draw.randrange(40), draw.randrange(9)) for e in range(900)]
+    asked.sort(key=lambda x: (x[1], x[0]))
+    source, state = f"{tmp_path}/in", f"file://{tmp_path}/state"
+    for part in (asked[:300], asked[300:600], asked[600:]):
+        rows = [(*r, vectors[r[3]]) for r in part]
+        spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, vec_id long, embedding array<double>").coalesce(1).write.mode("append").parquet(source)
+        out = S.drained(K.semantic_cache(S.event_stream(spark, source), 0.5, capacity=3, buckets=3), "append", state)
+    held, want = {}, {}
+    for e, ts, user, vec in asked:
+        own = held.setdefault(user, {})
+        live = {k: round(sum(x * y for x, y in zip(vectors[k], vectors[vec], strict=True)), 6) for k, t in own.items() if ts - t < timedelta(days=7)}
+        best = min(((-s, k) for k, s in live.items() if s >= 0.5), default=None)
+        want[e] = None if best is None else best[1]
+        own.pop(vec, None)
+        own[vec] = ts
+        if len(own) > 3:
+            del own[next(iter(own))]
+    assert {r.event_id: r.response_id for r in out.collect()} == want
+    kept = spark.read.format("statestore").option("path", f"{state}/checkpoint").option("stateVarName", "entries").load()
+    assert kept.select("key").distinct().count() <= 3
+    # The watermark is an hour behind the last request; who has asked within a week of it is kept, everyone else was cleared.
+    last = {user: ts for _, ts, user, _ in asked}
+    bar = asked[-1][1] - timedelta(hours=1)
+    assert {r.user_id for r in kept.select("user_map_key.*").collect()} == {u for u, ts in last.items() if ts + timedelta(days=7) >= bar}
+
+
+def test_a_user_of_many_requests_and_missing_vectors(spark, tmp_path):
+    """More requests than one matrix product takes; a request without a vector neither hits nor answers."""
+    rows = [(e, START + timedelta(minutes=e), 5, e % 3, None if e % 3 == 2 else [1.0, float(e % 3)]) for e in range(700)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, vec_id long, embedding array<double>").coalesce(1).write.parquet(f"{tmp_path}/in")
+    out = S.drained(K.semantic_cache(S.event_stream(spark, f"{tmp_path}/in"), 0.5), "append", f"file://{tmp_path}/state")
+    got = {r.event_id: (r.response_id, r.score) for r in out.collect()}
+    # Vector 0 is (1, 0) and vector 1 (1, 1): 0 scores 1 against both, so that the smaller id answers; 1 scores 2 against itself.
+    want = {0: (None, None), 1: (0, 1.0), 2: (None, None)} | {e: [(0, 1.0), (1, 2.0), (None, None)][e % 3] for e in range(3, 700)}
+    assert got == want
