@@ -141,37 +141,52 @@ def semantic_cache(requests: DataFrame, threshold: float, capacity: int = 8, ttl
 
 
 class LateRows(StatefulProcessor):
-    """Passes all rows on, and says of each whether it is behind its key's watermark and by how much.
+    """Passes all rows on, and says of each whether it is behind its user's watermark and by how much.
 
-    The watermark of a key is the largest ts of its earlier micro-batches less the delay; it only grows. It is kept here
-    and not by Spark, which drops late rows before they reach a processor. Rows are held one Arrow batch at a time.
+    The watermark of a user is the largest ts of their earlier micro-batches less the delay; it only grows. It is kept here
+    (MapState of a bucket of users, from the user to that ts) and not by Spark, which drops late rows before they reach a
+    processor. Rows are held one Arrow batch at a time.
     """
 
     def __init__(self, delay_us: int):
         self.delay = delay_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", T.StructType([T.StructField("ts", T.LongType())]))
+        self.seen = handle.getMapState("seen", USER, T.StructType([T.StructField("ts", T.LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen = self.seen.get()[0] if self.seen.exists() else None
-        top = seen
+        kept, seen, top = self.seen.exists(), {}, {}
         for part in rows:
-            at = part["ts"].astype("datetime64[us]").astype("int64")
-            behind = np.zeros(len(at), np.int64) if seen is None else np.maximum(seen - self.delay - at.to_numpy(), 0)
-            top = int(at.max()) if top is None else max(top, int(at.max()))
-            yield pd.DataFrame({"event_id": part["event_id"].to_numpy(), "user_id": key[0], "ts": part["ts"].to_numpy(), "late": behind > 0, "behind_us": behind})
-        self.seen.update((top,))
+            at = part["at"].to_numpy()
+            users, place = np.unique(part["user_id"].to_numpy(), return_inverse=True)
+            tops = np.full(len(users), NEVER)
+            np.maximum.at(tops, place, at)
+            for user, ts in zip(users.tolist(), tops.tolist(), strict=True):
+                if user not in seen:
+                    state = self.seen.getValue((user,)) if kept else None
+                    seen[user] = NEVER if state is None else state[0]
+                top[user] = max(ts, top.get(user, NEVER))
+            bar = np.array([seen[user] for user in users.tolist()])[place]
+            behind = np.where(bar == NEVER, 0, np.maximum(bar - self.delay - at, 0))
+            yield pd.DataFrame({"event_id": part["event_id"].to_numpy(), "user_id": part["user_id"].to_numpy(), "at": at, "late": behind > 0, "behind_us": behind})
+        for user, ts in top.items():
+            if ts > seen[user]:
+                self.seen.updateValue((user,), (ts,))
 
     def close(self) -> None:
         pass
 
 
-def marked_late(events: DataFrame, delay_ms: int) -> DataFrame:
+#: Before every ts.
+NEVER = np.iinfo(np.int64).min
+
+
+def marked_late(events: DataFrame, delay_ms: int, buckets: int = BUCKETS) -> DataFrame:
     """event_id, user_id, ts, late, behind_us for every row of the stream."""
-    schema = "event_id long, user_id long, ts timestamp, late boolean, behind_us long"
-    own = events.select("event_id", "user_id", "ts")
-    return own.groupBy("user_id").transformWithStateInPandas(LateRows(delay_ms * 1000), outputStructType=schema, outputMode="Append", timeMode="None")
+    schema = "event_id long, user_id long, at long, late boolean, behind_us long"
+    own = events.select("event_id", "user_id", F.unix_micros("ts").alias("at"), bucket_of("user_id", buckets))
+    marked = own.groupBy("bucket").transformWithStateInPandas(LateRows(delay_ms * 1000), outputStructType=schema, outputMode="Append", timeMode="None")
+    return marked.select("event_id", "user_id", F.timestamp_micros("at").alias("ts"), "late", "behind_us")
 
 
 def keep_late(marked: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -75,3 +75,29 @@ def test_a_user_of_many_requests_and_missing_vectors(spark, tmp_path):
     # Vector 0 is (1, 0) and vector 1 (1, 1): 0 scores 1 against both, so that the smaller id answers; 1 scores 2 against itself.
     want = {0: (None, None), 1: (0, 1.0), 2: (None, None)} | {e: [(0, 1.0), (1, 2.0), (None, None)][e % 3] for e in range(3, 700)}
     assert got == want
+
+
+def test_users_share_the_keys_of_late_rows(spark, tmp_path):
+    """30 users over three micro-batches on two keys, and in frames of 50 rows: each user's own watermark counts."""
+    draw = random.Random(8)
+    rows = [(e, START + timedelta(minutes=draw.randrange(3000) + 1000 * (e // 400)), draw.randrange(30)) for e in range(1200)]
+    source, state = f"{tmp_path}/in", f"file://{tmp_path}/state"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.STATE_STORE)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        for n in range(3):
+            spark.createDataFrame(rows[400 * n : 400 * n + 400], "event_id long, ts timestamp, user_id long").coalesce(1).write.mode("append").parquet(source)
+            on_time, late = K.keep_late(K.marked_late(S.event_stream(spark, source), 3_600_000, buckets=2), state)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, top = {}, {}
+    for n in range(3):
+        part = rows[400 * n : 400 * n + 400]
+        for e, ts, user in part:
+            want[e] = (ts, max((top[user] - timedelta(hours=1) - ts) // timedelta(microseconds=1), 0) if user in top else 0)
+        for _, ts, user in part:
+            top[user] = max(ts, top.get(user, ts))
+    assert {r.event_id: (r.ts, r.behind_us) for r in on_time.unionByName(late).collect()} == want
+    assert {r.event_id for r in late.collect()} == {e for e, (_, us) in want.items() if us > 0} != set()
+    kept = spark.read.format("statestore").option("path", f"{state}/checkpoint").option("stateVarName", "seen").load()
+    assert kept.select("key").distinct().count() <= 2 and kept.count() == 30
