@@ -81,10 +81,10 @@ def _recovery(spark, sf):
     rows.where(~early).write.parquet(f"{other}/in")
     rows.where(~early).write.mode("append").parquet(f"{folder}/in")
     S.drained(S.session_state(S.event_stream(spark, f"{folder}/in")), "update", folder)
-    before = K.state_of(spark, f"{folder}/checkpoint", "session", stopped)
-    after = K.state_of(spark, f"{folder}/checkpoint", "session")
+    before = K.sessions_of(spark, f"{folder}/checkpoint", stopped)
+    after = K.sessions_of(spark, f"{folder}/checkpoint")
     S.drained(S.session_state(S.event_stream(spark, f"{other}/in"), snapshot=before), "update", other)
-    again = K.state_of(spark, f"{other}/checkpoint", "session").select("user_id", F.col("n").alias("n_restarted"))
+    again = K.sessions_of(spark, f"{other}/checkpoint").select("user_id", F.col("n").alias("n_restarted"))
     own = after.select("user_id", "n", "last_ts", "last_type").join(before.select("user_id", F.col("n").alias("n_before")), "user_id", "left").join(again, "user_id")
     return plain(own.withColumn("n_before", F.coalesce("n_before", F.lit(0)).cast("long")), "last_ts").select("user_id", "n_before", "n", "last_ts", "last_type", "n_restarted")
 

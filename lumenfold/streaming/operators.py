@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.shared import shared_folder
+from .stateful import BUCKETS, NEVER, USER, bucket_of
 
 #: How long a user's session state outlives the last event (event time).
 KEEP_MS = 90 * 86_400_000
@@ -56,49 +58,71 @@ def distinct_events(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 class SessionState(StatefulProcessor):
     """Keeps for each user how many events came and the last one; yields the state after each batch.
 
-    A user without events for keep_ms (event time) is forgotten by a timer. The state may begin from a snapshot (n, last_ts, last_type by user).
+    The state is a MapState of a bucket of users. A user without events for keep_ms (event time) is forgotten by a timer.
+    The state may begin from a snapshot (n, last_us, last_type, last_id by user). Rows are held one Arrow batch at a time.
     """
 
     def __init__(self, keep_ms: int = KEEP_MS):
         self.keep = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = T.StructType([T.StructField("n", T.LongType()), T.StructField("last_ts", T.TimestampType()), T.StructField("last_type", T.StringType())])
-        self.handle, self.state = handle, handle.getValueState("session", fields)
+        fields = T.StructType([T.StructField("n", T.LongType()), T.StructField("last_us", T.LongType()), T.StructField("last_type", T.StringType()), T.StructField("last_id", T.LongType())])
+        self.handle, self.state = handle, handle.getMapState("session", USER, fields)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        n, ts, kind = initialState[["n", "last_ts", "last_type"]].iloc[0]
-        self.state.update((int(n), ts.to_pydatetime(), kind))
+        self._put({user: own for user, *own in zip(*(initialState[c].tolist() for c in ("user_id", "n", "last_us", "last_type", "last_id")), strict=True)})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, last_ts, last_type = self.state.get() if self.state.exists() else (0, None, None)
+        kept, users = self.state.exists(), {}
         for part in rows:
-            n += len(part)
-            row = part.sort_values(["ts", "event_id"]).iloc[-1]
-            if last_ts is None or row["ts"] >= pd.Timestamp(last_ts):
-                last_ts, last_type = row["ts"].to_pydatetime(), row["event_type"]
-        self.state.update((n, last_ts, last_type))
-        self.handle.registerTimer(self._end(last_ts))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last_ts": [last_ts], "last_type": [last_type]})
-
-    def _end(self, last_ts) -> int:
-        return int(pd.Timestamp(last_ts).timestamp() * 1000) + self.keep
+            part = part.sort_values(["user_id", "at", "event_id"])
+            ids = part["user_id"].to_numpy()
+            last = np.append(np.flatnonzero(ids[1:] != ids[:-1]), len(ids) - 1)
+            counts = np.diff(last, prepend=-1)
+            final = part.iloc[last]
+            for user, more, at, kind, event in zip(final["user_id"].tolist(), counts.tolist(), final["at"].tolist(), final["event_type"].tolist(), final["event_id"].tolist(), strict=True):
+                if user not in users:
+                    users[user] = (self.state.getValue((user,)) if kept else None) or (0, NEVER, None, NEVER)
+                n, *before = users[user]
+                users[user] = (n + more, at, kind, event) if (at, event) >= (before[0], before[2]) else (n + more, *before)
+        self._put(users)
+        yield pd.DataFrame({"user_id": list(users), **{c: [own[i] for own in users.values()] for i, c in enumerate(("n", "at", "last_type"))}})
+
+    def _put(self, users: dict) -> None:
+        for user, own in users.items():
+            self.state.updateValue((user,), tuple(own))
+        self.handle.registerTimer(min(self._end(own[1]) for own in users.values()))
+
+    def _end(self, last_us: int) -> int:
+        return last_us // 1000 + self.keep
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists() and self._end(self.state.get()[1]) <= expiredTimerInfo.getExpiryTimeInMs():
-            self.state.clear()
+        now, left = timerValues.getCurrentWatermarkInMs(), []
+        for user, own in list(self.state.iterator()):
+            end = self._end(own[1])
+            if end <= now:
+                self.state.removeKey(user)
+            else:
+                left.append(end)
+        if left:
+            self.handle.registerTimer(min(left))
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def session_state(events: DataFrame, keep_ms: int = KEEP_MS, snapshot: DataFrame | None = None, delay: str = "7 days") -> DataFrame:
-    """user_id, n, last_ts, last_type after each batch; events later than the delay are dropped; snapshot: such rows of an earlier state to begin from."""
-    schema = "user_id long, n long, last_ts timestamp, last_type string"
-    begun = None if snapshot is None else snapshot.select("user_id", "n", "last_ts", "last_type").groupBy("user_id")
-    own = events.withWatermark("ts", delay)
-    return own.groupBy("user_id").transformWithStateInPandas(SessionState(keep_ms), outputStructType=schema, outputMode="Update", timeMode="EventTime", initialState=begun)
+def session_state(events: DataFrame, keep_ms: int = KEEP_MS, snapshot: DataFrame | None = None, delay: str = "7 days", buckets: int = BUCKETS) -> DataFrame:
+    """user_id, n, last_ts, last_type after each batch; events later than the delay are dropped; snapshot: such rows of an
+    earlier state to begin from, with last_id (the last event's id, which decides between equal times) if it is known."""
+    schema = "user_id long, n long, at long, last_type string"
+    begun = None
+    if snapshot is not None:
+        last = F.coalesce("last_id", F.lit(NEVER)) if "last_id" in snapshot.columns else F.lit(NEVER)
+        begun = snapshot.select("user_id", "n", F.unix_micros("last_ts").alias("last_us"), "last_type", last.alias("last_id"), bucket_of("user_id", buckets)).groupBy("bucket")
+    own = events.select("event_id", "user_id", "ts", F.unix_micros("ts").alias("at"), "event_type", bucket_of("user_id", buckets)).withWatermark("ts", delay)
+    states = own.groupBy("bucket").transformWithStateInPandas(SessionState(keep_ms), outputStructType=schema, outputMode="Update", timeMode="EventTime", initialState=begun)
+    return states.select("user_id", "n", F.timestamp_micros("at").alias("last_ts"), "last_type")
 
 
 def drained(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:

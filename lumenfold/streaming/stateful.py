@@ -206,10 +206,16 @@ def keep_late(marked: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def state_of(spark: SparkSession, checkpoint: str, variable: str, batch: int | None = None) -> DataFrame:
-    """Key and value columns of a state variable as of the end of a micro-batch (the last one if none is given)."""
+    """Keys (users) and values of a MapState variable as of the end of a micro-batch (the last one if none is given)."""
     reader = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", variable)
     own = (reader if batch is None else reader.option("batchId", batch)).load()
-    return own.select("key.*", "value.*")
+    return own.select("user_map_key.*", "user_map_value.*")
+
+
+def sessions_of(spark: SparkSession, checkpoint: str, batch: int | None = None) -> DataFrame:
+    """user_id, n, last_ts, last_type, last_id of the session state, which a new stream may begin from."""
+    own = state_of(spark, checkpoint, "session", batch)
+    return own.select("user_id", "n", F.timestamp_micros("last_us").alias("last_ts"), "last_type", "last_id")
 
 
 def batches_of(spark: SparkSession, checkpoint: str) -> tuple[int, int]:

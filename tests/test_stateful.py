@@ -101,3 +101,47 @@ def test_users_share_the_keys_of_late_rows(spark, tmp_path):
     assert {r.event_id for r in late.collect()} == {e for e, (_, us) in want.items() if us > 0} != set()
     kept = spark.read.format("statestore").option("path", f"{state}/checkpoint").option("stateVarName", "seen").load()
     assert kept.select("key").distinct().count() <= 2 and kept.count() == 30
+
+
+def test_users_share_the_keys_of_session_state(spark, tmp_path):
+    """25 users over two micro-batches on two keys, in frames of 40 rows and with many equal times, of which the largest id
+    counts; the second batch once from the checkpoint and once from a snapshot. Some users come only in one of them."""
+    draw = random.Random(10)
+    rows = [(e, START + timedelta(hours=draw.randrange(12) + 6 * (e // 500)), draw.randrange(20) + 5 * (e // 500), draw.choice("abc")) for e in range(1000)]
+    source, other, state, again = f"{tmp_path}/in", f"{tmp_path}/other", f"file://{tmp_path}/state", f"file://{tmp_path}/again"
+
+    def put(part, *folders):
+        for f in folders:
+            spark.createDataFrame(part, "event_id long, ts timestamp, user_id long, event_type string").coalesce(1).write.mode("append").parquet(f)
+
+    def want(part):
+        last = {user: max((ts, e, kind) for e, ts, u, kind in part if u == user) for user in {r[2] for r in part}}
+        return {(user, sum(r[2] == user for r in part), ts, kind, e) for user, (ts, e, kind) in last.items()}
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)
+    try:
+        put(rows[:500], source)
+        S.drained(S.session_state(S.event_stream(spark, source), buckets=2), "update", state)
+        stopped = K.batches_of(spark, f"{state}/checkpoint")[1]
+        put(rows[500:], source, other)
+        out = S.drained(S.session_state(S.event_stream(spark, source), buckets=2), "update", state)
+        before = K.sessions_of(spark, f"{state}/checkpoint", stopped)
+        S.drained(S.session_state(S.event_stream(spark, other), snapshot=before, buckets=2), "update", again)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {tuple(r) for r in before.collect()} == want(rows[:500])
+    after = {tuple(r) for r in K.sessions_of(spark, f"{state}/checkpoint").collect()}
+    assert after == {tuple(r) for r in K.sessions_of(spark, f"{again}/checkpoint").collect()} == want(rows)
+    assert {tuple(r) for r in out.collect()} >= {r[:4] for r in after if r[0] >= 5}
+    kept = spark.read.format("statestore").option("path", f"{state}/checkpoint").option("stateVarName", "session").load()
+    assert kept.select("key").distinct().count() <= 2
+
+
+def test_users_of_one_key_are_forgotten_one_by_one(spark, tmp_path):
+    """Users 0 to 4 come an hour apart and are kept for six hours: each timer leaves a timer for who is next."""
+    source, state, left = f"{tmp_path}/in", f"file://{tmp_path}/state", []
+    for batch in ([(u, START + timedelta(hours=u), u, "a") for u in range(5)], [(5, START + timedelta(hours=7, minutes=30), 9, "a")], [(6, START + timedelta(hours=9, minutes=30), 9, "a")]):
+        spark.createDataFrame(batch, "event_id long, ts timestamp, user_id long, event_type string").coalesce(1).write.mode("append").parquet(source)
+        S.drained(S.session_state(S.event_stream(spark, source), keep_ms=6 * 3_600_000, delay="1 second", buckets=1), "update", state)
+        left.append({r.user_id for r in K.sessions_of(spark, f"{state}/checkpoint").collect()})
+    assert left == [{0, 1, 2, 3, 4}, {2, 3, 4, 9}, {4, 9}]
