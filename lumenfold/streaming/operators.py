@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.shared import shared_folder
-from .stateful import BUCKETS, NEVER, USER, bucket_of
+from .stateful import BUCKETS, NEVER, USER, bucketed, user_of
 
 #: How long a user's session state outlives the last event (event time).
 KEEP_MS = 90 * 86_400_000
@@ -86,7 +86,7 @@ class SessionState(StatefulProcessor):
                 n, *before = users[user]
                 users[user] = (n + more, at, kind, event) if (at, event) >= (before[0], before[2]) else (n + more, *before)
         self._put(users)
-        yield pd.DataFrame({"user_id": list(users), **{c: [own[i] for own in users.values()] for i, c in enumerate(("n", "at", "last_type"))}})
+        yield pd.DataFrame({"bucket": key[0], "user_id": list(users), **{c: [own[i] for own in users.values()] for i, c in enumerate(("n", "at", "last_type"))}})
 
     def _put(self, users: dict) -> None:
         for user, own in users.items():
@@ -115,14 +115,14 @@ class SessionState(StatefulProcessor):
 def session_state(events: DataFrame, keep_ms: int = KEEP_MS, snapshot: DataFrame | None = None, delay: str = "7 days", buckets: int = BUCKETS) -> DataFrame:
     """user_id, n, last_ts, last_type after each batch; events later than the delay are dropped; snapshot: such rows of an
     earlier state to begin from, with last_id (the last event's id, which decides between equal times) if it is known."""
-    schema = "user_id long, n long, at long, last_type string"
+    schema = "bucket long, user_id long, n long, at long, last_type string"
     begun = None
     if snapshot is not None:
         last = F.coalesce("last_id", F.lit(NEVER)) if "last_id" in snapshot.columns else F.lit(NEVER)
-        begun = snapshot.select("user_id", "n", F.unix_micros("last_ts").alias("last_us"), "last_type", last.alias("last_id"), bucket_of("user_id", buckets)).groupBy("bucket")
-    own = events.select("event_id", "user_id", "ts", F.unix_micros("ts").alias("at"), "event_type", bucket_of("user_id", buckets)).withWatermark("ts", delay)
+        begun = snapshot.select("n", F.unix_micros("last_ts").alias("last_us"), "last_type", last.alias("last_id"), *bucketed(buckets)).groupBy("bucket")
+    own = events.select("event_id", "ts", F.unix_micros("ts").alias("at"), "event_type", *bucketed(buckets)).withWatermark("ts", delay)
     states = own.groupBy("bucket").transformWithStateInPandas(SessionState(keep_ms), outputStructType=schema, outputMode="Update", timeMode="EventTime", initialState=begun)
-    return states.select("user_id", "n", F.timestamp_micros("at").alias("last_ts"), "last_type")
+    return states.select(user_of(), "n", F.timestamp_micros("at").alias("last_ts"), "last_type")
 
 
 def drained(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:

@@ -18,8 +18,13 @@ BUCKETS = 1024
 USER = T.StructType([T.StructField("user_id", T.LongType())])
 
 
-def bucket_of(column: str, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(buckets)).alias("bucket")
+def bucketed(buckets: int) -> list[Column]:
+    """user_id without nulls, which pandas would turn into floats, and the bucket: rows without a user have a bucket of their own."""
+    return [F.coalesce("user_id", F.lit(0)).cast("long").alias("user_id"), F.when(F.col("user_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("user_id"), F.lit(buckets))).cast("long").alias("bucket")]
+
+
+def user_of(user: str = "user_id", bucket: str = "bucket") -> Column:
+    return F.when(F.col(bucket) >= 0, F.col(user)).alias("user_id")
 
 
 class SemanticCache(StatefulProcessor):
@@ -58,7 +63,7 @@ class SemanticCache(StatefulProcessor):
         self.handle.registerTimer(self._end(oldest))
         ids, scores = zip(*best, strict=True)
         hit = np.array([k is not None for k in ids])
-        yield pd.DataFrame({"event_id": asked["event_id"].to_numpy(), "user_id": users, "vec_id": asked["vec_id"].to_numpy(), "hit": hit, "response_id": pd.Series(ids, dtype="Int64"), "score": pd.Series(scores, dtype="float64")})
+        yield pd.DataFrame({"event_id": asked["event_id"].to_numpy(), "bucket": key[0], "user_id": users, "vec_id": asked["vec_id"].to_numpy(), "hit": hit, "response_id": pd.Series(ids, dtype="Int64"), "score": pd.Series(scores, dtype="float64")})
 
     def _asked(self, held, vecs: list, at: list, events: list, vectors: list) -> tuple[list, tuple]:
         """The (id, score) of the entry that answers each request of one user, or (None, None); and the entries thereafter."""
@@ -134,10 +139,11 @@ def semantic_cache(requests: DataFrame, threshold: float, capacity: int = 8, ttl
 
     embedding: arrays, or what packed made of them with the same kind of number.
     """
-    schema = "event_id long, user_id long, vec_id long, hit boolean, response_id long, score double"
+    schema = "event_id long, bucket long, user_id long, vec_id long, hit boolean, response_id long, score double"
     vector = F.col("embedding") if isinstance(requests.schema["embedding"].dataType, T.BinaryType) else packed("embedding", kind)
-    own = requests.select("event_id", "user_id", "ts", F.unix_micros("ts").alias("at"), "vec_id", vector, bucket_of("user_id", buckets)).withWatermark("ts", delay)
-    return own.groupBy("bucket").transformWithStateInPandas(SemanticCache(threshold, capacity, ttl_ms, kind), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    own = requests.select("event_id", "ts", F.unix_micros("ts").alias("at"), "vec_id", vector, *bucketed(buckets)).withWatermark("ts", delay)
+    answered = own.groupBy("bucket").transformWithStateInPandas(SemanticCache(threshold, capacity, ttl_ms, kind), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    return answered.select("event_id", user_of(), "vec_id", "hit", "response_id", "score")
 
 
 class LateRows(StatefulProcessor):
@@ -168,7 +174,7 @@ class LateRows(StatefulProcessor):
                 top[user] = max(ts, top.get(user, NEVER))
             bar = np.array([seen[user] for user in users.tolist()])[place]
             behind = np.where(bar == NEVER, 0, np.maximum(bar - self.delay - at, 0))
-            yield pd.DataFrame({"event_id": part["event_id"].to_numpy(), "user_id": part["user_id"].to_numpy(), "at": at, "late": behind > 0, "behind_us": behind})
+            yield pd.DataFrame({"event_id": part["event_id"].to_numpy(), "bucket": key[0], "user_id": part["user_id"].to_numpy(), "at": at, "late": behind > 0, "behind_us": behind})
         for user, ts in top.items():
             if ts > seen[user]:
                 self.seen.updateValue((user,), (ts,))
@@ -183,10 +189,10 @@ NEVER = np.iinfo(np.int64).min
 
 def marked_late(events: DataFrame, delay_ms: int, buckets: int = BUCKETS) -> DataFrame:
     """event_id, user_id, ts, late, behind_us for every row of the stream."""
-    schema = "event_id long, user_id long, at long, late boolean, behind_us long"
-    own = events.select("event_id", "user_id", F.unix_micros("ts").alias("at"), bucket_of("user_id", buckets))
+    schema = "event_id long, bucket long, user_id long, at long, late boolean, behind_us long"
+    own = events.select("event_id", F.unix_micros("ts").alias("at"), *bucketed(buckets))
     marked = own.groupBy("bucket").transformWithStateInPandas(LateRows(delay_ms * 1000), outputStructType=schema, outputMode="Append", timeMode="None")
-    return marked.select("event_id", "user_id", F.timestamp_micros("at").alias("ts"), "late", "behind_us")
+    return marked.select("event_id", user_of(), F.timestamp_micros("at").alias("ts"), "late", "behind_us")
 
 
 def keep_late(marked: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -209,7 +215,7 @@ def state_of(spark: SparkSession, checkpoint: str, variable: str, batch: int | N
     """Keys (users) and values of a MapState variable as of the end of a micro-batch (the last one if none is given)."""
     reader = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", variable)
     own = (reader if batch is None else reader.option("batchId", batch)).load()
-    return own.select("user_map_key.*", "user_map_value.*")
+    return own.select(user_of("user_map_key.user_id", "key.bucket"), "user_map_value.*")
 
 
 def sessions_of(spark: SparkSession, checkpoint: str, batch: int | None = None) -> DataFrame:

@@ -145,3 +145,17 @@ def test_users_of_one_key_are_forgotten_one_by_one(spark, tmp_path):
         S.drained(S.session_state(S.event_stream(spark, source), keep_ms=6 * 3_600_000, delay="1 second", buckets=1), "update", state)
         left.append({r.user_id for r in K.sessions_of(spark, f"{state}/checkpoint").collect()})
     assert left == [{0, 1, 2, 3, 4}, {2, 3, 4, 9}, {4, 9}]
+
+
+def test_rows_without_a_user_are_one_user(spark, tmp_path):
+    """Beside them an id that doubles can't hold stays exact, and user 0 is another one."""
+    big = 2**60 + 1
+    rows = [(e, START + timedelta(hours=e), user, "a", 0, [1.0, 0.0]) for e, user in enumerate([0, None, big, None, 0])]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, vec_id long, embedding array<double>").coalesce(1).write.parquet(f"{tmp_path}/in")
+    events = lambda: S.event_stream(spark, f"{tmp_path}/in")
+    states = S.drained(S.session_state(events(), buckets=1), "update", f"file://{tmp_path}/a")
+    assert {r.user_id: r.n for r in states.collect()} == {r.user_id: r.n for r in K.sessions_of(spark, f"file://{tmp_path}/a/checkpoint").collect()} == {0: 2, None: 2, big: 1}
+    on_time, late = K.keep_late(K.marked_late(events(), 3_600_000, buckets=1), f"file://{tmp_path}/b")
+    assert {r.event_id: r.user_id for r in on_time.collect()} == {0: 0, 1: None, 2: big, 3: None, 4: 0} and late.count() == 0
+    answers = S.drained(K.semantic_cache(events(), 0.5, buckets=1), "append", f"file://{tmp_path}/c")
+    assert {r.event_id: (r.user_id, r.hit) for r in answers.collect()} == {0: (0, False), 1: (None, False), 2: (big, False), 3: (None, True), 4: (0, True)}
