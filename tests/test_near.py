@@ -113,3 +113,55 @@ def test_minhash_makes_its_shingles_once(spark):
     found = ingest.minhash(docs)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
     assert sorted((r.doc_id, r.seed) for r in found.collect()) == [(1, 0), (1, 1), (1, 2), (1, 3)]
+
+
+def written(folder):
+    return sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+
+
+def test_sets_are_not_written(spark, tmp_path, monkeypatch):
+    """What near_duplicates keeps is a digest and a sketch of a set, not its eight bytes a shingle."""
+    monkeypatch.setattr(near, "shared_folder", lambda session, name: str(tmp_path))
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{rng.randrange(50_000)}" for _ in range(1500))) for i in range(150)]
+    assert N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).count() == 150
+    assert 0 < written(tmp_path) < 150 * 1496 * 8 / 4
+
+
+def test_only_classes_that_may_be_alike_meet_on_their_sets(spark, tmp_path):
+    """A bucket that brings everything together: sketches keep apart what isn't alike, and lose no link."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 400, np.uint64)
+    sets = [np.sort(rng.integers(0, 1 << 63, int(n), np.uint64)) for n in rng.integers(1, 900, 60)]
+    sets += [np.sort(np.append(base[: 400 - k], rng.integers(0, 1 << 63, k, np.uint64))) for k in range(0, 100, 4)]
+    classes = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "class_id long, packed binary")
+    buckets = classes.selectExpr("class_id", "explode(array(1L, class_id % 3 + 2)) as bucket")
+    found = {r.class_id: r.n_links for r in N.links_by_stars(classes, buckets, 0.8, str(tmp_path), 20).collect() if r.n_links}
+    like = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-9
+    asked = {i: sum(like(x, y) for j, y in enumerate(sets) if j != i) for i, x in enumerate(sets)}
+    assert found == {i: n for i, n in asked.items() if n} and len(found) > 10
+    assert {r.class_id for r in spark.read.parquet(str(tmp_path / "near")).select("class_id").collect()} <= set(range(60, 85))
+
+
+@pytest.mark.parametrize("similarity", [0.3, 0.8, 1.0])
+def test_sketches_lose_no_pair(similarity):
+    rng = np.random.default_rng(6)
+    sets = []
+    for n in (1, 2, 5, 63, 64, 65, 130, 1000):
+        x = rng.integers(0, 1 << 63, n, np.uint64)
+        sets += [x, x.copy()] + [np.append(x[: n - int(n * k)], rng.integers(0, 1 << 63, int(n * j), np.uint64)) for k, j in ((0, 0.1), (0.1, 0), (0.1, 0.1), (0.2, 0), (0, 0.25), (0.11, 0.12), (0.6, 0))]
+    sizes, every = np.array([len(x) for x in sets]), ~np.eye(len(sets), dtype=bool)
+    found = N.alike(sizes, [N.sketch(x) for x in sets], every, similarity)
+    like = np.array([[len(np.intersect1d(a, b)) >= similarity * len(np.union1d(a, b)) - 1e-9 for b in sets] for a in sets]) & every
+    assert (found == found.T).all() and not (like & ~found).any() and found.sum() < every.sum() / 2
+    assert not (N.alike(sizes, [N.sketch(x) for x in sets], like, similarity) & ~like).any()
+
+
+def test_copies_that_marks_let_through(spark, monkeypatch):
+    """Marks as coarse as can be: a class is found again by its own document, whatever copies come before it."""
+    monkeypatch.setattr(near, "_MARKS", 64)
+    some = [t for _, t in texts(families=3, each=8) if t and t.strip(" ?!")]
+    rows = [(100 - i, t) for i, t in enumerate(some)] + [(200 + i, t) for i, t in enumerate(some)]
+    docs = spark.createDataFrame(sorted(rows, reverse=True) + [(None, rows[0][1])], "doc_id long, text string").repartition(2)
+    found = sorted(map(tuple, N.near_duplicates(docs).where("doc_id is not null").collect()))
+    assert found == brute(rows, 0.8) and sum(r[2] for r in found) > 10
