@@ -244,8 +244,11 @@ def prefix_buckets(classes: DataFrame, similarity: float, counts: np.ndarray | N
     return classes.select("class_id", "packed").mapInArrow(tidied(run), f"class_id {kind}, bucket long")
 
 
-def star_lists(buckets: DataFrame, members: DataFrame | None = None) -> DataFrame:
-    """class_id, stars: of the buckets' stars with several classes, those of each class; members: the class of each document in buckets."""
+def star_lists(buckets: DataFrame, sizes: DataFrame, similarity: float, members: DataFrame | None = None) -> DataFrame:
+    """class_id, stars: of the stars of the buckets, those where a class meets one that isn't too small or too large to be alike.
+
+    sizes: class_id, n. members: the class of each document in buckets, where these have documents for classes.
+    """
     own = Window.partitionBy("bucket")  # one shuffle of the buckets
     ends = buckets.select("class_id", F.min("class_id").over(own).alias("star"), F.max("class_id").over(own).alias("last"))
     stars = ends.where("star < last").select("class_id", "star").distinct()
@@ -253,8 +256,10 @@ def star_lists(buckets: DataFrame, members: DataFrame | None = None) -> DataFram
         for c in ("class_id", "star"):
             stars = stars.join(members.select(F.col("doc_id").alias(c), F.col("class_id").alias("of")), c).drop(c).withColumnRenamed("of", c)
         stars = stars.distinct()
-    several = stars.withColumn("m", F.count("*").over(Window.partitionBy("star"))).where("m > 1")
-    return several.groupBy("class_id").agg(F.array_sort(F.collect_set("star")).alias("stars"))
+    order = Window.partitionBy("star").orderBy("n")
+    met = stars.join(sizes, "class_id").withColumns({"less": F.lag("n").over(order), "more": F.lead("n").over(order)})
+    met = met.where((F.col("less") >= similarity * F.col("n") - 1e-6) | (F.col("n") >= similarity * F.col("more") - 1e-6))
+    return met.groupBy("class_id").agg(F.array_sort(F.collect_set("star")).alias("stars"))
 
 
 def links_by_stars(
@@ -264,7 +269,8 @@ def links_by_stars(
 
     sketches: class_id, n, sketch, if they are at hand. only: gives the classes of a table of class_id, and may give more.
     """
-    lists = _kept(star_lists(buckets, members), folder, "stars")
+    sketches = _sketched(classes) if sketches is None else sketches
+    lists = _kept(star_lists(buckets, sketches.select("class_id", "n"), similarity, members), folder, "stars")
     each = lists.select("class_id", "stars", F.explode("stars").alias("star"))
     sizes = each.groupBy("star").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks")).where("chunks > 1")
     dealt = each.join(sizes, "star", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
@@ -272,7 +278,7 @@ def links_by_stars(
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
     kind = classes.schema["class_id"].dataType.simpleString()
     row = f"star {kind}, lo int, hi int, own int, class_id {kind}, stars array<{kind}>"
-    sent = met.join(_sketched(classes) if sketches is None else sketches, "class_id").select("star", "lo", "hi", "own", "class_id", "stars", "n", "sketch")
+    sent = met.join(sketches, "class_id").select("star", "lo", "hi", "own", "class_id", "stars", "n", "sketch")
     near = _kept(sent.groupBy("star", "lo", "hi").applyInArrow(lambda t: _block_maybe(t, similarity), row), folder, "near")
     ids = near.select("class_id").distinct()
     packed = (classes.join(ids, "class_id", "left_semi") if only is None else only(ids)).select("class_id", "packed").dropDuplicates(["class_id"])
@@ -354,7 +360,9 @@ def alike(sizes: np.ndarray, sketches: list[bytes], pairs: np.ndarray, similarit
 
 def _block_maybe(table: pa.Table, similarity: float) -> pa.Table:
     """The rows of a star's block that by their sketches may have a link there."""
-    found = alike(table["n"].to_numpy(), table["sketch"].to_pylist(), _counting(table), similarity)
+    found = alike(table["n"].to_numpy(), table["sketch"].to_pylist(), ~np.eye(table.num_rows, dtype=bool), similarity)
+    if found.any():
+        found &= _counting(table)
     return table.drop_columns(["n", "sketch"]).filter(pa.array(found.any(axis=1)))
 
 
@@ -379,7 +387,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILAR, buckets=prefix
     rows = _kept(sketched_sets(docs, n, counted), folder, "sets")
     counts = _cell_sum(rows.where("cells is not null")) if counted else None
     sets = rows.where("k is not null").drop("cells")
-    keys = sets.groupBy("k").agg(F.min("doc_id").alias("class_id"))
+    keys = sets.groupBy("k").agg(F.min("doc_id").alias("class_id")).select(F.lower("k").alias("k"), "class_id")  # the same digests, dealt anew: Spark's skew join splits a large group of copies
     members = sets.join(keys, "k").select("doc_id", F.when(F.col("k") != "", F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "n", "sketch")
     members = _kept(members, folder, "members")
     sketches = members.where("doc_id = class_id and n > 0").select("class_id", "n", "sketch").dropDuplicates(["class_id"])
