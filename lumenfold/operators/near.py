@@ -394,6 +394,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILAR, buckets=prefix
     named = docs.where("doc_id is not null")
     found = buckets(_classes(packed_sets(named, n, once=True)), similarity, counts)
     links = links_by_stars(_classes(packed_sets(named, n)), found, similarity, folder, sketches=sketches, members=members, only=lambda ids: _classes(packed_sets(marked(named, ids), n)))
+    links = _kept(links, folder, "links")  # and read anew, so that the join can split a large group of copies
     return members.join(links, "class_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
