@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from ..functions.memory import give_back, tidied
 from ..functions.text import terms
-from ..sources.shared import shared_folder
+from ..sources.shared import kept, shared_folder
 from .retrieval import B, K1, top
 
 BLOCK_DOCS, BLOCK_TERMS = 4096, 4_000_000
@@ -184,14 +184,14 @@ class Index:
         idf = F.log((self.n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
         least = F.lit(1.0) + F.lit(K1) * (F.lit(1 - B) / F.col("max_tf") + F.lit(B / self.mean) * F.col("min_ratio"))
         met = asked.join(df.withColumn("idf", idf), "term").join(facts, "term").select("item_id", "term", "block", "idf", (F.col("idf") * (K1 + 1) / least).alias("bound"))
-        met = _kept(met, folder, "met")
+        met = kept(met, folder, "met")
         bounds = met.groupBy("item_id", "block").agg(F.sum("bound").alias("bound"))
         if self.n_blocks <= ONE_PASS:
             return top(self._scored(own, met, bounds.select("item_id", "block", F.lit(0.0).alias("bar")), groups, k), "item_id", "doc_id", k)
         placed = bounds.selectExpr("*", "row_number() over (partition by item_id order by bound desc, block) as place")
-        bounds = _kept(placed, folder, "bounds")
+        bounds = kept(placed, folder, "bounds")
         begun = self._scored(own, met, bounds.where(F.col("place") <= FIRST).select("item_id", "block", F.lit(0.0).alias("bar")), groups, k)
-        begun = _kept(begun, folder, "begun")
+        begun = kept(begun, folder, "begun")
         bar = top(begun, "item_id", "doc_id", k).where(F.col("rank") == k).select("item_id", F.col("score").alias("bar"))
         later = bounds.where(F.col("place") > FIRST).join(bar, "item_id", "left").withColumn("bar", F.coalesce("bar", F.lit(0.0)))
         rest = self._scored(own, met, later.where(F.col("bound") >= F.col("bar") - SLACK).select("item_id", "block", "bar"), groups, k)
@@ -270,11 +270,6 @@ def best_of(lists: list[tuple[float, np.ndarray, np.ndarray]], bar: float, k: in
     return found[keep], score[keep]
 
 
-def _kept(df: DataFrame, folder: str, name: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(f"{folder}/{name}")
-    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-
 _BUILT: dict[tuple, str] = {}
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import sentences, terms
+from ..sources.shared import kept, shared_folder
 
 K1, B, RRF = 1.2, 0.75, 60
 #: Queries to a block: a block travels as one row.
@@ -76,8 +77,13 @@ def fuse(*ranked: DataFrame, constant: int = RRF) -> DataFrame:
 
 
 def with_texts(candidates: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """candidates with query (the query's text) and text (the document's)."""
-    return candidates.join(queries.select("item_id", F.col("text").alias("query")), "item_id").join(docs.select("doc_id", "text"), "doc_id")
+    """candidates with query (the query's text) and text (the document's).
+
+    Candidates are written before they meet the documents: where they are few they are broadcast, and no other text is shuffled.
+    """
+    own = kept(candidates, shared_folder(candidates.sparkSession, "candidates"), "candidates")
+    both = own.join(docs.select("doc_id", "text"), "doc_id").join(queries.select("item_id", F.col("text").alias("query")), "item_id")
+    return both.select("doc_id", "item_id", *(c for c in own.columns if c not in ("doc_id", "item_id")), "query", "text")
 
 
 def coverage(query: Column, text: Column) -> Column:

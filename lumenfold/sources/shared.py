@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -25,3 +25,9 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a URI and the path in it; a plain path and file:/x are local."""
     uri = re.sub(r"^file:/+", "file:///", uri)
     return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), os.path.abspath(uri))
+
+
+def kept(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """df written once and read again: later uses don't compute it anew, and joins know its size."""
+    df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")

@@ -99,6 +99,18 @@ def test_fusion_and_ranks(spark):
     assert [(r.doc_id, r["rank"]) for r in retrieval.top(ties, "item_id", "doc_id", 2).orderBy("rank").collect()] == [(3, 1), (4, 2)]
 
 
+def test_texts_of_few_candidates(spark):
+    found = spark.createDataFrame([(1, 5), (1, 5), (2, 6), (3, 5), (1, 9), (None, 5), (1, None)], "item_id long, doc_id long").distinct()
+    asked = spark.createDataFrame([(1, "one"), (1, "uno"), (2, None), (None, "none")], "item_id long, text string")
+    docs = spark.createDataFrame([(5, "five"), (5, "5"), (6, None), (7, "seven"), (None, "x")], "doc_id long, text string")
+    both = retrieval.with_texts(found, asked, docs)
+    assert both.columns == ["doc_id", "item_id", "query", "text"]
+    assert sorted(map(tuple, both.collect()), key=str) == sorted([(5, 1, "one", "five"), (5, 1, "one", "5"), (5, 1, "uno", "five"), (5, 1, "uno", "5"), (6, 2, None, None)], key=str)
+    wide = spark.range(10**7).selectExpr("id as doc_id", "repeat('x ', 50) as text")  # too large to be broadcast
+    plan = retrieval.with_texts(found, asked.limit(2), wide)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" not in plan
+
+
 def test_dense_blocks_meet_every_row(spark, monkeypatch):
     rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "vec_id long, embedding array<double>")
     asked = rows.selectExpr("vec_id as query_id", "embedding as qvec")
