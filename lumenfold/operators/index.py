@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,7 +84,8 @@ def write_index(docs: DataFrame, folder: str, parts: int | None = None, block_do
     kind_arrow = to_arrow_type(kind)
     made = docs.select("doc_id", terms(F.col("text")).alias("terms")).mapInArrow(tidied(run), _ROW.format(id=kind.simpleString()))
     placed = made.withColumn("part", F.when(F.col("term").isNull(), F.lit(BLOCKS)).otherwise(_bucket(parts)))
-    placed.repartition(parts, "part").sortWithinPartitions("part", "term", "block").write.partitionBy("part").option("parquet.block.size", 8 << 20).parquet(f"{folder}/postings")
+    task = F.when(F.col("term").isNull(), F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int")).otherwise(F.col("part"))  # a partition each; hashed anew, several would meet in one task
+    placed.repartitionById(parts, task).sortWithinPartitions("part", "term", "block").write.partitionBy("part").option("parquet.block.size", 8 << 20).parquet(f"{folder}/postings")
     docs.sparkSession.createDataFrame([(parts, kind.simpleString())], "parts int, id string").coalesce(1).write.parquet(f"{folder}/layout")
 
 
@@ -93,7 +95,12 @@ def _block(number: int, ids: list, lists: list, kind) -> Iterator[pa.RecordBatch
     words = pa.chunked_array([x.flatten() for x in lists])
     own = words.dictionary_encode().unify_dictionaries()  # chunk by chunk: the words aren't copied
     names = own.chunk(0).dictionary if own.num_chunks else pa.array([], pa.string())
-    key = np.concatenate([np.zeros(0, np.int64), *(x.indices.to_numpy(zero_copy_only=False) for x in own.chunks)])
+    order = pc.sort_indices(names)  # a block's rows come sorted: the sort by term then merges runs
+    names, place, at = names.take(order), np.argsort(order.to_numpy()), 0
+    key = np.empty(len(own), np.int64)
+    for x in own.chunks:
+        key[at : at + len(x)] = place[x.indices.to_numpy(zero_copy_only=False)]
+        at += len(x)
     lists.clear()
     del words, own
     n_docs = len(lengths)

@@ -131,3 +131,19 @@ def test_gold_comes_from_the_index(spark, tmp_path):
     asked = items.selectExpr("explode(array('red', 'sleeps', 'nowhere')) as term").distinct()
     assert sorted(map(tuple, own.counts_of(asked).collect())) == [("red", 4), ("sleeps", 1)]
     assert sorted(map(tuple, own.documents_of(asked).collect())) == [("red", 1), ("red", 2), ("red", 2), ("red", 3), ("sleeps", 2)]
+
+
+def test_a_partition_of_terms_is_a_task_of_its_own(spark, tmp_path):
+    I.write_index(corpus(spark), str(tmp_path / "i"), parts=16, block_docs=50)
+    tasks = {p.name: {f.name.split("-")[1] for f in p.glob("part-*")} for p in (tmp_path / "i/postings").glob("part=*")}
+    own = [t for name, t in tasks.items() if name != "part=-1"]
+    assert len(own) > 10 and all(len(t) == 1 for t in own) and len(set.union(*own)) == len(own)
+    assert len(tasks["part=-1"]) > 1
+
+
+def test_rows_of_a_block_are_sorted():
+    words = [["pear", "fig"], ["apple", "fig", "éclair"], [], ["fig"]]
+    _, rows = I._block(0, [pa.array([5, 6, 7, 8])], [pa.array(words[:2]), pa.array(words[2:], pa.list_(pa.string()))], pa.int64())
+    found = {t: (np.frombuffer(d, "<u4").tolist(), np.frombuffer(f, "<u4").tolist()) for t, d, f in zip(*(rows[c].to_pylist() for c in ("term", "docs", "tfs")), strict=True)}
+    assert [*found] == ["apple", "fig", "pear", "éclair"]
+    assert found == {"apple": ([1], [1]), "fig": ([0, 1, 3], [1, 1, 1]), "pear": ([0], [1]), "éclair": ([1], [1])}
