@@ -12,6 +12,7 @@ are added.
 
 from __future__ import annotations
 
+import copy
 import uuid
 from collections.abc import Iterator
 
@@ -145,6 +146,7 @@ class Index:
         self.blocks = self.rows.where(F.col("part") == BLOCKS)
         self.n, tokens, self.n_blocks = self.blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("cf"), F.lit(0)), F.count("*")).first()
         self.mean = tokens / self.n if tokens else 1.0
+        self.only = None
 
     def terms(self) -> DataFrame:
         """term, df, cf of the corpus."""
@@ -168,6 +170,20 @@ class Index:
         """The rows of some term partitions; others aren't opened."""
         return self.rows.where(F.col("part").isin(*buckets) if buckets else F.lit(False))
 
+    def narrowed(self, queries: DataFrame) -> Index:
+        """The index with the postings of the queries' terms alone, for these queries: one pass over the postings, written once.
+
+        Further steps of a run read, join and shuffle what is left instead of all postings.
+        """
+        if self.only and self.only[0].sameSemantics(queries):
+            return self
+        asked, buckets, groups = self.asked(queries)
+        found = self.postings(buckets).join(asked.select("term").distinct(), "term", "left_semi")
+        own = copy.copy(self)
+        own.rows = kept(found.select(self.rows.columns), shared_folder(self.spark, "narrowed"), "postings")
+        own.only = queries, asked, groups
+        return own
+
     def asked(self, queries: DataFrame) -> tuple[DataFrame, list[int], int]:
         """item_id, term of the queries (item_id, text); the term partitions they need; how many groups of queries.
 
@@ -183,10 +199,10 @@ class Index:
         A query without terms of the corpus has no rows. Two passes over many blocks: those of the largest bounds first,
         which give each query a bar, then those whose bound reaches it.
         """
-        asked, buckets, groups = self.asked(queries)
+        narrow = self.narrowed(queries)
+        own, (_, asked, groups) = narrow.rows, narrow.only
         folder = shared_folder(self.spark, "search")
-        own = self.postings(buckets)
-        facts = own.select("term", "block", "n", "max_tf", "min_ratio").join(asked.select("term").distinct(), "term", "left_semi")
+        facts = own.select("term", "block", "n", "max_tf", "min_ratio")
         df = facts.groupBy("term").agg(F.sum("n").alias("df"))
         idf = F.log((self.n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
         least = F.lit(1.0) + F.lit(K1) * (F.lit(1 - B) / F.col("max_tf") + F.lit(B / self.mean) * F.col("min_ratio"))

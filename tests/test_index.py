@@ -1,6 +1,7 @@
 """The block index: same scores as the plain BM25 of all pairs, whatever the blocks; few bytes for few terms."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -147,3 +148,15 @@ def test_rows_of_a_block_are_sorted():
     found = {t: (np.frombuffer(d, "<u4").tolist(), np.frombuffer(f, "<u4").tolist()) for t, d, f in zip(*(rows[c].to_pylist() for c in ("term", "docs", "tfs")), strict=True)}
     assert [*found] == ["apple", "fig", "pear", "éclair"]
     assert found == {"apple": ([1], [1]), "fig": ([0, 1, 3], [1, 1, 1]), "pear": ([0], [1]), "éclair": ([1], [1])}
+
+
+def test_postings_are_read_once_for_a_query_set(spark, tmp_path):
+    I.write_index(corpus(spark), str(tmp_path / "i"), parts=5)
+    own, asked = I.Index(spark, str(tmp_path / "i")), queries(spark).where("item_id in (100, 101, 103)")
+    plan = own.top(asked, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" in plan and not re.search(r"PartitionFilters: \[[^\]]*part#\d+ (IN|INSET) ", plan)
+    few = own.narrowed(asked)
+    assert few.narrowed(asked) is few and few.narrowed(queries(spark)) is not few
+    assert {r.term for r in few.rows.collect()} == {"w0", "ünïque"}
+    assert plain(few.top(asked, 5)) == plain(own.top(asked, 5)) != []
+    assert plain(few.top(asked.where("item_id = 100"), 5)) == plain(own.top(asked.where("item_id = 100"), 5)) != []
