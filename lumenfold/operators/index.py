e02_precision: ranking and relevant documents share one pass over the postings

Symptom: judging read the index once for the ranking and again for each step of the relevant documents, and computed these twice; over 0.51 GB it was stopped at its disk limit (2.34 GB).
Evidence: over 0.10 GB 21,086,599 rows read, seven times the 2,943,534 postings, 698 MB shuffled; over 0.51 GB 81,296,091 rows and 2824 MB of shuffle by the time it was stopped.
Fix: the index is narrowed once to the terms of the items, and both the relevant documents and bm25_top take that; the relevant documents are written once, as judging meets them twice. Asked to narrow to other queries, a narrowed index goes back to the whole one.
Effect, together with 4 more commits on this code: at 1 GB of input CPU 1444 -> 1126 s, shuffle 6.80 -> 2.45 GB, spill 0.00 -> 0.00 GB, read 5.30 -> 4.41 GB, longest task 36 -> 42 s, most memory of a task 369 -> 139 MB; at 6 GB of input CPU 6078 -> 4038 s, shuffle 37.63 -> 15.16 GB, spill 0.00 -> 0.00 GB, read 29.74 -> 26.65 GB, longest task 45 -> 48 s, most memory of a task 671 -> 671 MB; with hot keys, at 1 GB of input CPU 681 -> 593 s, shuffle 1.38 -> 0.64 GB, spill 0.00 -> 0.00 GB, read 1.11 -> 0.91 GB, longest task 14 -> 17 s, most memory of a task 201 -> 136 MB.

@@ -146,7 +146,7 @@ class Index:
         self.blocks = self.rows.where(F.col("part") == BLOCKS)
         self.n, tokens, self.n_blocks = self.blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("cf"), F.lit(0)), F.count("*")).first()
         self.mean = tokens / self.n if tokens else 1.0
-        self.only = None
+        self.whole, self.only = self, None
 
     def terms(self) -> DataFrame:
         """term, df, cf of the corpus."""
@@ -173,12 +173,13 @@ class Index:
     def narrowed(self, queries: DataFrame) -> Index:
         """The index with the postings of the queries' terms alone, for these queries: one pass over the postings, written once.
 
-        Further steps of a run read, join and shuffle what is left instead of all postings.
+        Further steps of a run read, join and shuffle what is left instead of all postings; they may share it. Asked to
+        narrow to other queries, it goes back to the whole index.
         """
         if self.only and self.only[0].sameSemantics(queries):
             return self
         asked, buckets, groups = self.asked(queries)
-        found = self.postings(buckets).join(asked.select("term").distinct(), "term", "left_semi")
+        found = self.whole.postings(buckets).join(asked.select("term").distinct(), "term", "left_semi")
         own = copy.copy(self)
         own.rows = kept(found.select(self.rows.columns), shared_folder(self.spark, "narrowed"), "postings")
         own.only = queries, asked, groups

@@ -43,8 +43,8 @@ def items(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", "text")
 
 
-def bm25_top(spark, sf, k):
-    return index_of(spark, f"{sf}/documents.parquet").top(items(spark, sf), k)
+def bm25_top(spark, sf, k, index=None):
+    return (index or index_of(spark, f"{sf}/documents.parquet")).top(items(spark, sf), k)
 
 
 def fused_top(spark, sf, k):
