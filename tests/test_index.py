@@ -177,3 +177,20 @@ def test_judged_lists_share_one_pass(spark, tmp_path, monkeypatch):
     assert sorted((r.item_id, r.doc_id, r.rel) for r in ranked.collect()) == [(7, 1, 1), (7, 2, 1), (7, 2, 1), (7, 2, 1), (7, 2, 1), (7, 3, 0), (8, 1, 0), (8, 2, 0), (8, 2, 0), (8, 3, 1)]
     for df in (ranked, relevant):
         assert "Contains(" not in df._jdf.queryExecution().executedPlan().toString()  # written, not searched for again
+
+
+def test_gold_shuffles_no_text_and_counts_once(spark, tmp_path, monkeypatch):
+    from lumenfold.operators import evaluate
+
+    texts = spark.createDataFrame([(1, "red fox runs"), (2, "a red fox sleeps"), (2, "red fox, once more"), (3, "fox red"), (4, None), (None, "red fox")], "doc_id long, text string")
+    I.write_index(texts, str(tmp_path / "i"), 4)
+    index = I.Index(spark, str(tmp_path / "i"))
+    items = spark.createDataFrame([(7, "red fox"), (7, "fox red"), (8, "runs"), (None, "red"), (9, None)], "item_id long, text string")
+    wide = texts.unionByName(spark.range(100, 10**6).selectExpr("id as doc_id", "repeat('x ', 500) as text"))  # too large to be broadcast
+    wanted = []
+    monkeypatch.setattr(I.Index, "documents_of", lambda self, asked, of=I.Index.documents_of: wanted.append(asked) or of(self, asked))
+    found = evaluate.gold(items, wide, index)
+    assert "hashpartitioning(doc_id" not in found._jdf.queryExecution().executedPlan().toString()
+    assert "postings" not in " ".join(wanted[0].inputFiles())
+    assert {r.term for r in wanted[0].collect()} == {"fox", "red", "runs"}
+    assert sorted(map(tuple, found.collect())) == [(7, 1), (7, 2), (7, 2), (7, 3), (8, 1)]
